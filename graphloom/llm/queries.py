@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +30,37 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_plan(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_ngram_jaccard, op6_sharding)}
+def op4_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.common import crc_mod
+    from graphloom.llm.quality_mil import quality_model, scored
+
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_model(docs, _table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
+    out = scored(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.common import crc_mod
+    from graphloom.llm.toxicity_cnn import scored, toxicity_model
+
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, _table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    out = scored(docs.select(F.col("doc_id").alias("id"), "text"), model)
+    return out.select(F.col("id").alias("doc_id"), (crc_mod("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.common import crc_mod
+    from graphloom.llm.gru_lm import score_documents, train_model
+
+    docs = _table(spark, sf_dir, "documents")
+    lm = train_model(docs.where(crc_mod("doc_id", 7) != 2).select("text"))
+    out = score_documents(docs, lm)
+    return out.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_ngram_jaccard, op4_quality_mil, op6_sharding, op7_toxicity_cnn, op9_gru_lm)}
 
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": """
