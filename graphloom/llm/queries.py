@@ -60,7 +60,13 @@ def op9_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_ngram_jaccard, op4_quality_mil, op6_sharding, op7_toxicity_cnn, op9_gru_lm)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.sentencepiece_codec import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_ngram_jaccard, op4_quality_mil, op6_sharding, op7_toxicity_cnn, op9_gru_lm, op10_sentencepiece)}
 
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": """
