@@ -18,6 +18,20 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+#: Target shares of tokens: less of the largest source, all topics alike.
+TARGETS = {
+    "source": {"src0": 0.15} | {f"src{k}": 0.85 / 19 for k in range(1, 20)} | {"other": 0.02},
+    "lang": {"en": 0.5, "de": 0.18, "fr": 0.18, "es": 0.14, "other": 0.02},
+    "topic": {str(k): 1 / 8 for k in range(8)},
+}
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.mixing import weighted
+
+    return weighted(_table(spark, sf_dir, "documents"), TARGETS)
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.ngram_jaccard import jaccard_components
 
@@ -60,13 +74,25 @@ def op9_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.html_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.topk_search import topk
+
+    return topk(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.sentencepiece_codec import digests
 
     return digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_ngram_jaccard, op4_quality_mil, op6_sharding, op7_toxicity_cnn, op9_gru_lm, op10_sentencepiece)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_ngram_jaccard, op4_quality_mil, op5_html_extract, op6_sharding, op7_toxicity_cnn, op8_topk_search, op9_gru_lm, op10_sentencepiece)}
 
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": """
@@ -74,4 +100,11 @@ ORACLE: dict[str, str] = {
              g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
         FROM t JOIN g USING (norm)""",
+    "op8_topk_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+                   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+             r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
 }
