@@ -14,9 +14,9 @@ Method (set-relation skipping):
   shingle's position; a probe skips blocks of sizes that cannot reach the threshold and, within a size,
   all entries behind the last useful position.
 * Answers are derived from similar sets. Equal sets share one answer. First every entry of a list is
-  compared with its predecessor only; sets that this links are answered together, and afterwards a list
-  yields only pairs that are not yet connected, so a group of near copies costs its length, not its
-  square, and no link between components is lost.
+  compared with one pivot of about its size only; sets that this links are answered together, and
+  afterwards a list yields only pairs that are not yet connected, so a group of near copies costs its
+  length, not its square, and no link between components is lost.
 * A pair is refuted without its texts when the parity bitmaps of the two sets differ in more bits than
   linked sets can differ in shingles; the rest are verified on the whole sets.
 
@@ -41,7 +41,7 @@ NGRAM = 5
 PERCENT = 80
 #: Shingles put last in the order, at most; at least so many texts hold each.
 FREQUENT = 1 << 18
-FREQUENT_FROM = 32
+FREQUENT_FROM = 12
 #: Groups of equal sets whose representatives every task knows, at most.
 HOT_SETS = 1 << 16
 LIST_BLOCK = 4096
@@ -217,19 +217,31 @@ def _lists(_key, packs):
 _LISTS = "list long, ids array<long>, sizes array<int>, places array<int>"
 
 
-def _neighbours(percent: int):
-    """Every entry of a list with its predecessor in the order of (size, id): the first answers."""
+def pivots(ids: np.ndarray, n: np.ndarray, run_of: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The first answers: in each list, every entry with the smallest id of its block of sizes, and those of adjacent blocks.
 
+    Lists of one group of near copies share their smallest ids, so the pairs are few times the documents.
+    """
+    block = np.floor(np.log(n) / math.log(100 / percent)).astype(np.int64) if percent < 100 else n
+    o = np.lexsort((ids, block, run_of))
+    i, z, r, k = ids[o], n[o], run_of[o], block[o]
+    new = np.r_[True, (r[1:] != r[:-1]) | (k[1:] != k[:-1])] if len(o) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    x = np.repeat(first, np.diff(np.r_[first, len(o)]))
+    y = np.arange(len(o))
+    near = (r[first][1:] == r[first][:-1]) & (k[first][1:] == k[first][:-1] + 1)
+    x, y = np.r_[x, first[:-1][near]], np.r_[y, first[1:][near]]
+    low, high = np.minimum(z[x], z[y]), np.maximum(z[x], z[y])
+    ok = (100 * low >= percent * high) & (i[x] != i[y])
+    return np.unique(np.stack([np.minimum(i[x], i[y])[ok], np.maximum(i[x], i[y])[ok]], 1), axis=0)
+
+
+def _pivots(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             off = b.column("ids").offsets.to_numpy()
-            ids, n = b.column("ids").values.to_numpy(), b.column("sizes").values.to_numpy().astype(np.int64)
-            run_of = np.repeat(np.arange(b.num_rows), np.diff(off))
-            o = np.lexsort((ids[off[0] : off[-1]], n[off[0] : off[-1]], run_of)) + off[0]
-            same = run_of[1:] == run_of[:-1]
-            x, y = o[:-1][same], o[1:][same]
-            ok = (100 * n[x] >= percent * n[y]) & (ids[x] != ids[y])
-            pairs = np.unique(np.stack([np.minimum(ids[x], ids[y])[ok], np.maximum(ids[x], ids[y])[ok]], 1), axis=0)
+            part = slice(off[0], off[-1])
+            pairs = pivots(b.column("ids").values.to_numpy()[part], b.column("sizes").values.to_numpy()[part].astype(np.int64), np.repeat(np.arange(b.num_rows), np.diff(off)), percent)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return run
@@ -355,7 +367,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lists = written(packs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_lists, _LISTS), "jaccard-lists")
     about = every.where("n > 0 and id is not null").dropDuplicates(["id"])
 
-    pairs = lists.mapInArrow(_neighbours(percent), "a long, b long").distinct()
+    pairs = lists.mapInArrow(_pivots(percent), "a long, b long").distinct()
     first = _verified(pairs, about, rows.where("id is not null"), ngram, percent, "jaccard-near")
     equal = every.where("n > 0 and id is not null").join(sets.where("c > 1"), ["sig", "n"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     group = components(first.unionByName(equal))
