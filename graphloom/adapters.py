@@ -34,7 +34,7 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, 'MEMBER_OF', CAST(1 AS DOUBLE), 'region' FROM {nation}""",
     "notes": """
         SELECT 'note:' || doc_id AS uid, doc_id, 'vlt:' || lang AS vault_uid, source || '/note' || doc_id || '.md' AS file_path, 'Note ' || doc_id || ' ' || lang AS title,
-               CASE WHEN doc_id % 10 = 0 THEN 'log' WHEN doc_id % 10 < 4 THEN 'idea' ELSE 'reference' END AS note_kind, n_chars AS word_count,
+               CASE WHEN doc_id % 10 IN (0, 8) THEN 'log' WHEN doc_id % 10 < 4 THEN 'idea' ELSE 'reference' END AS note_kind, n_chars AS word_count,
                CASE WHEN doc_id % 4 = 0 THEN NULL ELSE (2021 + doc_id % 4) || '-' || lpad(CAST(1 + doc_id % 12 AS VARCHAR(2)), 2, '0') || '-' || lpad(CAST(1 + doc_id % 28 AS VARCHAR(2)), 2, '0') || 'T00:00:00Z' END AS created_at,
                (2022 + doc_id % 3) || '-' || lpad(CAST(1 + doc_id % 11 AS VARCHAR(2)), 2, '0') || '-' || lpad(CAST(1 + doc_id % 27 AS VARCHAR(2)), 2, '0') || 'T12:00:00Z' AS modified_at, coalesce(text, '') AS text FROM {documents}""",
     "tags": """

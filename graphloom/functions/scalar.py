@@ -81,7 +81,7 @@ def uid_kind(uid) -> Column:
 
 def normalize_http_path(path) -> Column:
     """One leading slash, no closing or repeated ones, every parameter slot as {}."""
-    parts = F.filter(F.transform(F.split(F.trim(_c(path)), "/"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(F.trim(_c(path)), "/"), lambda s: F.trim(s)), lambda s: s != "")
     slot = r"^(\{.*\}|\$\{.*\}|:.*|<.*>)$"
     return F.concat(F.lit("/"), F.array_join(F.transform(parts, lambda s: F.when(s.rlike(slot), F.lit("{}")).otherwise(s)), "/"))
 
@@ -216,6 +216,11 @@ def parameter_count(signature) -> Column:
 # --- paths
 
 
+def micros(ts) -> Column:
+    """Microseconds since 1970 of a timestamp with or without a zone."""
+    return F.unix_micros(_c(ts).cast("timestamp"))
+
+
 def file_name(path) -> Column:
     return F.regexp_extract(F.translate(_c(path), "\\", "/"), r"([^/]*)$", 1)
 
