@@ -8,8 +8,9 @@ Method (set-relation skipping):
 
 * Every set is put into one global order: shingles that are rare first, by hash; shingles known to be
   frequent last. Two sets that link share a shingle among the first n - ceil(t n) + 1 of each (prefix
-  filter), so only those are indexed. Frequent shingles are found from all texts; the list of them is
-  bounded (FREQUENT) and any list gives the same links: it decides cost only.
+  filter), so only those are indexed. Counts cover all texts: of the shingles that a
+  prefix could hold, and of those that repeat within a chunk. The list of frequent ones is bounded
+  (FREQUENT) and any list gives the same links: it decides cost only.
 * The index is dealt by shingle into buckets. In a list entries are sorted by set size and then by the
   shingle's position; a probe skips blocks of sizes that cannot reach the threshold and, within a size,
   all entries behind the last useful position.
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ from graphloom.llm.common import chunks, components, small_batches, text_bytes,
 NGRAM = 5
 PERCENT = 80
 #: Shingles put last in the order, at most; at least so many texts hold each.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 20
 FREQUENT_FROM = 12
 #: Groups of equal sets whose representatives every task knows, at most.
 HOT_SETS = 1 << 16
@@ -48,6 +50,10 @@ LIST_BLOCK = 4096
 #: Bytes of text that are worked on at once.
 CHUNK = 16 << 20
 BLOOM_BITS = 1 << 24
+#: Pairs that a task holds before it passes them on.
+PAIRS = 1 << 17
+#: Shingles of one bucket.
+BUCKET = 1 << 19
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,21 +110,69 @@ def least_difference(a: bytes, b: bytes) -> int:
 # --- pass A: what every text holds
 
 
-_A = "kind int, id long, n int, sig long, sketch binary, token long, count long"
+_A = "kind int, bucket int, id long, n int, sig long, sketch binary, tokens binary, counts binary"
+_SETS = "kind int, id long, n int, sig long, sketch binary, token long, count long"
 
 
-def _describe(ngram: int):
+def _signature(s: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(s * _M ^ (s >> np.uint64(32))).view(np.int64)) if len(s) else 0
+
+
+def _bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((tokens * _M) >> np.uint64(40)) % np.uint64(buckets)
+
+
+def _describe(ngram: int, percent: int, buckets: int):
+    """Of every text its size, signature and bitmap; of every chunk of texts the counts of its low shingles, and of those it repeats.
+
+    Low are those that a prefix under the plain order of hashes could hold, and half as many again.
+    """
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    schema = pa.schema([(x.split()[0], k) for x, k in zip(_A.split(", "), kinds, strict=True)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int32()), ("sig", pa.int64()), ("sketch", pa.binary()), ("token", pa.int64()), ("count", pa.int64())])
         for t in chunks(batches, "text", CHUNK):
             sets = [shingles(x, ngram) for x in text_bytes(t.column("text"))]
+            k = len(sets)
             n = [len(s) for s in sets]
-            sig = [int(np.bitwise_xor.reduce(s * _M ^ (s >> np.uint64(32))).view(np.int64)) if len(s) else 0 for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), t.column("id").combine_chunks(), pa.array(n, pa.int32()), pa.array(sig, pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], schema=schema)
-            u, c = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64),) * 2
-            u, c = u[c > 1], c[c > 1]
-            k = len(u)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], schema=schema)
+            where = [int(x) % buckets for x in np.random.default_rng(k).permutation(k)]
+            yield pa.RecordBatch.from_arrays([pa.array([0] * k, kinds[0]), pa.array(where, kinds[1]), t.column("id").combine_chunks(), pa.array(n, kinds[3]), pa.array([_signature(s) for s in sets], kinds[4]), pa.array([sketch(s) for s in sets], kinds[5]), pa.nulls(k, kinds[6]), pa.nulls(k, kinds[7])], schema=schema)
+            u, c = np.unique(np.concatenate(sets), return_counts=True)
+            low = np.zeros(len(u), bool)
+            low[np.searchsorted(u, np.concatenate([s[: prefix_length(len(s), percent) * 3 // 2 + 8] for s in sets if len(s)] or [u[:0]]))] = True
+            u, c = u[low | (c > 1)], c[low | (c > 1)]
+            to = _bucket_of(u, buckets)
+            order = np.lexsort((c > 1, to))
+            u, c, to = u[order], c[order], to[order]
+            cuts = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
+            rows = [(b, u[x:y].tobytes(), c[x:y][c[x:y] > 1].astype(np.uint32).tobytes()) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+            m = len(rows)
+            if m:
+                yield pa.RecordBatch.from_arrays([pa.array([1] * m, kinds[0]), pa.array([r[0] for r in rows], kinds[1]), *[pa.nulls(m, x) for x in kinds[2:6]], pa.array([r[1] for r in rows], kinds[6]), pa.array([r[2] for r in rows], kinds[7])], schema=schema)
+
+    return run
+
+
+def _counted(least: int):
+    """Passes texts' rows on and adds up a bucket's counts; shingles that few texts hold are left out."""
+
+    def run(_key, rows):
+        kind = rows.column("kind")
+        own = rows.filter(pa.compute.equal(kind, 0)).select(["kind", "id", "n", "sig", "sketch"])
+        packs = rows.filter(pa.compute.equal(kind, 1))
+        tokens, counts = [], []
+        for x, y in zip(packs.column("tokens").to_pylist(), packs.column("counts").to_pylist(), strict=True):
+            u, c = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint32)
+            tokens.append(u)
+            counts.append(np.r_[np.ones(len(u) - len(c), np.int64), c])
+        u, back = np.unique(np.concatenate(tokens or [np.empty(0, np.uint64)]), return_inverse=True)
+        c = np.bincount(back, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64) if len(u) else np.empty(0, np.int64)
+        u, c = u[c >= least], c[c >= least]
+        k, m = own.num_rows, len(u)
+        out = own.append_column("token", pa.nulls(k, pa.int64())).append_column("count", pa.nulls(k, pa.int64()))
+        more = pa.table({"kind": pa.array([1] * m, pa.int32()), "id": pa.nulls(m, pa.int64()), "n": pa.nulls(m, pa.int32()), "sig": pa.nulls(m, pa.int64()), "sketch": pa.nulls(m, pa.binary()), "token": pa.array(u.view(np.int64)), "count": pa.array(c)})
+        return pa.concat_tables([out, more])
 
     return run
 
@@ -143,7 +197,7 @@ def _index(ngram: int, percent: int, buckets: int, shared):
                 s = shingles(x, ngram)
                 if i is None or not len(s):
                     continue
-                sig = int(np.bitwise_xor.reduce(s * _M ^ (s >> np.uint64(32))).view(np.int64))
+                sig = _signature(s)
                 if hot.get(sig, i) != i or sig in seen:
                     continue  # an equal set has the same answer; links_of_equal joins them
                 seen.add(sig)
@@ -176,7 +230,7 @@ def _index(ngram: int, percent: int, buckets: int, shared):
             tok, own, pos, sl = np.concatenate(tokens), np.concatenate(owner), np.concatenate(place), np.concatenate(salt)
             with np.errstate(over="ignore"):
                 tok = tok ^ (sl * np.uint64(0xD6E8FEB86659FD93))
-                to = ((tok * _M) >> np.uint64(40)) % np.uint64(buckets)
+            to = _bucket_of(tok, buckets)
             order = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[order], np.arange(buckets + 1, dtype=np.uint64))
             all_ids, all_sizes = np.array(ids, np.int64), np.array(sizes, np.uint32)
@@ -283,16 +337,30 @@ def _probe_short(ids: list, n: list, pos: list, group: list, percent: int) -> np
     return np.array(out, np.int64) if out else np.empty((0, 2), np.int64)
 
 
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    p = np.concatenate([*found, np.empty((0, 2), np.int64)]).astype(np.int64)
+    p = p[np.lexsort((p[:, 1], p[:, 0]))]
+    if len(p):
+        p = p[np.r_[True, (p[1:] != p[:-1]).any(1)]]
+    return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+
+
 def _unlinked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for row in b.column("entries").to_pylist():
-                e = np.array([(x["n"], x["pos"], x["id"], x["group"]) for x in row], np.int64)
-                e = e[np.lexsort((e[:, 2], e[:, 1], e[:, 0]))]
-                found.append(probe(e[:, 2], e[:, 0], e[:, 1], e[:, 3], percent))
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int64)), pa.array(pairs[:, 1].astype(np.int64))], names=["a", "b"])
+            found, held = [], 0
+            lists = b.column("entries")
+            off, field = lists.offsets.to_numpy(), lists.values
+            col = [field.field(k).to_numpy() for k in ("n", "pos", "id", "group")]
+            for x, y in zip(off, off[1:], strict=False):
+                n, pos, ids, group = (c[x:y].astype(np.int64) for c in col)
+                o = np.lexsort((ids, pos, n))
+                found.append(probe(ids[o], n[o], pos[o], group[o], percent))
+                held += len(found[-1])
+                if held > PAIRS:
+                    yield _pairs(found)
+                    found, held = [], 0
+            yield _pairs(found)
 
     return run
 
@@ -352,9 +420,13 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scan = written(rows.mapInArrow(_describe(ngram), _A), "jaccard-sets")
+    # a word has about six bytes, and a third of the shingles are low
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(8, math.ceil(size / 20 / BUCKET))
+    described = rows.mapInArrow(_describe(ngram, percent, parts), _A).repartition(parts, "bucket")
+    scan = written(described.groupBy("bucket").applyInArrow(_counted(frequent_from), _SETS), "jaccard-sets")
     every = scan.where("kind = 0").select("id", "n", "sig", "sketch")
-    frequent = scan.where("kind = 1").groupBy("token").agg(F.sum("count").alias("c")).where(F.col("c") >= frequent_from).orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()
+    frequent = scan.where("kind = 1").select("token", F.col("count").alias("c")).orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()
     sets = every.where("n > 0 and id is not null").groupBy("sig", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c"))
     hot = sets.where("c > 8").orderBy(F.desc("c"), "sig").limit(HOT_SETS).select("sig", "rep").toPandas()
     token = frequent["token"].to_numpy(np.int64).view(np.uint64)
@@ -362,7 +434,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blocks = -(-frequent["c"].to_numpy(np.int64) // list_block)
     shared = spark.sparkContext.broadcast((token[order], blocks[order], hot["sig"].to_numpy(np.int64), hot["rep"].to_numpy(np.int64)))
     total = every.agg(F.sum(F.expr(f"n - ceil(n * {percent} / 100) + 1"))).first()[0] or 0
-    buckets = max(8, math.ceil(total / (1 << 19)))
+    buckets = max(8, math.ceil(total / BUCKET))
     packs = rows.mapInArrow(_index(ngram, percent, buckets, shared), _B)
     lists = written(packs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_lists, _LISTS), "jaccard-lists")
     about = every.where("n > 0 and id is not null").dropDuplicates(["id"])
