@@ -71,9 +71,11 @@ def note_facts(path: str, text: str) -> list[tuple]:
         if fence or _FENCE.match(x):
             body.append(x)
             continue
-        if x.count("%%") % 2:
+        x = re.sub(r"%%.*?%%", "", x)
+        if "%%" in x:
             comment = not comment
-        if comment:
+            x = x.split("%%")[0] if comment else x.split("%%", 1)[1]
+        elif comment:
             continue
         if m := _HEADING.match(x):
             close(i - 1)

@@ -17,9 +17,9 @@ def counts_stream(events: DataFrame, watermark: str = "1 hour", window: str = "1
     return events.withWatermark("ts", watermark).groupBy(F.window("ts", window), "uid", "kind").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "uid", "kind", "n")
 
 
-def debounced(paths: DataFrame, quiet: str = "2 seconds", watermark: str = "10 seconds") -> DataFrame:
-    """Sessions of file events that end after a quiet period: start, end and the set of paths."""
-    return paths.withWatermark("ts", watermark).groupBy(F.session_window("ts", quiet)).agg(F.array_sort(F.collect_set("path")).alias("paths")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "paths")
+def debounced(paths: DataFrame, quiet: str = "2 seconds", watermark: str = "10 seconds", key: str = "root") -> DataFrame:
+    """Sessions of file events (ts, root, path) below each watched root that end after a quiet period: root, start, end, paths."""
+    return paths.withWatermark("ts", watermark).groupBy(key, F.session_window("ts", quiet)).agg(F.array_sort(F.collect_set("path")).alias("paths")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "paths")
 
 
 def follow_up_stream(events: DataFrame, seconds: float = 30.0) -> DataFrame:
