@@ -194,7 +194,7 @@ def edge_type(text) -> Column:
 
 def heading_edge_type(heading) -> Column:
     x = F.lower(F.trim(_c(heading)))
-    return F.when(x.isin("supersedes"), "SUPERSEDES").when(x.isin("depends on", "dependencies"), "DEPENDS_ON").when(x.isin("caused by"), "CAUSED_BY").when(x.isin("related", "relates to", "see also"), "RELATES_TO")
+    return F.when(x == "supersedes", "SUPERSEDES").when(x.isin("depends on", "depends", "dependencies"), "DEPENDS_ON").when(x.isin("see also", "related"), "RELATES_TO")
 
 
 def frontmatter_refs(json, key: str) -> Column:

@@ -294,6 +294,14 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20) ->
     return label.join(names, "c").select("uid", "community")
 
 
+def code_edges(symbols: DataFrame, edges: DataFrame, repos: Iterable[str] | None = None) -> DataFrame:
+    """Undirected weighted edges (a, b, weight) between symbols, without module owners, within repositories where given."""
+    own = symbols.where("name <> '<module>'")
+    own = (own if repos is None else own.where(F.col("repo_uid").isin(*repos))).select("uid")
+    e = edges.join(own.withColumnRenamed("uid", "src"), "src", "left_semi").join(own.withColumnRenamed("uid", "dst"), "dst", "left_semi")
+    return e.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum(F.coalesce("confidence", F.lit(1.0))).alias("weight")).where("a <> b")
+
+
 def betweenness(edges: DataFrame, sources: int | None = None) -> DataFrame:
     """uid, betweenness of the undirected simple graph: exact, or over evenly spaced sources and scaled.
 

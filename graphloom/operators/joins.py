@@ -224,6 +224,16 @@ def response_diff(base: DataFrame, head: DataFrame) -> DataFrame:
     return lost.select("operation", "code", F.lit("removed").alias("change"), F.when(F.col("code").startswith("2"), "breaking").otherwise("info").alias("severity")).unionByName(new.select("operation", "code", F.lit("added").alias("change"), F.lit("info").alias("severity")))
 
 
+def openapi_diff(base: tuple[DataFrame, DataFrame, DataFrame], head: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """operation, what, change, severity over (operations, parameters, responses) of two versions."""
+    gone = base[0].join(head[0], "operation", "left_anti").select("operation", F.lit("operation").alias("what"), F.lit("removed").alias("change"), F.lit("breaking").alias("severity"))
+    new = head[0].join(base[0], "operation", "left_anti").select("operation", F.lit("operation").alias("what"), F.lit("added").alias("change"), F.lit("info").alias("severity"))
+    both = base[0].join(head[0], "operation", "left_semi").select("operation")
+    p = parameter_diff(base[1].join(both, "operation", "left_semi"), head[1].join(both, "operation", "left_semi")).select("operation", F.concat_ws(" ", "location", "name").alias("what"), "change", "severity")
+    r = response_diff(base[2].join(both, "operation", "left_semi"), head[2].join(both, "operation", "left_semi")).select("operation", F.concat(F.lit("response "), "code").alias("what"), "change", "severity")
+    return gone.unionByName(new).unionByName(p).unionByName(r)
+
+
 def unlinked_mentions(notes: DataFrame, resolved: DataFrame, uid: str) -> DataFrame:
     """Notes of the same vault whose text holds the note's title and that do not link to it, with a snippet."""
     one = notes.where(F.col("uid") == uid).select(F.lower("title").alias("_t"), F.col("vault_uid").alias("_v"))

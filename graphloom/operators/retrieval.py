@@ -60,6 +60,48 @@ def query_terms(query: str) -> dict[str, float]:
     return dict.fromkeys(re.findall(r"\w+", query.lower().replace("_", " ")), 1.0)
 
 
+def parse_query(query: str) -> dict:
+    """terms, required terms, phrases and fields of a query; what does not parse is taken as plain words.
+
+    `a AND b` and `+a` require, `"a b"` is a phrase, `title:a` names a field, `a OR b` and bare words are optional.
+    """
+    import re
+
+    out: dict = {"terms": {}, "must": set(), "phrases": [], "fields": {}}
+    parts = re.findall(r'"[^"]+"|\S+', query)
+    for i, x in enumerate(parts):
+        if x in ("AND", "OR"):
+            continue
+        if x.startswith('"') and x.endswith('"') and len(x) > 1:
+            out["phrases"].append(x[1:-1].lower())
+            out["terms"] |= query_terms(x[1:-1])
+            continue
+        field, _, rest = x.partition(":") if re.match(r"^(title|body):\w", x) else ("", "", x)
+        words = query_terms(rest)
+        out["terms"] |= words
+        if field:
+            out["fields"] |= dict.fromkeys(words, field)
+        if x.startswith("+") or "AND" in (parts[i - 1] if i else "", parts[i + 1] if i + 1 < len(parts) else ""):
+            out["must"] |= set(words)
+    return out
+
+
+def boolean_search(docs: DataFrame, index: DataFrame, lengths: DataFrame, query: str, limit: int) -> DataFrame:
+    """BM25 of all terms over the documents that hold the required ones, the phrases and the fields' terms."""
+    q = parse_query(query)
+    hits = bm25(index, lengths, q["terms"] or {"": 0.0})
+    if q["must"]:
+        all_of = index.where(F.col("term").isin(*q["must"])).groupBy("uid").agg(F.count_distinct("term").alias("n")).where(F.col("n") == len(q["must"]))
+        hits = hits.join(all_of, "uid", "left_semi")
+    for term, field in q["fields"].items():
+        hits = hits.join(index.where((F.col("term") == term) & (F.col("field") == field)), "uid", "left_semi")
+    for phrase in q["phrases"]:
+        line = F.array_join(tokens(F.concat_ws(" ", "title", "text")), " ")
+        want = " ".join(query_terms(phrase))
+        hits = hits.join(docs.where(F.concat(F.lit(" "), line, F.lit(" ")).contains(f" {want} ")).select("uid"), "uid", "left_semi")
+    return hits.orderBy(F.desc("score"), "uid").limit(limit)
+
+
 def prf_terms(index: DataFrame, lengths: DataFrame, first: DataFrame, query: str, stopwords: Iterable[str] = model.STOPWORDS, hits: int = 5, top: int = 10) -> DataFrame:
     """term, weight of expansion: from the bodies of the first hits; idf at least the (upper) median, the best by idf * tf."""
     best = first.orderBy(F.desc("score"), "uid").limit(hits).select("uid")

@@ -106,3 +106,129 @@ def selection_evaluation(t):
     o = t.orders.where("o_orderkey < 800").select(F.concat(F.lit("sha"), F.col("o_orderkey") % 400).alias("sha"), "o_orderkey", F.array((F.col("o_custkey") % 7).cast("string")).alias("files"))
     joined = o.where("o_orderkey >= 400").select("sha", F.col("o_orderkey").alias("truth_id"), F.col("files").alias("failed")).join(o.where("o_orderkey < 400").select("sha", F.col("files").alias("selected")), "sha").withColumn("total", F.lit(7))
     return A.selection_report(joined).select("n_joined", *[F.round(c, 9).alias(c) for c in ("file_recall", "change_recall", "breadth")])
+
+
+@query(given("symbols", "edges") + "SELECT s.uid, s.name FROM edges e JOIN symbols s ON s.uid = e.src WHERE e.rel = 'MEMBER_OF' AND e.dst = 'nation:3'")
+def members(t):
+    return J.neighbours(t.edges, t.symbols, "nation:3", "in", ["MEMBER_OF"]).select("uid", "name")
+
+
+@query(given("edges") + "SELECT dst AS uid, rel, round(confidence, 9) AS confidence FROM edges WHERE src = 'sup:5' AND rel IN ('CALLS', 'IMPORTS', 'EXTENDS_SYM', 'CROSS_REPO_LINK') AND confidence >= 0.5")
+def outgoing_impact_edges(t):
+    from graphloom import model
+
+    return t.edges.where((F.col("src") == "sup:5") & F.col("rel").isin(*model.IMPACT_RELATIONS) & (F.col("confidence") >= 0.5)).select(F.col("dst").alias("uid"), "rel", F.round("confidence", 9).alias("confidence"))
+
+
+_SEC = ", sec AS (SELECT uid AS note_uid, generate_subscripts(string_split(text, chr(10)), 1) AS line, unnest(string_split(text, chr(10))) AS body FROM notes), s AS (SELECT * FROM sec WHERE trim(body) <> '')"
+
+
+@query(given("notes") + _SEC + "SELECT note_uid, CAST(count(*) FILTER (regexp_matches(body, '^#{1,6} ')) AS BIGINT) AS headings, CAST(count(*) FILTER (NOT regexp_matches(body, '^#{1,6} ')) AS BIGINT) AS sections FROM s GROUP BY note_uid")
+def structure_counts(t):
+    from graphloom.operators.notes import structure_counts as counts
+
+    return counts(t.notes)
+
+
+@query(given("notes") + _SEC + "SELECT 'sec:' || note_uid || ':' || line AS uid, note_uid FROM s WHERE note_uid IN (SELECT uid FROM notes WHERE modified_at >= '2024-08-01T00:00:00Z')")
+def sections_modified_since(t):
+    from graphloom.operators.notes import sections_modified_since as since
+
+    return since(t.notes, "2024-08-01")
+
+
+@query(RESOLVED.replace("WITH notes", f"WITH tags AS ({__import__('graphloom.adapters', fromlist=['oracle']).oracle('tags')}), notes", 1) + """, sec AS (SELECT uid AS note_uid, unnest(string_split(text, chr(10))) AS body FROM notes) SELECT rel, count(*) AS n FROM (SELECT 'NOTE_HAS_SECTION' AS rel FROM sec WHERE trim(body) <> '' UNION ALL SELECT 'NOTE_TAGGED_WITH' FROM (SELECT DISTINCT * FROM tags) UNION ALL SELECT 'WIKILINK_TO_NOTE' FROM resolved) GROUP BY rel""")
+def vault_typed_edges(t):
+    from graphloom.operators.notes import note_edges
+
+    return note_edges(t.notes, t.tags, resolved(t)).groupBy("rel").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def unified_rank(t):
+    """Personalised rank over notes, tags and code together, around a note."""
+    from graphloom.operators import graph as GR
+    from graphloom.operators.notes import note_edges
+    from graphloom.plans.iterate import cut
+
+    r = resolved(t)
+    mention = t.documents.join(t.part, F.col("p_partkey") == F.col("doc_id")).select(F.concat(F.lit("note:"), "doc_id").alias("src"), F.concat(F.lit("part:"), "p_partkey").alias("dst"), F.lit(0.85).alias("confidence"))
+    every = cut(note_edges(t.notes, t.tags, cut(r), mention).unionByName(t.edges.select("src", "dst", "rel", "confidence")))
+    nodes = every.select(F.explode(F.array("src", "dst")).alias("uid")).distinct()
+    return GR.personalized_pagerank(nodes, GR.scope_graph(nodes, every, "unified"), ["note:1"], 0.75, 3, 0.0).withColumn("score", F.round("score", 8))
+
+
+@query(given("symbols") + """SELECT s.uid, round(s.start_line * greatest(0.4, least(1.6, coalesce(1 + 1.2 * (a.s - 0.5), 1.0)))::DOUBLE, 6) AS score FROM symbols s LEFT JOIN (SELECT uid, (end_line % 10)::DOUBLE / 10 AS s FROM symbols WHERE kind = 'Function') a USING (uid) ORDER BY score DESC, uid LIMIT 30""")
+def top_by_rank_and_activity(t):
+    from graphloom.functions import scalar as S
+
+    s = t.symbols
+    activity = s.where("kind = 'Function'").select("uid", (F.col("end_line") % 10 / F.lit(10.0)).alias("s"))
+    j = s.join(activity, "uid", "left")
+    return j.select("uid", F.round(F.col("start_line") * S.activity_multiplier("s"), 6).alias("score")).orderBy(F.desc("score"), "uid").limit(30)
+
+
+@query(given("symbols", "edges") + """, d AS (SELECT uid, count(*) AS n FROM (SELECT src AS uid FROM edges UNION ALL SELECT dst FROM edges) GROUP BY uid), h AS (SELECT uid, n FROM d ORDER BY n DESC, uid LIMIT 15) SELECT h.uid, s.repo_uid AS cluster FROM h LEFT JOIN symbols s USING (uid)""")
+def hub_clusters(t):
+    ends = t.edges.select(F.explode(F.array("src", "dst")).alias("uid")).groupBy("uid").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "uid").limit(15)
+    return ends.join(t.symbols.select("uid", F.col("repo_uid").alias("cluster")), "uid", "left").select("uid", "cluster")
+
+
+@query(given("interactions") + "SELECT split_part(uid, ':', 1) AS prefix, uid, n FROM (SELECT uid, count(*) AS n FROM interactions GROUP BY uid) ORDER BY n DESC, uid LIMIT 12")
+def top_uids_by_kind(t):
+    n = A.interaction_counts(t.interactions).select("uid", (F.col("access") + F.col("seeds") + F.col("used") + F.col("shown") + F.col("terminal")).alias("n"))
+    return n.where(F.col("uid").startswith("part:")).select(F.substring_index("uid", ":", 1).alias("prefix"), "uid", "n").orderBy(F.desc("n"), "uid").limit(12)
+
+
+@query(given("symbols") + """SELECT * FROM (SELECT 'class' AS kind, uid, start_line::DOUBLE AS score FROM symbols WHERE kind = 'Class' ORDER BY score DESC, uid LIMIT 5) UNION ALL SELECT * FROM (SELECT 'function', uid, start_line::DOUBLE AS score FROM symbols WHERE kind = 'Function' ORDER BY score DESC, uid LIMIT 5)""")
+def overview_landmarks(t):
+    from graphloom.operators.notes import landmarks
+
+    s = t.symbols.withColumn("score", F.col("start_line").cast("double"))
+    return landmarks(5, **{"class": s.where("kind = 'Class'"), "function": s.where("kind = 'Function'")})
+
+
+@query(given("symbols") + """SELECT uid, CASE WHEN file_path LIKE '%.go' AND kind = 'Method' AND uid LIKE '%0' THEN 'HttpHandler' WHEN file_path LIKE '%.py' AND name LIKE 'red%' THEN 'TestEntry' WHEN file_path LIKE '%.rs' THEN 'Main' END AS entry,
+    CASE WHEN file_path LIKE '%.java' THEN 'spring/service' END AS framework FROM symbols""")
+def entry_point_kinds(t):
+    from graphloom.functions import conventions as C
+    from graphloom.functions import scalar as S
+
+    s = t.symbols
+    go = F.col("file_path").endswith(".go") & (F.col("kind") == "Method") & F.col("uid").endswith("0")
+    name = F.when(go, F.concat("name", F.lit("Handler"))).when(F.col("file_path").endswith(".py") & F.col("name").startswith("red"), F.concat(F.lit("test_"), "name")).when(F.col("file_path").endswith(".rs"), "main").otherwise(F.lit("x"))
+    sig = F.when(F.col("file_path").endswith(".java"), "@Service class").otherwise(F.lit(""))
+    lang = S.language("file_path")
+    return s.select("uid", C.entry_point_kind(lang, name, F.col("file_path"), sig, F.col("kind")).alias("entry"), C.framework_hint(lang, name, F.col("file_path"), sig, F.col("kind")).alias("framework"))
+
+
+@query(given("symbols") + """SELECT uid, CASE WHEN start_line % 3 = 0 THEN 'info' WHEN start_line % 3 = 1 THEN 'breaking' ELSE 'warning' END AS severity FROM symbols WHERE kind = 'Function'""")
+def signature_severities(t):
+    from graphloom.functions import conventions as C
+
+    n = F.col("start_line") % 3
+    new = F.when(n == 0, "f(a, b=1)").when(n == 1, "f()").otherwise(F.lit("f(a: int)"))
+    return t.symbols.where("kind = 'Function'").select("uid", C.signature_severity(F.lit("f(a)"), new, F.col("file_path")).alias("severity"))
+
+
+@query(given("edges") + "SELECT src, dst, CASE WHEN confidence >= 0.5 THEN 'breaking' ELSE 'warning' END AS severity FROM edges WHERE rel = 'CALLS' AND confidence >= 0.25 AND dst = 'sup:9'")
+def severity_filter(t):
+    from graphloom.functions import conventions as C
+    from graphloom.functions import scalar as S
+
+    e = t.edges.where("rel = 'CALLS' and dst = 'sup:9'").withColumn("severity", S.org_severity("confidence"))
+    return e.where(C.at_least(F.col("severity"), "warning")).select("src", "dst", "severity")
+
+
+@query(given("notes") + "SELECT uid FROM notes WHERE regexp_matches(lower(text), 'apache license, version') ORDER BY uid")
+def phrase_search(t):
+    from graphloom.operators import retrieval as RT
+
+    idx, lens = RT.postings(t.notes), RT.field_lengths(t.notes)
+    return RT.boolean_search(t.notes, idx, lens, '"apache license version" AND note', 10_000).select("uid")
+
+
+@query(RESOLVED + """, one AS (SELECT lower(title) AS t, vault_uid AS v FROM notes WHERE uid = 'note:1') SELECT n.uid FROM notes n, one WHERE n.vault_uid = one.v AND n.uid <> 'note:1' AND contains(lower('see Note 1 en ' || n.text), one.t) AND n.uid NOT IN (SELECT src FROM resolved WHERE dst = 'note:1')""")
+def unlinked_mentions(t):
+    n = t.notes.withColumn("text", F.concat(F.lit("see Note 1 en "), "text"))
+    return J.unlinked_mentions(n, resolved(t), "note:1").select("uid")

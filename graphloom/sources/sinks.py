@@ -71,6 +71,53 @@ def verify_snapshot(spark, path: str) -> DataFrame:
     return manifest.join(now.select("name", F.col("rows").alias("_r"), F.col("checksum").alias("_c")), "name", "left").select("name", ((F.col("rows") == F.col("_r")) & (F.col("checksum") == F.col("_c"))).alias("ok"))
 
 
+def append_journal(changes: DataFrame, path: str) -> None:
+    """New files beside the old: rows of vectors (uid, seq, embedding, deleted)."""
+    changes.write.mode("append").parquet(path)
+
+
+def compact_journal(spark, path: str, to: str, ratio: float = 2.0) -> bool:
+    """Rewrites the journal to its live rows when it holds `ratio` times as many rows as are live."""
+    from graphloom.streaming.ingest import latest
+
+    journal = spark.read.parquet(path)
+    live = latest(journal)
+    if journal.count() < ratio * max(1, live.count()):
+        return False
+    live.select(*journal.columns).write.mode("overwrite").parquet(to)
+    return True
+
+
+def export(nodes: DataFrame, edges: DataFrame, path: str, kind: str, scores: DataFrame | None = None, top: int = 50) -> None:
+    """Writes the graph in a format by name: cypher, graphml, mermaid, json or parquet."""
+    if kind == "cypher":
+        cypher(nodes, edges).orderBy("part", "uid").select("line").write.text(path)
+    elif kind == "graphml":
+        write_graphml(nodes, edges, path)
+    elif kind == "mermaid":
+        mermaid(nodes, edges, scores, top).orderBy("part", "line").select("line").write.text(path)
+    elif kind in ("json", "parquet"):
+        nodes.write.format(kind).save(f"{path}/nodes")
+        edges.write.format(kind).save(f"{path}/edges")
+    else:
+        raise ValueError(f"no such format: {kind}")
+
+
+def training_rows(features: DataFrame, path: str) -> None:
+    features.write.mode("overwrite").json(path)
+
+
+def load_weights(text: str, version: int = 1) -> dict[str, float] | None:
+    """Weights of a linear re-ranker from JSON; None when it is of another version or no such thing."""
+    import json
+
+    try:
+        model = json.loads(text)
+    except ValueError:
+        return None
+    return {k: float(v) for k, v in model["weights"].items()} if model.get("version") == version and isinstance(model.get("weights"), dict) else None
+
+
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     """Writes only the partitions that df has; others stay."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
