@@ -18,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality_model(docs, labels, F.lit(True))
-    return scored(docs, model).where("quality_score >= 0.5").drop("quality_score")
+    return scored(docs, model, out="__score").where("__score >= 0.5").drop("__score")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

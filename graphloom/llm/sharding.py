@@ -7,7 +7,7 @@ afterwards is that written order. The buckets laid end to end are one random per
 shards in turn: shard = place mod n_shards, slot = place div n_shards. The law is `rows`: shard counts
 differ by one at most, slots run from 0 without gaps.
 
-Null texts have size 8 and checksum 0. Repeated rows are separate records. An empty table gives an empty
+Payload columns named as a column of the plan come back with doc_ in front. Null texts have size 8 and checksum 0. Repeated rows are separate records. An empty table gives an empty
 result.
 """
 
@@ -41,6 +41,15 @@ def external_shuffle(rows: DataFrame, id_col: str, seed: int = SEED, bucket_rows
     return placed.select((F.col("_start") + F.col("_pos")).cast("long").alias("place"), *[F.col(f"_rec.{c}").alias(c) for c in names if c != "_row"])
 
 
+#: The columns of a plan besides the id.
+PLAN = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def carried(payload: tuple[str, ...], id_col: str) -> list[str]:
+    """Names of payload columns in the plan: one that the plan has itself gets doc_ in front."""
+    return [f"doc_{c}" if c in (*PLAN, id_col) else c for c in payload]
+
+
 def shard_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, payload: tuple[str, ...] = ()) -> DataFrame:
     """id, size, text_crc32, law, shard, slot, grown_shard (null under the law `rows`), then the payload columns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -49,7 +58,7 @@ def shard_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return placed.select(
         id_col, "size", "text_crc32", F.lit("rows").alias("law"), F.pmod("place", F.lit(n_shards)).cast("int").alias("shard"),
         F.floor(F.col("place") / n_shards).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-        *[F.col(f"_p{i}").alias(c) for i, c in enumerate(payload)],
+        *[F.col(f"_p{i}").alias(c) for i, c in enumerate(carried(payload, id_col))],
     )
 
 
@@ -57,4 +66,4 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """Whole records, one folder per shard, in the order of their slots."""
     other = tuple(c for c in docs.columns if c != id_col)
     plan = shard_plan(docs, id_col, text_col, n_shards, seed, bucket_rows, other)
-    plan.select("shard", "slot", id_col, *other).repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    plan.select("shard", "slot", id_col, *carried(other, id_col)).repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

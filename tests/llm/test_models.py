@@ -93,7 +93,7 @@ def test_language_of_texts():
 def test_classifiers_on_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 1), (5, 1, 1), (None, 1, 1), (4, 1, None), (99, 0, 0)], "doc_id long, quality int, toxic int")
     m = quality_mil.quality_model(odd, labels, F.lit(True))
-    got = quality_mil.scored(odd, m).collect()
+    got = quality_mil.scored(odd.withColumn("quality_score", F.lit("clash")), m).collect()
     assert len(got) == len(ODD) and all(0 <= r.quality_score <= 1 for r in got)
     t = toxicity_cnn.toxicity_model(odd, labels, F.lit(True))
     rows = odd.select(F.col("doc_id").alias("id"), "text")
@@ -198,7 +198,7 @@ def test_codec_parity_and_round_trip(spark, odd):
     assert ids == reference.encode(texts) and sentencepiece_codec.decode_ids(data, ids) == reference.decode(ids) == texts
     rows = sentencepiece_codec.digests(odd).collect()
     assert len(rows) == len(ODD) and all(r.round_trip for r in rows)
-    both = sentencepiece_codec.decoded(sentencepiece_codec.encoded(odd)).collect()
+    both = sentencepiece_codec.decoded(sentencepiece_codec.encoded(odd.withColumn("token_ids", F.lit("clash"))).withColumn("decoded_text", F.lit(1))).collect()
     assert sorted(r.decoded_text for r in both) == sorted(x or "" for _, x, _ in ODD)
     assert sentencepiece_codec.encoded(odd.where("false")).count() == 0
 

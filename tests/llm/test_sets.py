@@ -159,6 +159,9 @@ def test_shards_are_shuffled(spark):
 def test_written_shards(spark, tmp_path):
     df = spark.createDataFrame([(i, f"text {i}", "en") for i in range(100)], "doc_id long, text string, lang string")
     sharding.write_shards(df, str(tmp_path / "out"), n_shards=4, bucket_rows=16)
+    clash = df.withColumn("shard", F.lit("x")).withColumn("size", F.lit(None).cast("string"))
+    sharding.write_shards(clash, str(tmp_path / "clash"), n_shards=4, bucket_rows=16)
+    assert set(spark.read.parquet(str(tmp_path / "clash")).columns) == {"shard", "slot", "doc_id", "text", "lang", "doc_shard", "doc_size"}
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 100 and set(back.columns) == {"shard", "slot", "doc_id", "text", "lang"}
     assert back.select("doc_id", "text").exceptAll(df.select("doc_id", "text")).count() == 0
