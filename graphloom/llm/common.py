@@ -67,6 +67,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> I
         if n >= most_bytes:
             yield pa.Table.from_batches(held)
             held, n = [], 0
+            pa.default_memory_pool().release_unused()
     if held:
         yield pa.Table.from_batches(held)
 

@@ -48,7 +48,7 @@ FREQUENT_FROM = 12
 HOT_SETS = 1 << 16
 LIST_BLOCK = 4096
 #: Bytes of text that are worked on at once.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 BLOOM_BITS = 1 << 24
 #: Pairs that a task holds before it passes them on.
 PAIRS = 1 << 17
