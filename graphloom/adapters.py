@@ -63,7 +63,13 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = SQL[name]
     used = set(re.findall(r"\{(\w+)\}", text))
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    return spark.sql(text, **{t: _spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) if name == "notes" else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Texts over all cores when their file has fewer row groups than there are cores; a large table stays as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
 
 
 def oracle(name: str) -> str:

@@ -42,8 +42,9 @@ def detect_intent(symbols: DataFrame, seeds: Iterable[str]) -> str:
 
 def _walk(nodes: DataFrame, graph: DataFrame, start: DataFrame, damping: float, iterations: int, tolerance: float) -> DataFrame:
     """Power iteration; start: uid, p (where the walk begins again and where dangling mass goes), score."""
-    out = graph.groupBy("src").agg(F.sum("weight").alias("total"))
-    step = cut(graph.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    held = cut(graph.select("src", "dst", "weight"))
+    out = held.groupBy("src").agg(F.sum("weight").alias("total"))
+    step = cut(held.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     base = cut(start.join(out.select(F.col("src").alias("uid"), F.lit(True).alias("leads")), "uid", "left").select("uid", "p", "score", F.coalesce("leads", F.lit(False)).alias("leads")))
     scores = base
     for _ in range(iterations):

@@ -17,7 +17,7 @@ RRF_K = 60
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), "")
 
 
 def postings(docs: DataFrame, fields: Mapping[str, str] = {"title": "title", "body": "text"}) -> DataFrame:
