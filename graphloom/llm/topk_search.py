@@ -33,6 +33,9 @@ QUERY_BLOCK = 2048
 #: Local cosine thresholds from this on prune by coordinate.
 BY_COORDINATE = 0.5
 FOCUS = 4
+#: Lengths are told apart in so many levels, at most; larger tables get larger blocks beyond so many buckets.
+LEVELS = 1024
+MOST_BUCKETS = 1 << 16
 
 
 def quantised(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -135,14 +138,17 @@ def topk(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
     small_batches(vectors.sparkSession)
     rows = written(quantised(vectors, id_col, vector_col, scale), "topk-vectors")
     total = rows.count()
-    n_buckets = max(1, math.ceil(total / block))
-    # like lengths together: quantiles of the norm; what shares a norm is dealt evenly by id
-    cuts = rows.approxQuantile("norm2", [i / n_buckets for i in range(1, n_buckets)], 0.2 / n_buckets) if 1 < n_buckets <= 4096 else []
-    cuts = sorted(set(cuts), reverse=True)
-    level = F.lit(0)
-    if cuts:
-        level = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.col("norm2")))
-    placed = rows.withColumn("level", level)
+    block = max(block, math.ceil(total / MOST_BUCKETS))
+    levels = min(max(1, math.ceil(total / block)), LEVELS)
+    # like lengths together: quantiles of the norm; what shares a level is dealt evenly by id
+    cuts = np.unique(rows.approxQuantile("norm2", [i / levels for i in range(1, levels)], 0.2 / levels)) if levels > 1 else np.empty(0)
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column("norm2").to_numpy()
+            yield from pa.Table.from_batches([b]).append_column("level", pa.array((len(cuts) - np.searchsorted(cuts, n, side="right")).astype(np.int32))).to_batches()
+
+    placed = rows.mapInArrow(level, "id long, v binary, norm2 double, dim int, level int")
     sizes = placed.groupBy("dim", "level").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max("norm2")).alias("longest"))
     placed = written(placed.join(F.broadcast(sizes), ["dim", "level"]).withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block))).withColumn("bucket", F.concat_ws("-", "dim", "level", "part")), "topk-buckets")
     buckets = F.broadcast(placed.groupBy("bucket", "dim", "level").agg(F.sqrt(F.max("norm2")).alias("longest")))
