@@ -63,7 +63,11 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = SQL[name]
     used = set(re.findall(r"\{(\w+)\}", text))
-    return spark.sql(text, **{t: _spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) if name == "notes" else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+    return spark.sql(text, **{t: _spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) if t in SPREAD.get(name, ()) else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+
+
+#: Source tables whose rows an adapter works on for long.
+SPREAD = {"notes": ("documents",)}
 
 
 def _spread(df: DataFrame) -> DataFrame:

@@ -21,8 +21,12 @@ def tokens(text: Column) -> Column:
 
 
 def postings(docs: DataFrame, fields: Mapping[str, str] = {"title": "title", "body": "text"}) -> DataFrame:
-    """uid, field, term, tf, length."""
+    """uid, field, term, tf, length.
+
+    Texts are dealt by uid before they are taken apart, so that counting terms moves no token.
+    """
     out = None
+    docs = docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "uid")
     for field, column in fields.items():
         t = docs.select("uid", F.lit(field).alias("field"), tokens(F.coalesce(column, F.lit(""))).alias("t")).withColumn("length", F.size("t"))
         step = t.select("uid", "field", "length", F.explode("t").alias("term")).groupBy("uid", "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").cast("long").alias("length"))
