@@ -8,11 +8,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom import model
-from graphloom.plans.iterate import cut
+from graphloom.plans.iterate import cut, numbered
 
 
 def scope_graph(nodes: DataFrame, edges: DataFrame, scope: str = "code", intent: str | None = None, reverse: float = model.REVERSE_WEIGHT) -> DataFrame:
@@ -316,9 +315,8 @@ def betweenness(edges: DataFrame, sources: int | None = None) -> DataFrame:
     start, k = nodes, n
     if sources is not None and sources < n:
         k = sources
-        order = nodes.withColumn("r", F.row_number().over(W.orderBy("uid")) - 1)
-        picked = [(i * n) // k for i in range(k)]
-        start = order.join(F.broadcast(edges.sparkSession.createDataFrame([(i,) for i in picked], "r int")), "r").select("uid")
+        picked = edges.sparkSession.createDataFrame([((i * n) // k,) for i in range(k)], "id long")
+        start = numbered(nodes, "uid").join(F.broadcast(picked), "id").select("uid")
     levels = [cut(start.select(F.col("uid").alias("s"), "uid", F.lit(1.0).alias("sigma")))]
     seen = levels[0].select("s", "uid")
     while True:

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def shared_folder(df: DataFrame) -> str:
@@ -28,3 +30,14 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df)}/loop-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """df and id, its rows numbered from 0 in the order of a unique key.
+
+    Numbers come from range partitions and their sizes, so no single task sorts all rows; the one window is over
+    a row for each partition.
+    """
+    parts = cut(df.repartitionByRange(key).sortWithinPartitions(key).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()}))
+    starts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0")).withColumn("_start", F.sum("_n").over(W.orderBy("_p")) - F.col("_n"))
+    return parts.join(F.broadcast(starts), "_p").select(*df.columns, (F.col("_start") + F.col("_m") - F.col("_m0")).alias("id"))

@@ -139,17 +139,9 @@ def impact_comment(impacts: DataFrame, most_chars: int = 60_000) -> DataFrame:
 
 
 def indexed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes numbered from 0 by uid, and edges by number.
+    """Nodes numbered from 0 by uid, and edges by number."""
+    from graphloom.plans.iterate import numbered as number
 
-    Numbers come from range partitions and their counts, so no single task sorts all nodes.
-    """
-    parts = nodes.select("uid").repartitionByRange("uid").sortWithinPartitions("uid").select("uid", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    from graphloom.plans.iterate import cut
-
-    parts = cut(parts)
-    from pyspark.sql import Window as W
-
-    starts = parts.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m0")).withColumn("start", F.sum("n").over(W.orderBy("p")) - F.col("n"))
-    numbered = parts.join(F.broadcast(starts), "p").select("uid", (F.col("start") + F.col("m") - F.col("m0")).alias("id"))
+    numbered = number(nodes.select("uid"), "uid")
     e = edges.join(numbered.select(F.col("uid").alias("src"), F.col("id").alias("src_id")), "src").join(numbered.select(F.col("uid").alias("dst"), F.col("id").alias("dst_id")), "dst")
     return numbered, e.select("src_id", "dst_id", "rel", "confidence")
