@@ -149,7 +149,9 @@ def dead_code(t):
     return GR.dead_code(t.symbols, t.edges).withColumn("path_confidence", F.round("path_confidence", 9))
 
 
-@query()
+@query(given("edges", e="SELECT DISTINCT src, dst FROM edges WHERE rel IN ('CALLS', 'IMPORTS', 'USES')", f1="SELECT dst AS u, 'cust:1>' || dst AS p FROM e WHERE src = 'cust:1' AND dst NOT IN ('part:9', 'cust:1')",
+    f2="SELECT e.dst AS u, min_by(f.p, e.src) || '>' || e.dst AS p FROM f1 f JOIN e ON e.src = f.u WHERE e.dst NOT IN ('part:9', 'cust:1') AND e.dst NOT IN (SELECT u FROM f1) GROUP BY e.dst",
+    o="SELECT 'cust:1>part:9' AS path, 1 AS hops FROM e WHERE src = 'cust:1' AND dst = 'part:9' UNION ALL SELECT p || '>part:9', 2 FROM f1 JOIN e ON src = u AND dst = 'part:9' UNION ALL SELECT p || '>part:9', 3 FROM f2 JOIN e ON src = u AND dst = 'part:9'") + "SELECT path, CAST(hops AS INTEGER) AS hops FROM o ORDER BY hops, path LIMIT 10")
 def paths_between(t):
     return GR.paths_between(t.edges.where("rel in ('CALLS', 'IMPORTS', 'USES')"), "cust:1", "part:9", 3, 10)
 

@@ -58,7 +58,16 @@ def prf_terms(t):
     return RT.prf_terms(idx, lens, first, "apache license").select("term", F.round("idf", 8).alias("idf"), "freq")
 
 
-@query()
+_PRF2 = dict(
+    ex="SELECT term FROM psc, med WHERE idf >= median ORDER BY idf * freq DESC, term LIMIT 10",
+    qt="SELECT 'apache' AS term, 1.0::DOUBLE AS w UNION ALL SELECT 'license', 1.0 UNION ALL SELECT term, 0.3 FROM ex",
+    tf2="SELECT uid, field, tok.term, any_value(w) AS w, count(*) AS tf, any_value(dl) AS dl FROM tok JOIN qt ON qt.term = tok.term GROUP BY uid, field, tok.term",
+    df2="SELECT field, term, count(*) AS df FROM tf2 GROUP BY field, term",
+)
+
+
+@query(given("notes", **_IDX, **_bm25("hits", {"apache": 1.0, "license": 1.0}), **_PRF, **_PRF2) + """, r AS (SELECT uid, sum(w * CASE field WHEN 'title' THEN 3.0 ELSE 1.0 END * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS s FROM tf2 JOIN df2 USING (field, term) JOIN lens USING (field) GROUP BY uid)
+    SELECT uid, round(s, 8) AS score FROM r ORDER BY s DESC, uid LIMIT 20""")
 def prf_search(t):
     return RT.prf_search(*index(t, stored=True), "apache license", 20).withColumn("score", F.round("score", 8))
 
@@ -138,7 +147,14 @@ def priors_applied(t):
     return RT.apply_priors(s, "file_path", [("**/*.py", 1.5), ("tests/**", 0.5)]).select("uid", F.round("score", 6).alias("score"))
 
 
-@query()
+from graphloom.queries.joined import RESOLVED  # noqa: E402
+
+_KEY = "trim(regexp_replace({}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+@query(RESOLVED + f""", t AS (SELECT src, target, lower(trim(target)) AS k FROM (SELECT src, target FROM unresolved ORDER BY src, target LIMIT 40)), m AS (SELECT uid, title, lower(title) AS lt, lower(replace(split_part(file_path, '/', 2), '.md', '')) AS st FROM notes),
+    h AS (SELECT src, target, uid, title, CASE WHEN lt = k OR st = k OR {_KEY.format('lt')} = {_KEY.format('k')} OR {_KEY.format('st')} = {_KEY.format('k')} THEN 3 WHEN contains(lt, k) OR contains(st, k) THEN 2 WHEN contains(k, lt) OR contains(k, st) THEN 1 ELSE 0 END AS score FROM t, m WHERE uid <> src),
+    r AS (SELECT *, row_number() OVER (PARTITION BY src, target ORDER BY score DESC, title, uid) AS r FROM h WHERE score > 0) SELECT src, target, uid, CAST(score AS INTEGER) AS score, CAST(r AS INTEGER) AS r FROM r WHERE r <= 3""")
 def link_suggestions(t):
     from graphloom.operators.joins import unresolved_links
     from graphloom.queries.joined import resolved
