@@ -99,7 +99,8 @@ def confidence_score(match_type, language) -> Column:
 
 
 def activity_multiplier(score, weight: float = 1.2) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.4), F.least(F.lit(1.6), 1 + weight * (_c(score) - 0.5))), F.lit(1.0))
+    # least and greatest pass over nulls, so the null is taken first
+    return F.when(_c(score).isNull(), 1.0).otherwise(F.greatest(F.lit(0.4), F.least(F.lit(1.6), 1 + weight * (_c(score) - 0.5))))
 
 
 def org_severity(score) -> Column:

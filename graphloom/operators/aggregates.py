@@ -61,7 +61,7 @@ def recency(commits: DataFrame, now_epoch: float, window: int = 20, tau_days: fl
     """file, score: mean of exp(-days / tau) over the newest commits that are not bulk."""
     n = commits.groupBy("commit_id").agg(F.count(F.lit(1)).alias("n"))
     small = n.join(F.broadcast(bulk_cutoff(commits)), how="inner").where("cutoff is null or n <= cutoff").select("commit_id")
-    touch = commits.join(small, "commit_id", "left_semi").withColumn("epoch", S.micros("authored") / 1e6)
+    touch = commits.where("authored is not null").join(small, "commit_id", "left_semi").withColumn("epoch", S.micros("authored") / 1e6)
     newest = touch.withColumn("r", F.row_number().over(W.partitionBy("file").orderBy(F.desc("epoch"), F.desc("commit_id")))).where(F.col("r") <= window)
     days = F.greatest(F.lit(0.0), (F.lit(now_epoch) - F.col("epoch")) / 86400.0)
     return newest.groupBy("file").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg(F.exp(-days / tau_days)))).alias("score"))

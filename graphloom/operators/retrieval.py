@@ -185,7 +185,7 @@ def rerank(df: DataFrame, top: int = 50, weights: Mapping[str, float] | None = N
     r = df.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "uid")) - 1)
     new = (
         w["relevance"] * F.col("score") + w["rank"] * F.col("rank") + w["recency"] * F.coalesce(F.pow(F.lit(2.0), -F.col("age_days") / 30.0), F.lit(0.0))
-        + w["doc"] * F.col("is_doc").cast("int") + w["body"] * F.col("has_body").cast("int") + w["alias"] * F.least(F.col("aliases"), F.lit(3))
+        + w["doc"] * F.col("is_doc").cast("int") + w["body"] * F.col("has_body").cast("int") + w["alias"] * F.least(F.coalesce("aliases", F.lit(0)), F.lit(3))
     )
     head = F.col("rank") < top
     return r.withColumn("rerank_score", F.when(head, new)).withColumn("position", F.row_number().over(W.orderBy(F.desc(head), F.desc("rerank_score"), "rank")))

@@ -203,6 +203,7 @@ def test_scalars(spark):
     assert v(S.parameter_count("x"), ["f()", "f(a)", "f(a, b)"]) == [0, 1, 2]
     assert v(S.frontmatter_refs("x", "k"), ['{"k": "a"}', '{"k": ["a", "b"]}', "{}"]) == [["a"], ["a", "b"], []]
     assert v(S.max_edit_distance("x"), [2, 3, 5], "int") == [0, 1, 2]
+    assert v(S.activity_multiplier("x"), [None, 0.5, 0.0, 1.0, 9.0], "double") == pytest.approx([1.0, 1.0, 0.4, 1.6, 1.6])
     assert v(S.uid_kind("x"), ["sym:1", "note:2", "zz:3"]) == ["Symbol", "Note", None]
     assert v(S.process_name(F.lit("Main"), "x", F.lit("app/cmd/main.go")), ["main"]) == ["cmd::main"]
 
