@@ -3,9 +3,15 @@
 Every document has a cell: its source, language and topic, each as named in the targets or `other`. The
 tokens of all documents are summed by cell; there are at most as many cells as the targets' sizes multiply
 to, so the cells are raked on the driver, dimension by dimension, until all marginal shares equal their
-targets. A target whose value has no tokens is left out and the rest rescaled. A document is kept with
-the probability weight / greatest weight of its cell, by a hash of its id: expected token shares are then
-the targets exactly, no document is repeated and none has a probability over 1.
+targets. A target whose value has no tokens is left out and the rest rescaled. Weights are bounded: a weight
+over the bound is cut to it and the factors of the other cells make up for it, and the bound is the least
+(found by bisection) under which the shares are still reached, so that as many tokens are kept as the targets
+allow. A document is kept with the probability weight / bound of its cell, by a hash of its id: expected
+token shares are then the targets, no document is repeated and none has a probability over 1.
+
+A value with so few tokens that its target is over SCARCE times its share is scarce: the bound does not
+follow it. Its tokens get the greatest weight (or that which reaches its target, if less), and the other
+values share what it cannot fill in proportion to their targets. So a few odd rows never thin the corpus.
 
 A topic is the most frequent of TOPICS hash classes among a text's distinct words of LONG bytes or more
 (the smallest for ties, 0 for none). Null sources and languages are `other`; null or empty texts have no
@@ -15,6 +21,7 @@ names values of which the table has none, its dimension is not raked. An empty t
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator, Mapping
 
@@ -33,6 +40,13 @@ ROUNDS = 1000
 CHUNK = 4 << 20
 #: More cells than this are refused: targets are lists that a person writes.
 MOST_CELLS = 1 << 18
+#: A value whose target is over SCARCE times its share of the tokens is scarce.
+SCARCE = 4.0
+#: Marginal shares are reached when none is further off than this.
+CLOSE = 1e-8
+#: The bound is not raised beyond this where the shares contradict each other.
+MOST_WEIGHT = 64.0
+HALVINGS = 12
 
 
 def topic_and_size(text: bytes) -> tuple[int, int]:
@@ -61,30 +75,68 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     return rows.mapInArrow(run, f"id {kind}, source string, lang string, draw double, topic string, n_tokens long")
 
 
-def rake(cells: Mapping[tuple[str, ...], float], targets: list[Mapping[str, float]], rounds: int = ROUNDS) -> dict[tuple[str, ...], float]:
-    """The weight of each cell's tokens: target mass over observed mass."""
-    keys = [k for k, v in cells.items() if v > 0]
-    observed = np.array([cells[k] for k in keys], float)
-    if not keys:
-        return {}
-    w = observed / observed.sum()
-    sides = []
-    for d, target in enumerate(targets):
-        names = sorted({k[d] for k in keys})
-        share = np.array([target.get(n, 0.0) for n in names])
-        if share.sum() > 0:
-            sides.append((np.array([names.index(k[d]) for k in keys]), share / share.sum()))
+def _bounded(observed: np.ndarray, sides: list, fixed: np.ndarray, most: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Weights min(most, product of a factor per value), and how far the marginals are from their shares; fixed: weights given beforehand, or nan."""
+    free = np.isnan(fixed)
+    w0 = np.where(free, 0.0, np.minimum(most, np.nan_to_num(fixed)))
+    plan = []
+    for index, share, scarce in sides:
+        given = np.bincount(index, weights=observed * w0, minlength=len(share))
+        left = np.where(scarce, 0.0, share)
+        plan.append((index, np.where(scarce, given, left / left.sum() * (1 - given[scarce].sum())), given, np.ones(len(share))))
+    product = free.astype(float)
+    w = w0 + np.minimum(most, product)
+    worst = 0.0
     for _ in range(rounds):
         worst = 0.0
-        for index, share in sides:
-            now = np.bincount(index, weights=w, minlength=len(share))
-            factor = np.divide(share, now, out=np.zeros_like(share), where=now > 0)
-            worst = max(worst, float(np.abs(now / now.sum() - share).max()))
-            w = w * factor[index]
-            w /= w.sum()
+        for index, share, given, _factor in plan:
+            now = np.bincount(index, weights=observed * w, minlength=len(share))
+            worst = max(worst, float(np.abs(now - share).max()))
+            own = now - given
+            # a weight at the bound may come down again, but a factor does not run away from it
+            product = np.minimum(product, most * 2) * np.divide(np.maximum(share - given, 0.0), own, out=np.ones_like(share), where=own > 0)[index]
+            w = w0 + np.minimum(most, product)
         if worst < 1e-12:
             break
-    return dict(zip(keys, (w / (observed / observed.sum())).tolist(), strict=True))
+    return w, worst
+
+
+def rake(cells: Mapping[tuple[str, ...], float], targets: list[Mapping[str, float]], rounds: int = ROUNDS) -> dict[tuple[str, ...], float]:
+    """The weight of each cell's tokens: target mass over observed mass, under the least bound that reaches the shares."""
+    keys = [k for k, v in cells.items() if v > 0]
+    raked = [d for d, target in enumerate(targets) if sum(target.get(n, 0.0) for n in {k[d] for k in keys}) > 0]
+    live = [k for k in keys if all(targets[d].get(k[d], 0.0) > 0 for d in raked)]
+    if not live:
+        return dict.fromkeys(keys, 0.0)
+    observed = np.array([cells[k] for k in live], float)
+    observed /= observed.sum()
+    fixed = np.full(len(live), np.nan)
+    sides = []
+    for d in raked:
+        names = sorted({k[d] for k in live})
+        at = {n: i for i, n in enumerate(names)}
+        index = np.array([at[k[d]] for k in live])
+        share = np.array([targets[d][n] for n in names], float)
+        share /= share.sum()
+        has = np.bincount(index, weights=observed, minlength=len(names))
+        scarce = share > SCARCE * has
+        fixed = np.fmin(fixed, np.where(scarce, share / has, np.nan)[index])
+        sides.append((index, share, scarce))
+    high = SCARCE
+    w, off = _bounded(observed, sides, fixed, high, rounds)
+    while off > CLOSE and high < MOST_WEIGHT:
+        high *= 2
+        w, off = _bounded(observed, sides, fixed, high, rounds)
+    if off <= CLOSE:
+        low = 1.0
+        for _ in range(HALVINGS):
+            middle = math.sqrt(low * high)
+            tried, off = _bounded(observed, sides, fixed, middle, rounds)
+            if off <= CLOSE:
+                w, high = tried, middle
+            else:
+                low = middle
+    return dict.fromkeys(keys, 0.0) | dict(zip(live, w.tolist(), strict=True))
 
 
 def weighted(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:

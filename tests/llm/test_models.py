@@ -186,6 +186,23 @@ def test_mixing_reaches_the_targets(spark, odd):
     assert mixing.sample(odd, targets).columns == odd.columns
 
 
+def test_one_odd_row_does_not_thin_the_mix(spark):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(f"word{rnd.randrange(3000)}" for _ in range(rnd.randrange(1, 60))), rnd.choice("aaab"), rnd.choice(["en", "de"])) for i in range(4000)]
+    odd_row = (4000, "word1 " * 200, None, "en")
+    targets = {"source": {"a": 0.5, "b": 0.48, "other": 0.02}, "lang": {"en": 0.3, "de": 0.68, "other": 0.02}, "topic": {str(k): 1 / 8 for k in range(8)}}
+    kept = []
+    for more in ([], [odd_row]):
+        got = mixing.weighted(spark.createDataFrame(rows + more, "doc_id long, text string, source string, lang string"), targets).toPandas()
+        mass = got.n_tokens * got.probability
+        kept.append(mass.sum() / got.n_tokens.sum())
+        share = mass.groupby(got.lang).sum() / mass.sum()
+        assert share["en"] == pytest.approx(0.3 / 0.98, abs=1e-6)
+    # no marginal can be filled with more: b is a quarter of the tokens and is to be about a half
+    assert kept[0] > 0.45 and kept[1] == pytest.approx(kept[0], rel=0.02)
+    assert got[got.doc_id == 4000].probability.item() == pytest.approx(1)
+
+
 def test_codec_parity_and_round_trip(spark, odd):
     import sentencepiece
 
