@@ -1,8 +1,8 @@
 """Document log-likelihood under a gated recurrent language model with a class-factored softmax.
 
 Tokens: A-Z lower-cased words (runs of anything but ASCII white space), then one end. Every training text
-counts: a first pass gathers the whole vocabulary (64-bit word hashes and counts, dealt over buckets) and,
-from every training text, one segment of SEGMENT tokens for each STRIDE tokens. The gathered tables grow
+counts, with all its tokens and its end: a first pass gathers the whole vocabulary (64-bit word hashes and
+counts, dealt over buckets) and the hashes of every training text. The gathered tables grow
 with the input and stay on the executors; only the HEAD commonest words (fixed bound), counts per class
 and the model come to the driver.
 
@@ -10,8 +10,8 @@ The model predicts a class, then the word in its class. The MODEL_WORDS commones
 classes of like mass and are told apart by a softmax within the class; every other word, known or not,
 lies in one of TAIL classes by its ending and has there the probability (count + 1) / (N + V + 1). The
 biases start at the corpus's unigram probabilities. Training is truncated backpropagation through WINDOW
-steps, with the state carried from window to window of a segment, on every partition of segments at once;
-after each round the parameters are averaged by tokens. Scoring carries the state through the whole text.
+steps over whole texts, with the state carried from window to window of a text and zero at its start, on every
+partition of texts at once; after each round the parameters are averaged by tokens. Scoring carries the state through the whole text.
 
 Null texts are empty: one token, the end. Rows are told apart by place, so repeated and null ids get a
 row each. With no training text every word is unknown and N is 0. An empty table gives an empty result.
@@ -19,6 +19,7 @@ row each. With no training text every word is unknown and N is 0. An empty table
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -35,11 +36,11 @@ HEAD = 1 << 18
 CLASSES = 64
 TAIL = 32
 HIDDEN = 16
-SEGMENT = 32
-STRIDE = 1024
 WINDOW = 16
 ROUNDS = 3
 BATCH = 64
+#: Tokens dealt over the lanes of a batch at once; a longer text is dealt whole.
+GROUP_TOKENS = 1 << 19
 RATE = 0.2
 CHUNK = 20 << 20
 #: Rows whose logits are held at once, so that they stay in the cache.
@@ -76,7 +77,7 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (keys >> np.uint64(40)) % np.uint64(buckets)
 
 
-# --- the vocabulary and the segments
+# --- the vocabulary and the texts
 
 
 _G = "kind int, bucket int, keys binary, counts binary"
@@ -93,9 +94,7 @@ def _gather(buckets: int):
                 m = to == b
                 if m.any():
                     out.append((0, b, u[m].tobytes(), c[m].astype(np.int64).tobytes()))
-            for d in docs:
-                # spread over the text; the first starts it
-                out += [(1, 0, d[k : k + SEGMENT].tobytes(), b"s" if not k else b"") for k in range(0, len(d), STRIDE)]
+            out += [(1, 0, d.tobytes(), b"") for d in docs]
             yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "bucket", "keys", "counts"])
 
     return run
@@ -244,24 +243,45 @@ def log_probabilities(m: dict, v: Vocabulary, h: np.ndarray, out: np.ndarray) ->
     return p
 
 
-def _train(m: dict, v: Vocabulary, inputs: np.ndarray, lengths: np.ndarray, seed: int) -> None:
-    """Adagrad over batches of segments; inputs: (segments, SEGMENT + 1) numbers, each with its predecessor first."""
+def lanes(texts: list[np.ndarray], order: np.ndarray, most: int = BATCH) -> list[list[np.ndarray]]:
+    """Whole texts dealt in the given order to the shortest of at most `most` lanes, the longest lane first."""
+    heap = [(0, i, []) for i in range(min(most, len(texts)))]
+    for k in order:
+        n, i, held = heap[0]
+        held.append(texts[k])
+        heapq.heapreplace(heap, (n + len(texts[k]), i, held))
+    return [held for _, _, held in sorted(heap, key=lambda x: (-x[0], x[1]))]
+
+
+def _train(m: dict, v: Vocabulary, texts: list[np.ndarray], seed: int) -> None:
+    """Adagrad over batches of whole texts (numbers); a lane holds texts end to end."""
     seen = {k: np.full(x.shape, 1e-4, np.float32) for k, x in m.items()}
-    order = np.random.default_rng(seed).permutation(len(inputs))
-    for k in range(0, len(order), BATCH):
-        part = order[k : k + BATCH]
-        h = np.zeros((len(part), HIDDEN), np.float32)
-        for t0 in range(0, SEGMENT, WINDOW):
-            live = lengths[part][:, None] > np.arange(t0, min(t0 + WINDOW, SEGMENT))
-            if live.any():
-                h = _window(m, seen, v, inputs[part, t0 : t0 + WINDOW], inputs[part, t0 + 1 : t0 + WINDOW + 1], live, h)
-
-
-def _window(m: dict, seen: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, live: np.ndarray, h0: np.ndarray) -> np.ndarray:
-    steps, hs = [], [h0]
+    dealt = lanes(texts, np.random.default_rng(seed).permutation(len(texts)))
+    size = np.array([sum(map(len, x)) for x in dealt])
+    offset = np.cumsum(size) - size
+    y = np.concatenate([t for x in dealt for t in x])
+    starts = np.cumsum([0, *(len(t) for x in dealt for t in x)])[:-1]
+    x = np.r_[0, y[:-1]].astype(np.int32)
+    x[starts] = v.size + TAIL
+    fresh = np.zeros(len(y), bool)
+    fresh[starts] = True
+    h = np.zeros((len(dealt), HIDDEN), np.float32)
+    for t0 in range(0, int(size[0]), WINDOW):
+        k = int(np.searchsorted(-size, -t0, side="left"))  # the lanes that have a token t0
+        steps = np.arange(t0, min(t0 + WINDOW, int(size[0])))
+        at = np.minimum(offset[:k, None] + steps, len(y) - 1)
+        live = size[:k, None] > steps
+        h = _window(m, seen, v, x[at], y[at], live, fresh[at], h[:k])
+
+
+def _window(m: dict, seen: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, live: np.ndarray, fresh: np.ndarray, h0: np.ndarray) -> np.ndarray:
+    """One step of training; fresh: the tokens that start a text, before which the state is zero."""
+    steps, before, hs = [], [], [h0]
+    goes_on = (~fresh).astype(np.float32)[:, :, None]
     for t in range(x.shape[1]):
         e = m["e"][x[:, t]]
-        h, z, r, n, gn = _gate(m, e @ m["wx"] + m["b"], hs[-1])
+        before.append(hs[-1] * goes_on[:, t])
+        h, z, r, n, gn = _gate(m, e @ m["wx"] + m["b"], before[-1])
         steps.append((e, z, r, n, gn))
         hs.append(h)
     g = {k: np.zeros_like(a) for k, a in m.items() if k not in ("e", "o", "ob")}
@@ -295,13 +315,13 @@ def _window(m: dict, seen: dict, v: Vocabulary, x: np.ndarray, y: np.ndarray, li
         e, z, r, n, gn = steps[t]
         d = dn + back[:, t]
         da = d * (1 - z) * (1 - n * n)
-        dz, dr = d * (hs[t] - n) * z * (1 - z), da * gn * r * (1 - r)
+        dz, dr = d * (before[t] - n) * z * (1 - z), da * gn * r * (1 - r)
         dx, dg = np.concatenate([dz, dr, da], 1), np.concatenate([dz, dr, da * r], 1)
-        g["wh"] += hs[t].T @ dg
+        g["wh"] += before[t].T @ dg
         g["wx"] += e.T @ dx
         g["b"] += dx.sum(0)
         de[:, t] = dx @ m["wx"].T
-        dn = d * z + dg @ m["wh"].T
+        dn = (d * z + dg @ m["wh"].T) * goes_on[:, t]
     for k, q in g.items():
         seen[k] += q * q
         m[k] -= RATE * q / np.sqrt(seen[k])
@@ -344,17 +364,18 @@ def document_scores(m: dict, v: Vocabulary, numbers: list[np.ndarray]) -> np.nda
 def _round(v, model, number: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, m = v.value, {k: x.copy() for k, x in model.value.items()}
-        n = 0
+        n = held = 0
+        texts: list[np.ndarray] = []
         for b in batches:
-            for k in range(0, b.num_rows, 4096):
-                rows = [np.frombuffer(x, np.uint64) for x in b.column("keys").slice(k, 4096).to_pylist()]
-                lengths = np.array([len(x) for x in rows])
-                ids = np.zeros((len(rows), SEGMENT + 1), np.int32)
-                ids[:, 0] = vocabulary.size + TAIL
-                for i, x in enumerate(rows):
-                    ids[i, 1 : len(x) + 1] = vocabulary.look(x)[0]
-                _train(m, vocabulary, ids, lengths, number)
-                n += int(lengths.sum())
+            for x in b.column("keys"):
+                texts.append(vocabulary.look(np.frombuffer(x.as_py(), np.uint64))[0])
+                held += len(texts[-1])
+                if held >= GROUP_TOKENS:
+                    _train(m, vocabulary, texts, number)
+                    n, held, texts = n + held, 0, []
+        if texts:
+            _train(m, vocabulary, texts, number)
+            n += held
         if n:
             vector = np.concatenate([m[k].ravel() for k in sorted(m)]).astype(np.float64) * n
             parts = np.array_split(vector, 64)
@@ -394,10 +415,10 @@ def train_model(rows: DataFrame, rounds: int = ROUNDS) -> LanguageModel:
     vocabulary = Vocabulary(head.column("key").to_numpy().view(np.uint64), head.column("c").to_numpy(), n_tail, v_tail)
     model = new_model(vocabulary)
     shared = sc.broadcast(vocabulary)
-    segments = gathered.where("kind = 1").select("keys")
+    texts = gathered.where("kind = 1").select("keys")
     for k in range(rounds):
         held = sc.broadcast(model)
-        parts = segments.mapInArrow(_round(shared, held, k), "part int, n long, sum binary").groupBy("part").applyInArrow(_add, "part int, n long, sum binary").orderBy("part").collect()
+        parts = texts.mapInArrow(_round(shared, held, k), "part int, n long, sum binary").groupBy("part").applyInArrow(_add, "part int, n long, sum binary").orderBy("part").collect()
         if not parts:
             break
         vector = np.concatenate([np.frombuffer(r["sum"], np.float64) / r.n for r in parts]).astype(np.float32)

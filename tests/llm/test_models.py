@@ -158,6 +158,35 @@ def test_state_is_carried_over_windows():
         assert abs(total - s) < 1e-3
 
 
+def test_training_takes_whole_texts(spark, monkeypatch):
+    # a pair that stands behind the first 64 tokens of every text, and the end after it
+    rnd = random.Random(8)
+    rows = [(i, " ".join([f"w{rnd.randrange(50)}" for _ in range(64)] + ["left", "right"] * 16)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lm = gru_lm.train_model(df.select("text"))
+    v = lm.vocabulary
+    keys = gru_lm.token_keys(rows[0][1].encode())
+    numbers = v.look(keys)[0]
+    trained, fresh = [], []
+
+    def window(m, seen, v, x, y, live, new, h):
+        trained.append(y[live])
+        fresh.append(int((new & live).sum()))
+        return h
+
+    monkeypatch.setattr(gru_lm, "_window", window)
+    gathered = gru_lm._gather(8)
+    batch = next(gathered(iter(df.select("text").limit(100).toArrow().to_batches())))
+    texts = [v.look(np.frombuffer(k, np.uint64))[0] for kind, k in zip(batch.column("kind").to_pylist(), batch.column("keys").to_pylist(), strict=True) if kind == 1]
+    gru_lm._train(lm.parameters, v, texts, 0)
+    assert sum(map(len, trained)) == 97 * 100 and sum(fresh) == 100
+    assert int((np.concatenate(trained) == numbers[-1]).sum()) == 100  # every end is a target
+    prefix = gru_lm.document_scores(lm.parameters, v, [numbers[:64]])[0]
+    whole = gru_lm.document_scores(lm.parameters, v, [numbers])[0]
+    unigram = (32 * math.log(16 / 97) + math.log(1 / 97)) / 33
+    assert (whole - prefix) / 33 > unigram + 0.6  # learned from what stands behind the first tokens
+
+
 def test_no_training_text(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     r = gru_lm.score_documents(df, gru_lm.train_model(df.where("false").select("text"))).collect()[0]
