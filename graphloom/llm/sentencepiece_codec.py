@@ -4,8 +4,7 @@ The model's protobuf is parsed here (pieces, scores, types, trainer and normalis
 the normaliser (compiled character map, extra white space, dummy prefix, the marker for spaces), a Unigram
 model from the scores or a BPE model whose merges follow from them, byte fallback, and the decoder. As in
 the library a text is not split into words first. Batches are encoded by several threads. Parity
-with the sentencepiece library is verified while encoding, for every VERIFY_EVERYth text of a batch; a
-mismatch raises. The model file's bytes are read once on the driver and broadcast.
+with the sentencepiece library is verified while encoding, for every text; a mismatch raises. The model file's bytes are read once on the driver and broadcast.
 
 Null and empty texts have no tokens and decode to the empty text. Whole texts are encoded. Repeated rows
 are encoded separately. Decoding gives back the normalised text, which for a model with the identity
@@ -29,7 +28,8 @@ from graphloom.llm.common import chunks, small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-VERIFY_EVERY = 8
+#: Every text is verified; a caller may ask for every nth one, or none (0).
+VERIFY_EVERY = 1
 THREADS = 2
 CHUNK = 1 << 20
 #: Characters encoded by one call.

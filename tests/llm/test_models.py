@@ -249,6 +249,21 @@ def test_codec_parity_and_round_trip(spark, odd):
     assert sentencepiece_codec.encoded(odd.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("wrong", range(9))
+def test_every_text_is_verified(monkeypatch, wrong):
+    data = sentencepiece_codec.read_model()
+    texts = [f"text number {k}" for k in range(9)]
+    t, reference, byte_ids, model = sentencepiece_codec._ready(data)
+
+    class Broken:
+        def encode_batch_fast(self, part, **options):
+            return [type("E", (), {"ids": e.ids + [0] * (x == texts[wrong])}) for x, e in zip(part, t.encode_batch_fast(part, **options), strict=True)]
+
+    monkeypatch.setattr(sentencepiece_codec, "_ready", lambda _: (Broken(), reference, byte_ids, model))
+    with pytest.raises(AssertionError, match=f"number {wrong}"):
+        sentencepiece_codec.encode_texts(data, texts)
+
+
 def field(number, value):
     def varint(n):
         return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
