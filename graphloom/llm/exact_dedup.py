@@ -8,8 +8,9 @@ per task. The directory starts with one bucket and doubles until no bucket holds
 entries (or `max_depth` is reached; copies never make a bucket overfull, since an entry is a distinct
 text). Owner tasks take ranges of buckets and write the index pages to the shared folder.
 
-Null doc_ids sort last; rows that repeat a doc_id and text are told apart by their place in the input
-(which must be a stored table, as a second pass reads it again), and exactly one row of a group is kept.
+Null doc_ids sort last; rows that repeat a doc_id and text are told apart by their place in the input.
+The rows are numbered in one scan and written with their numbers to the shared folder; both passes read that
+table, so a number never depends on how a later scan is split. Exactly one row of a group is kept.
 An empty table gives an empty result. Columns other than the id and the text pass by untouched.
 """
 
@@ -35,20 +36,24 @@ def normalised(text: Column) -> Column:
 
 
 def _tagged(docs: DataFrame, id_col: str, text_col: str, key) -> DataFrame:
+    """_id, _tag, _norm, _key, _sha of every row, stored, so that all passes see the same numbers."""
     rows = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), normalised(F.col(text_col)).alias("_norm"))
-    return rows.select("_id", F.expr(_TAG).alias("_tag"), "_norm", key(F.col("_norm")).cast("long").alias("_key"), F.unhex(F.sha2("_norm", 256)).alias("_sha"))
+    return written(rows.select("_id", F.expr(_TAG).alias("_tag"), "_norm", key(F.col("_norm")).cast("long").alias("_key"), F.unhex(F.sha2("_norm", 256)).alias("_sha")), "dedup-rows")
 
 
-def chains(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key=F.xxhash64) -> DataFrame:
-    """One row per distinct text: key, sha, n_bytes, keep_id, keep_tag, group_size."""
+def _chains(rows: DataFrame) -> DataFrame:
     return (
-        _tagged(docs, id_col, text_col, key)
-        .groupBy("_key", "_sha", "_norm")
+        rows.groupBy("_key", "_sha", "_norm")
         .agg(F.min("_id").alias("keep_id"), F.min("_tag").alias("keep_tag"), F.count(F.lit(1)).alias("group_size"))
         .select(F.col("_key").alias("key"), F.col("_sha").alias("sha"), F.octet_length("_norm").alias("n_bytes"), "keep_id", "keep_tag", "group_size")
     )
 
 
+def chains(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key=F.xxhash64) -> DataFrame:
+    """One row per distinct text: key, sha, n_bytes, keep_id, keep_tag, group_size."""
+    return _chains(_tagged(docs, id_col, text_col, key))
+
+
 def slot(key: Column, depth: int) -> Column:
     """The first depth bits of the key."""
     return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
@@ -70,7 +75,11 @@ def directory(entries: DataFrame, n_entries: int, capacity: int = CAPACITY, max_
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, key=F.xxhash64) -> DataFrame:
     """Pages of the index, written to the shared folder: bucket, depth, key, chain_pos, sha, n_bytes, keep_id, keep_tag, group_size."""
-    entries = written(chains(docs, id_col, text_col, key), "dedup-entries")
+    return _index(_tagged(docs, id_col, text_col, key), capacity, max_depth)
+
+
+def _index(rows: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+    entries = written(_chains(rows), "dedup-entries")
     n = entries.count()
     slots, top = directory(entries, n, capacity, max_depth)
     routed = entries.withColumn("slot", slot(F.col("key"), top)).join(F.broadcast(slots), "slot")
@@ -81,9 +90,9 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, key=F.xxhash64) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256, bucket, chain_pos."""
-    index = build_index(docs, id_col, text_col, capacity, max_depth, key)
-    rows = _tagged(docs, id_col, text_col, key).select("_id", "_tag", "_key", "_sha")
-    hit = rows.join(index, (F.col("_key") == F.col("key")) & (F.col("_sha") == F.col("sha")))
+    rows = _tagged(docs, id_col, text_col, key)
+    index = _index(rows, capacity, max_depth)
+    hit = rows.select("_id", "_tag", "_key", "_sha").join(index, (F.col("_key") == F.col("key")) & (F.col("_sha") == F.col("sha")))
     return hit.select(
         F.col("_id").alias(id_col), "keep_id", "group_size", (F.col("_tag") == F.col("keep_tag")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"), "bucket", "chain_pos",
@@ -92,9 +101,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, whole."""
-    index = build_index(docs, id_col, text_col).select("key", "sha", "keep_tag")
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_r"), F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), normalised(F.col(text_col)).alias("_norm"))
-    rows = rows.select("_r", F.expr(_TAG).alias("_tag"), F.xxhash64("_norm").alias("_key"))
-    kept = rows.join(index.select("key", "keep_tag"), (F.col("_key") == F.col("key")) & (F.col("_tag") == F.col("keep_tag")), "left_semi")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_r"), F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"))
+    rows = written(rows.select("_r", "_id", F.expr(_TAG).alias("_tag")), "dedup-rows").withColumn("_norm", normalised(F.col(f"_r.`{text_col}`")))
+    rows = rows.withColumn("_key", F.xxhash64("_norm"))
+    index = _index(rows.withColumn("_sha", F.unhex(F.sha2("_norm", 256)))).select("key", "keep_tag")
+    kept = rows.join(index, (F.col("_key") == F.col("key")) & (F.col("_tag") == F.col("keep_tag")), "left_semi")
     return kept.select("_r.*")

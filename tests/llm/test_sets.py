@@ -46,6 +46,22 @@ def test_exact_dedup(spark, tmp_path, key):
     assert sorted(r.doc_id for r in exact_dedup.drop_copies(df).collect()) == sorted(r.doc_id for r in kept)
 
 
+def test_what_is_kept_does_not_depend_on_how_a_scan_is_split(spark, tmp_path):
+    df = spark.range(400).select((F.col("id") % 300).alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 300).alias("text")).repartition(16)
+    df = stored(df, tmp_path)
+    name = "spark.sql.files.minPartitionNum"
+    try:
+        every, left = exact_dedup.exact_dedup(df), exact_dedup.drop_copies(df)
+        before = df.rdd.getNumPartitions()
+        spark.conf.set(name, "1")
+        again = spark.read.parquet(str(tmp_path / "t"))
+        assert again.rdd.getNumPartitions() != before
+        assert every.where("kept").count() == 300
+        assert sorted(r.doc_id for r in left.collect()) == list(range(300))
+    finally:
+        spark.conf.unset(name)
+
+
 def test_directory_doubles_until_nothing_is_overfull(spark, tmp_path):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
     pages = exact_dedup.build_index(stored(df, tmp_path), capacity=100)
