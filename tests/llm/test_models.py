@@ -120,78 +120,142 @@ def test_language_model(spark, monkeypatch):
         rows.append((i, " ".join(rnd.choice(pool[: rnd.choice([5, 60])]).upper() for _ in range(rnd.randrange(0, 200)))))
     rows += [(i, t) for i, t, _ in ODD]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    lm = gru_lm.train_model(df.where(crc_mod("doc_id", 7) != 2).select("text"))
-    got = gru_lm.score_documents(df, lm).collect()
+    got = gru_lm.score_documents(df, crc_mod("doc_id", 7) != 2).collect()
     want = brute_base(rows, lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2)
     assert sorted((r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     held = [r for r in got if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2]
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 100
 
 
+def vocabulary_of(words, counts):
+    keys = np.unique(gru_lm.token_keys(words.encode()))
+    counts = np.resize(counts, len(keys))
+    tail = gru_lm.tail_class(keys)
+    return gru_lm.Vocabulary(keys, counts, np.bincount(tail, weights=counts, minlength=gru_lm.TAIL).astype(np.int64), np.bincount(tail, minlength=gru_lm.TAIL))
+
+
 def test_language_model_is_a_distribution():
-    keys = np.unique(gru_lm.token_keys(" ".join(f"w{k}" for k in range(300)).encode()))
-    counts = np.arange(1, len(keys) + 1)
-    tail = (keys & gru_lm._LOW).astype(int)
-    v = gru_lm.Vocabulary(keys, counts, np.bincount(tail, weights=counts, minlength=gru_lm.TAIL).astype(np.int64), np.bincount(tail, minlength=gru_lm.TAIL))
+    v = vocabulary_of(" ".join(f"w{k}" for k in range(300)), np.arange(1, 400))
     m = gru_lm.new_model(v)
-    h = np.random.default_rng(0).standard_normal((1, gru_lm.HIDDEN)).astype(np.float32)
+    m["o"] += np.random.default_rng(1).standard_normal(m["o"].shape).astype(np.float32)
+    h = np.random.default_rng(0).uniform(-1, 1, (1, gru_lm.HIDDEN + 1)).astype(np.float32)
+    h[0, -1] = 1
     out = np.arange(v.size + gru_lm.TAIL)
-    p = np.exp(gru_lm.log_probabilities(m, v, np.repeat(h, len(out), 0), out))
-    assert abs(p.sum() - 1) < 1e-4
+    assert abs(np.exp(gru_lm.log_probabilities(m, v, np.repeat(h, len(out), 0), out)).sum() - 1) < 1e-4
+
+
+def plain_states(m, v, doc):
+    """The states before each token, one step at a time."""
+    k, squash = gru_lm.HIDDEN, lambda x: x / (1 + np.abs(x))
+    h, prev, out = np.zeros(k), v.size + gru_lm.TAIL, []
+    for w in doc:
+        x, g = m["e"][:, prev].astype(float), m["wh"].astype(float) @ h
+        z, r = 0.5 + 0.5 * squash(x[:k] + g[:k]), 0.5 + 0.5 * squash(x[k : 2 * k] + g[k : 2 * k])
+        n = squash(x[2 * k :] + r * g[2 * k :])
+        h = (1 - z) * n + z * h
+        out.append(h)
+        prev = w
+    return np.array(out)
+
+
+def plain_score(m, v, doc):
+    """Class, then word, from plain softmaxes."""
+    h = np.c_[plain_states(m, v, doc), np.ones(len(doc))]
+    total = 0.0
+    for x, w in zip(h, doc, strict=True):
+        s, c = x @ m["c"], v.class_of[w]
+        total += s[c] - np.log(np.exp(s).sum())
+        if w < v.size:
+            s = m["o"][v.class_start[c] : v.class_start[c + 1]] @ x
+            total += s[w - v.class_start[c]] - np.log(np.exp(s).sum())
+    return total
+
+
+@pytest.mark.parametrize("lanes", [2, 512])
+def test_state_is_carried_over_windows(lanes, monkeypatch):
+    monkeypatch.setattr(gru_lm.Lanes.__init__, "__defaults__", (lanes,))
+    v = vocabulary_of("a b c d e f g", [5])
+    m = gru_lm.new_model(v)
+    m["o"] += np.random.default_rng(3).standard_normal(m["o"].shape).astype(np.float32)
+    rnd = np.random.default_rng(1)
+    docs = [rnd.integers(0, v.size + gru_lm.TAIL, n).astype(np.int32) for n in (270, 3, 16, 33, 1)]
+    assert np.allclose(gru_lm.document_scores(m, v, docs), [plain_score(m, v, d) for d in docs], atol=1e-2)
 
 
-def test_state_is_carried_over_windows():
-    keys = np.unique(gru_lm.token_keys(b"a b c d e f g"))
-    counts = np.full(len(keys), 5)
-    tail = (keys & gru_lm._LOW).astype(int)
-    v = gru_lm.Vocabulary(keys, counts, np.bincount(tail, weights=counts, minlength=gru_lm.TAIL).astype(np.int64), np.bincount(tail, minlength=gru_lm.TAIL))
+@pytest.mark.parametrize("lanes", [3, 512])
+def test_language_model_gradients(lanes):
+    """Along every block's gradient the loss of a window changes as finite differences say, texts that start and end in it included."""
+    v = vocabulary_of(" ".join(f"w{k}" for k in range(300)), np.arange(1, 400))
     m = gru_lm.new_model(v)
-    rnd = np.random.default_rng(1)
-    docs = [rnd.integers(0, v.size, n).astype(np.int32) for n in (70, 3, 16, 33, 1)]
-    got = gru_lm.document_scores(m, v, docs)
-    for d, s in zip(docs, got, strict=True):
-        h, prev, total = np.zeros((1, gru_lm.HIDDEN), np.float32), v.size + gru_lm.TAIL, 0.0
-        for w in d:
-            h = gru_lm._gate(m, (m["e"][[prev]] @ m["wx"] + m["b"]), h)[0]
-            total += gru_lm.log_probabilities(m, v, h, np.array([w]))[0]
-            prev = w
-        assert abs(total - s) < 1e-3
-
-
-def test_training_takes_whole_texts(spark, monkeypatch):
+    rnd = np.random.default_rng(2)
+    m["o"] += rnd.standard_normal(m["o"].shape).astype(np.float32)
+    m["c"] += rnd.standard_normal(m["c"].shape).astype(np.float32)
+    texts = [rnd.integers(0, v.size + gru_lm.TAIL, n).astype(np.int32) for n in (9, 30, 4, 7, 1, 12)]
+    dealt = gru_lm.Lanes(texts, v.size + gru_lm.TAIL, lanes)
+    places, live, fresh = next(dealt.windows())
+    y = dealt.y[places.ravel() if live is None else places[live]]
+    h0 = np.zeros((gru_lm.HIDDEN, places.shape[1]), np.float32)
+    assert live is not None and sum(map(len, fresh)) == len(texts)
+    assert len(y) == sum(map(len, texts))  # the window holds all of them
+
+    def loss(p):
+        return -sum(plain_score(p, v, t) for t in texts) / len(y)
+
+    g, _ = gru_lm.gradients(m, v, dealt.x[places], y, live, fresh, h0.copy())
+    for name, q in g.items():
+        size = float(np.sqrt((q.astype(float) ** 2).sum()))
+        assert size > 0
+        step = {s: m | {name: m[name].astype(float) + s * 1e-4 * q / size} for s in (1, -1)}
+        assert abs((loss(step[1]) - loss(step[-1])) / 2e-4 - size) < 0.01 * size, name
+
+
+def test_training_takes_every_token(spark, monkeypatch):
     # a pair that stands behind the first 64 tokens of every text, and the end after it
     rnd = random.Random(8)
-    rows = [(i, " ".join([f"w{rnd.randrange(50)}" for _ in range(64)] + ["left", "right"] * 16)) for i in range(600)]
+    rows = [(i, " ".join([f"w{rnd.randrange(50)}" for _ in range(64)] + ["left", "right"] * 16)) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    lm = gru_lm.train_model(df.select("text"))
+    stored = gru_lm.tokens(df, F.lit(True)).cache()
+    lm = gru_lm.train_model(stored)
     v = lm.vocabulary
-    keys = gru_lm.token_keys(rows[0][1].encode())
-    numbers = v.look(keys)[0]
-    trained, fresh = [], []
-
-    def window(m, seen, v, x, y, live, new, h):
-        trained.append(y[live])
-        fresh.append(int((new & live).sum()))
-        return h
-
-    monkeypatch.setattr(gru_lm, "_window", window)
-    gathered = gru_lm._gather(8)
-    batch = next(gathered(iter(df.select("text").limit(100).toArrow().to_batches())))
-    texts = [v.look(np.frombuffer(k, np.uint64))[0] for kind, k in zip(batch.column("kind").to_pylist(), batch.column("keys").to_pylist(), strict=True) if kind == 1]
-    gru_lm._train(lm.parameters, v, texts, 0)
-    assert sum(map(len, trained)) == 97 * 100 and sum(fresh) == 100
-    assert int((np.concatenate(trained) == numbers[-1]).sum()) == 100  # every end is a target
+    keys = [np.frombuffer(bytes(r["keys"]), np.uint64) for r in stored.collect()]
+    texts = [v.look(k)[0] for k in keys]
+    seen = []
+    monkeypatch.setattr(gru_lm, "gradients", lambda m, v, x, y, live, fresh, h: (seen.append((y, sum(map(len, fresh)))), ({}, h))[1])
+    gru_lm.train(lm.parameters, {}, v, texts)
+    assert sum(len(y) for y, _ in seen) == 97 * 3000 and sum(n for _, n in seen) == 3000
+    assert sum(int((y == texts[0][-1]).sum()) for y, _ in seen) == 3000  # every end is a target
+    assert sorted({r["round"] for r in stored.select("round").distinct().collect()}) == list(range(gru_lm.ROUNDS))
+    numbers = texts[0]
     prefix = gru_lm.document_scores(lm.parameters, v, [numbers[:64]])[0]
     whole = gru_lm.document_scores(lm.parameters, v, [numbers])[0]
     unigram = (32 * math.log(16 / 97) + math.log(1 / 97)) / 33
     assert (whole - prefix) / 33 > unigram + 0.6  # learned from what stands behind the first tokens
 
 
+def test_parameters_are_averaged_in_a_tree(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"a b w{i % 50} " * (i % 9)) for i in range(400)], "doc_id long, text string").repartition(9)
+    stored = gru_lm.tokens(df, F.lit(True))
+    first = gru_lm.train_model(stored).parameters
+    monkeypatch.setattr(gru_lm, "FAN", 2)
+    second = gru_lm.train_model(stored).parameters
+    for name, x in first.items():
+        assert np.allclose(x, second[name], atol=1e-4)
+
+
+def test_head_keeps_whole_levels_of_counts(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "HEAD", 10)
+    words = spark.createDataFrame([(k, c) for k, c in enumerate([9000, 800, 70, 70, 70, 5, 5, 5, 5, 3, 1, 1])], "key long, c long")
+    keys, counts = gru_lm._head(words)
+    assert sorted(counts.tolist()) == [3, 5, 5, 5, 5, 70, 70, 70, 800, 9000]
+    monkeypatch.setattr(gru_lm, "HEAD", 8)
+    assert sorted(gru_lm._head(words)[1].tolist()) == [70, 70, 70, 800, 9000]
+
+
 def test_no_training_text(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
-    r = gru_lm.score_documents(df, gru_lm.train_model(df.where("false").select("text"))).collect()[0]
+    r = gru_lm.score_documents(df, F.lit(False)).collect()[0]
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0) and math.isfinite(r.score)
-    assert gru_lm.score_documents(df.where("false"), gru_lm.train_model(df.select("text"))).count() == 0
+    assert gru_lm.score_documents(df.where("false"), F.lit(True)).count() == 0
 
 
 def test_mixing_reaches_the_targets(spark, odd):
