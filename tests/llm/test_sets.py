@@ -70,6 +70,67 @@ def test_directory_doubles_until_nothing_is_overfull(spark, tmp_path):
     assert len({r.bucket for r in sizes}) == len(sizes) > 30
 
 
+def test_buckets_follow_the_keys(spark, tmp_path):
+    """Every entry lies in the bucket that its key's leading bits name; a bucket's sibling would not fit into it."""
+    df = stored(spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 900).alias("text")), tmp_path)
+    pages = exact_dedup.build_index(df, capacity=60).collect()
+    assert len(pages) == 900 and sum(r.group_size for r in pages) == 2000
+    prefixes, sizes = {}, {}
+    for r in pages:
+        prefixes.setdefault(r.bucket, set()).add(((r.key % (1 << 64)) >> (64 - r.depth), r.depth))
+        sizes[r.bucket] = sizes.get(r.bucket, 0) + 1
+    assert all(len(x) == 1 for x in prefixes.values())
+    by_prefix = {x.copy().pop(): sizes[b] for b, x in prefixes.items()}
+    for (prefix, depth), n in by_prefix.items():
+        sibling = by_prefix.get((prefix ^ 1, depth))
+        assert sibling is None or sibling + n > 60
+    # in the order of the keys
+    assert [p << (64 - d) for _, x in sorted(prefixes.items()) for p, d in x] == sorted(p << (64 - d) for x in prefixes.values() for p, d in x)
+
+
+def test_splitting():
+    loads = [(s, 3, 30) for s in range(8)] + [(9, 50, 1), (15, 1, 10**9)]
+    buckets, settled = exact_dedup.split(loads, 4, 10, 10**6)
+    assert not settled  # slot 9 holds 50 keys and needs more bits
+    assert (9, 4, 50, 1) in buckets and (15, 4, 1, 10**9) not in buckets and (3, 2, 1, 10**9) in buckets
+    assert all(n <= 10 for p, d, n, b in buckets if (p, d) != (9, 4))
+    assert sum(1 << (4 - d) for _, d, _, _ in buckets) == 16  # every slot has one bucket
+    assert exact_dedup.split([], 4, 10, 10) == ([(0, 0, 0, 0)], True)
+
+
+def test_answers_come_through_the_directory(spark, tmp_path, monkeypatch):
+    df = stored(spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 200).alias("text")), tmp_path)
+    assert exact_dedup.exact_dedup(df, capacity=20).where("kept").count() == 200
+    real, calls = exact_dedup.routed, []
+
+    def wrong(rows, slots, depth):
+        calls.append(depth)
+        if len(calls) % 2:
+            return real(rows, slots, depth)
+        return real(rows, slots.withColumn("page", F.col("page") + (F.col("bucket") % 2)), depth)  # half the slots lead elsewhere
+
+    monkeypatch.setattr(exact_dedup, "routed", wrong)
+    assert 0 < exact_dedup.exact_dedup(df, capacity=20).count() < 600
+    # a split that sends one key to two buckets counts its rows twice
+    monkeypatch.setattr(exact_dedup, "routed", real)
+    honest = exact_dedup.directory
+    monkeypatch.setattr(exact_dedup, "directory", lambda *a: (lambda t, d, n: (t.union(t.withColumn("page", F.col("page") + 1)), d, n + 1))(*honest(*a)))
+    assert exact_dedup.exact_dedup(df, capacity=20).count() > 600
+
+
+@pytest.mark.parametrize("hot", [4, 4096])
+def test_hot_and_colliding_keys(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", hot)
+    rows = [(i, f"text  {i % 7}" if i % 2 else "the same text") for i in range(300)] + [(None, "the same text")] * 40
+    df = stored(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), tmp_path)
+    for key in (F.xxhash64, lambda c: F.lit(5).cast("long"), lambda c: F.length(c).cast("long")):
+        got = exact_dedup.exact_dedup(df, key=key, capacity=3, max_depth=5).collect()
+        assert len(got) == 340 and {(r.keep_id, r.group_size) for r in got} == {(0, 190)} | {(min(i for i in range(1, 300, 2) if i % 7 == k), sum(1 for i in range(1, 300, 2) if i % 7 == k)) for k in range(7)}
+        assert sorted(r.doc_id for r in got if r.kept) == sorted({r.keep_id for r in got})
+        assert len({(r.bucket, r.chain_pos, r.text_sha256) for r in got}) == 8
+    assert len({r.chain_pos for r in exact_dedup.exact_dedup(df, key=lambda c: F.lit(5).cast("long")).collect()}) == 8  # one chain
+
+
 def test_empty(spark, tmp_path):
     df = stored(table(spark, []), tmp_path)
     assert exact_dedup.exact_dedup(df).count() == 0
