@@ -279,6 +279,68 @@ def test_mixing_reaches_the_targets(spark, odd):
     assert mixing.sample(odd, targets).columns == odd.columns
 
 
+def test_raking_equals_plain_proportional_fitting():
+    """Where no value is scarce and the bound need not be low, weights are those of plain iterative proportional fitting up to the bound's search."""
+    rnd = np.random.default_rng(3)
+    cells = {(a, b, c): float(rnd.integers(50, 100)) for a in "xyz" for b in "pq" for c in "01"}
+    targets = [{"x": 0.3, "y": 0.36, "z": 0.34}, {"p": 0.55, "q": 0.45}, {"0": 0.5, "1": 0.5}]
+    w = dict.fromkeys(cells, 1.0)
+    total = sum(cells.values())
+    for _ in range(500):
+        for d, target in enumerate(targets):
+            for name, share in target.items():
+                now = sum(cells[k] * w[k] for k in cells if k[d] == name) / total
+                for k in cells:
+                    if k[d] == name:
+                        w[k] *= share / now
+    observed = np.array([cells[k] for k in cells]) / total
+    sides = [(np.array([sorted(t).index(k[d]) for k in cells]), np.array([t[n] for n in sorted(t)]), np.zeros(len(t), bool)) for d, t in enumerate(targets)]
+    got, off = mixing._bounded(observed, sides, np.full(len(cells), np.nan), 64.0, 1000)
+    assert off < 1e-9 and np.allclose(got, [w[k] for k in cells], rtol=1e-6)
+    bounded, off = mixing.rake(cells, targets)
+    assert off <= mixing.CLOSE and max(bounded.values()) <= max(w.values()) * (1 + 1e-6)
+    for d, target in enumerate(targets):
+        for name, share in target.items():
+            assert sum(cells[k] * bounded[k] for k in cells if k[d] == name) / total == pytest.approx(share, abs=1e-6)
+
+
+def test_contradicting_targets_are_told(spark):
+    df = spark.createDataFrame([(i, "some words here", "ab"[i % 2], ["en", "de"][i % 2]) for i in range(40)], "doc_id long, text string, source string, lang string")
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.2, "de": 0.8}, "topic": {str(k): 1 / 8 for k in range(8)}}
+    assert mixing.weighted(df, targets).first().target_gap > 0.1
+    with pytest.raises(ValueError, match="not reached"):
+        mixing.sample(df, targets, most_gap=0.01)
+
+
+def test_topics_are_learnt_within_languages(spark):
+    """Texts about one of two subjects in each of two languages: topics part the subjects and not the languages."""
+    rnd = random.Random(12)
+    subjects = {(n, s): [f"{n}{s}word{k}" for k in range(30)] for n in ("en", "de") for s in "xy"}
+    rows = []
+    for i in range(1200):
+        n, s = ("en", "de")[i % 2], "xy"[i // 2 % 2]
+        rows.append((i, " ".join(rnd.choice(subjects[n, s]) for _ in range(60)), "a", n, s))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, subject string")
+    targets = {"source": {"a": 1.0}, "lang": {"en": 0.5, "de": 0.5}, "topic": {str(k): 1.0 for k in range(8)}}
+    got = mixing.weighted(df, targets).join(df.select("doc_id", "subject"), "doc_id").toPandas()
+    assert len(set(got.topic)) > 1
+    pure = got.groupby(["lang", "topic"]).subject.agg(lambda x: x.value_counts().max() / len(x))
+    assert (pure > 0.95).all()
+
+
+def test_rows_are_drawn_one_by_one(spark):
+    """Null ids are drawn by their text, columns may have any names, rows that share an id are drawn by their own cells."""
+    rnd = random.Random(4)
+    rows = [(None, " ".join(f"word{rnd.randrange(3000)}" for _ in range(rnd.randrange(1, 60))), "ab"[i % 4 == 0], "en", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, `_chosen` int").withColumn("draw", F.lit("x")).withColumn("rest", F.lit(1)).withColumn("a.b", F.lit(2))
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 1.0}, "topic": {str(k): 1.0 for k in range(8)}}
+    want = mixing.weighted(df, targets)
+    got = mixing.sample(df, targets)
+    assert got.columns == df.columns
+    assert 0 < got.count() == want.where("selected").count() < 400
+    assert got.exceptAll(df).count() == 0
+
+
 def test_one_odd_row_does_not_thin_the_mix(spark):
     rnd = random.Random(3)
     rows = [(i, " ".join(f"word{rnd.randrange(3000)}" for _ in range(rnd.randrange(1, 60))), rnd.choice("aaab"), rnd.choice(["en", "de"])) for i in range(4000)]
@@ -354,6 +416,24 @@ def test_codec_unigram():
     assert ids == reference.encode(texts) and sentencepiece_codec.decode_ids(data, ids) == reference.decode(ids)
 
 
+@pytest.mark.parametrize("crossing", [False, True])
+def test_codec_control_and_unused_pieces(crossing):
+    """Texts that hold the names of control, unknown and unused pieces, with models whose pieces do or do not span words."""
+    import sentencepiece
+
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("ab", -0.1, 5), ("<u>", 0.0, 4)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    pieces += [(x, -1.0 - k / 7, 1) for k, x in enumerate(["▁", "a", "b", "<", "s", ">", "/", "▁a", "ba", *(["a▁b"] if crossing else [])])]
+    data = b"".join(field(1, field(1, p.encode()) + field(2, s) + field(3, t)) for p, s, t in pieces)
+    data += field(2, field(3, 1) + field(35, 1)) + field(3, field(3, 1) + field(4, 0))
+    reference = sentencepiece.SentencePieceProcessor(model_proto=data)
+    rnd = random.Random(7)
+    texts = ["<s> a </s>", "<unk>", "<u>ab<u>", "ab ab", "▁a", "a▁b", ""] + ["".join(rnd.choice(["a", "b", " ", "<s>", "</s>", "<u>", "é"]) for _ in range(30)) for _ in range(200)]
+    assert sentencepiece_codec.encode_texts(data, texts) == reference.encode(texts)
+    assert sentencepiece_codec.decode_ids(data, [[1, *x, 2] for x in reference.encode(texts)]) == reference.decode(reference.encode(texts))
+    spelled = [[5 + b for b in "▁x▁".encode()]] * 2 + reference.encode(texts[:3])
+    assert sentencepiece_codec.decode_ids(data, spelled) == reference.decode(spelled)
+
+
 def test_html():
     page = """<!doctype html><html><head><title>T</title><script>var a="</p><p>no</p>";</script></head><body class="has-sidebar">
     <header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav><div class="cookie-notice">We use cookies</div>
