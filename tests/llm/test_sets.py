@@ -212,10 +212,10 @@ def test_bounds_never_refute_linked_sets():
         assert ngram_jaccard.least_difference(ngram_jaccard.sketch(x), ngram_jaccard.sketch(y)) <= d
 
 
-def test_shards(spark):
-    df = table(spark, ODD * 30)
-    got = sharding.shard_plan(df, n_shards=7, bucket_rows=40).collect()
-    again = sharding.shard_plan(df, n_shards=7, bucket_rows=40).collect()
+def test_shards(spark, tmp_path):
+    df = stored(table(spark, ODD * 30), tmp_path)
+    got = sharding.shard_plan(df, n_shards=7, bucket_bytes=4000).collect()
+    again = sharding.shard_plan(df, n_shards=7, bucket_bytes=4000).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert sorted((r.doc_id or 0, r.size, r.text_crc32) for r in got) == sorted((i or 0, len((x or "").encode()) + 8, zlib.crc32((x or "").encode())) for i, x, _ in ODD * 30)
     by = {}
@@ -223,22 +223,46 @@ def test_shards(spark):
         by.setdefault(r.shard, []).append(r.slot)
     assert set(by) == set(range(7)) and all(sorted(v) == list(range(len(v))) for v in by.values())
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    few = sharding.shard_plan(df.limit(5), n_shards=7).collect()
+    assert len(few) == 5 and {r.slot for r in few} == {0} and len({r.shard for r in few}) == 5
 
 
-def test_shards_are_shuffled(spark):
+def test_shards_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 4)
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
-    order = [r.doc_id for r in sharding.shard_plan(df, n_shards=1, bucket_rows=500).orderBy("slot").collect()]
+    order = [r.doc_id for r in sharding.shard_plan(df, n_shards=1, bucket_bytes=20000).orderBy("slot").collect()]
     assert sorted(order) == list(range(5000))
     up = sum(a < b for a, b in zip(order, order[1:], strict=False))
     assert 2300 < up < 2700
+    # every tenth of the ids is spread over every tenth of the places
+    tenths = [[0] * 10 for _ in range(10)]
+    for place, i in enumerate(order):
+        tenths[i // 500][place // 500] += 1
+    assert min(map(min, tenths)) > 20 and max(map(max, tenths)) < 90
 
 
 def test_written_shards(spark, tmp_path):
     df = spark.createDataFrame([(i, f"text {i}", "en") for i in range(100)], "doc_id long, text string, lang string")
-    sharding.write_shards(df, str(tmp_path / "out"), n_shards=4, bucket_rows=16)
-    clash = df.withColumn("shard", F.lit("x")).withColumn("size", F.lit(None).cast("string"))
-    sharding.write_shards(clash, str(tmp_path / "clash"), n_shards=4, bucket_rows=16)
-    assert set(spark.read.parquet(str(tmp_path / "clash")).columns) == {"shard", "slot", "doc_id", "text", "lang", "doc_shard", "doc_size"}
+    sharding.write_shards(df, str(tmp_path / "out"), n_shards=4, bucket_bytes=1000)
+    clash = df.withColumn("shard", F.lit("x")).withColumn("size", F.lit(None).cast("string")).withColumn("place", F.lit(1)).withColumn("_slot", F.lit(1)).withColumn("a.b", F.lit(2))
+    sharding.write_shards(clash, str(tmp_path / "clash"), n_shards=4, bucket_bytes=1000)
+    assert set(spark.read.parquet(str(tmp_path / "clash")).columns) == {"shard", "slot", "doc_id", "text", "lang", "doc_shard", "doc_size", "place", "_slot", "a.b"}
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 100 and set(back.columns) == {"shard", "slot", "doc_id", "text", "lang"}
     assert back.select("doc_id", "text").exceptAll(df.select("doc_id", "text")).count() == 0
+    assert {r.shard: r["count"] for r in back.groupBy("shard").count().collect()} == dict.fromkeys(range(4), 25)
+    # each file is in the order of its slots
+    for part in (tmp_path / "out").rglob("*.parquet"):
+        slots = [r.slot for r in spark.read.parquet(str(part)).select("slot").collect()]
+        assert sum(a > b for a, b in zip(slots, slots[1:], strict=False)) <= 8
+
+
+def test_shard_query_against_brute_force(spark, tmp_path):
+    """The contract of the query, from its rows alone, on the whole small table."""
+    from graphloom.llm import queries
+
+    dir = "/root/testdata/sf0.001"
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{dir}/documents.parquet").collect()}
+    got = queries.op6_sharding(spark, dir).collect()
+    assert {r.doc_id: (r.size, r.text_crc32, r.law, r.grown_shard) for r in got} == {i: (len(x) + 8, zlib.crc32(x), "rows", None) for i, x in docs.items()}
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(24) for k in range((s + 1) * len(docs) // 24 - s * len(docs) // 24)]
