@@ -485,6 +485,45 @@ def test_topk(spark, spread, block, query_block):
     assert {tuple(x) for x in got.select("query_id", "rank", "vec_id", "score").collect()} == brute_topk(rows, 20)
 
 
+@pytest.mark.parametrize("from_cosine", [-2.0, 0.0, 0.5, 9.0])
+def test_topk_pruning_by_coordinate(monkeypatch, from_cosine):
+    """Whichever queries are pruned by coordinate, a block gives the same answers."""
+    monkeypatch.setattr(topk_search, "BY_COORDINATE", from_cosine)
+    r = np.random.default_rng(8)
+    c = np.floor(64 * r.standard_normal((900, 10)) * np.exp(r.standard_normal((900, 1))))
+    q = np.floor(64 * r.standard_normal((60, 10)))
+    q[7] = 0
+    scores = (q @ c.T).astype(np.int64)
+    ids = r.permutation(2000)[:900]
+    for theta in (np.full(60, -np.inf), np.sort(scores, 1)[:, -5].astype(float), np.sort(scores, 1)[:, -40].astype(float), np.full(60, 1e9)):
+        got = topk_search.search_block(q, np.arange(-60, 0), theta, c, ids, 5)
+        got = {tuple(int(y) for y in x) for part in got for x in zip(*part, strict=True)}
+        want = {(i - 60, int(ids[j]), int(scores[i, j])) for i in range(60) for j in np.lexsort((ids, -scores[i]))[:5] if scores[i, j] >= theta[i]}
+        assert got == want
+
+
+def test_topk_of_very_long_vectors_and_repeated_ids(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in r.standard_normal(3)]) for i in range(300)]
+    for i, f in ((20, 1e30), (21, 1e30), (22, -1e30), (40, 3e7), (41, 5e8), (43, 1e200)):
+        rows[i] = (i, [x * f for x in rows[i][1]])
+    rows += [(60, [1.0, 2.0, 3.0]), (61, [50.0, 50.0, 50.0]), (61, [50.0, 50.0, 50.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [int(math.floor(64 * x)) for x in v]) for i, v in rows]
+    packed = lambda v: np.array(v, float).tobytes()
+    queries = {}
+    for i, v in whole:
+        if i % 20 == 0 and (i not in queries or packed(v) < packed(queries[i])):
+            queries[i] = v
+    want = set()
+    for i, q in queries.items():
+        found = sorted((-min(max(sum(a * b for a, b in zip(q, v, strict=True)), -(2**63) + 1), 2**63 - 1), j) for j, v in whole if j != i)
+        want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(found[:20])}
+    for order in (df, df.orderBy(F.desc("vec_id")).coalesce(1)):
+        got = topk_search.topk(order, F.col("id") % 20 == 0, block=40, query_block=4)
+        assert {tuple(x) for x in got.select("query_id", "rank", "vec_id", "score").collect()} == want
+
+
 def test_topk_empty(spark):
     assert topk_search.topk(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("id") % 20 == 0).count() == 0
 
