@@ -1,17 +1,23 @@
 """Main text of web pages from streaming parser events and text-to-tag ratios.
 
 The standard library's event parser walks the page once. Text gathers in lines (one for each block
-element); what stands in scripts, styles, menus, page headers and footers, sidebars, notices, adverts,
-forms and reader comments is left out by element, role and class or id word. Each line has a text-to-tag
-ratio: its characters over the tags that opened or closed in it. The ratios are smoothed with a Gaussian
-and clustered by a threshold on their spread; a region of the page (an article or main element, or the
-body where there is none) is content when it holds a line of the upper cluster. In the body without
-such an element the region runs from the first content line, with the headings right above it, to the last; what
-lies between stays, so that short paragraphs are kept.
+element); what stands in scripts, styles, menus, page footers and headers, asides, forms and hidden elements is
+left out by element and role. Each line has a text-to-tag ratio: its characters over the tags that opened or
+closed in it. The ratios are smoothed with a Gaussian and clustered by a threshold on their spread; the lines of
+the upper cluster are dense. The clusters then decide three things:
+
+* Subtrees under suspicion. A class or id word as `sidebar` or `advert` makes an element suspect, no more. It goes
+  if it holds less than MOSTLY of the page's dense text; a container around the article, whatever its class, stays.
+  A suspect of reader comments goes if any dense text lies outside it.
+* Regions. An article or main element is content when it holds a dense line. In a body without one, content runs
+  from the first dense line, with the headings right above it, to the last.
+* Lists of links within a region. A run of lines that are not dense and mostly links goes; a dense paragraph of
+  links stays, and so does a short paragraph without links.
 
 White space in a block becomes one space, blocks are joined by two newlines. Null or empty html and pages
 without text give the empty text. Unclosed and stray tags, comments and truncated pages are parsed as far
-as they go. Repeated rows are extracted separately; an empty table gives an empty result.
+as they go. A very long page is parsed whole, in its task's memory. Repeated rows are extracted separately; columns
+besides the id, the address and the html are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,15 +53,32 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 RADIUS = 2
 #: Of the ratios' standard deviation: where the upper cluster starts.
 SPREAD = 0.5
+#: The share of a page's dense text from which a suspect subtree is taken for the page itself.
+MOSTLY = 0.5
+#: The share of link text from which a line is mostly links.
+LINKS = 0.5
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    region: int  # 0 is the body
+    heading: bool
+    suspects: tuple[int, ...]
+    linked: int  # characters within links
 
 
 class Lines(HTMLParser):
-    """The lines of a page: (text, tags, region, heading); region 0 is the body."""
+    """The lines of a page; comments: which of the suspect subtrees, numbered as they open, are of reader comments."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
-        self.stack: list[tuple[str, bool, bool]] = []  # element, left out, opens a region
+        self.lines: list[Line] = []
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # element, left out, opens a region, suspect
+        self.suspects: list[int] = []
+        self.comments: list[bool] = []
+        self.links = 0
+        self.linked = 0
         self.out = 0
         self.text: list[str] = []
         self.tags = 0
@@ -65,8 +89,19 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.region, any(t in HEADINGS for t, _, _ in self.stack[-3:])))
-        self.text, self.tags = [], 0
+            self.lines.append(Line(text, self.tags, self.region, any(x[0] in HEADINGS for x in self.stack[-3:]), tuple(self.suspects), self.linked))
+        self.text, self.tags, self.linked = [], 0, 0
+
+    def _judged(self, tag: str, attrs: list) -> tuple[bool, bool, bool]:
+        """Whether an element is left out, suspect, and suspect of reader comments."""
+        left = self._left_out(tag, attrs)
+        words: set[str] = set()
+        if not left and tag not in ("html", "body", "main"):
+            for name, value in attrs:
+                if name in ("class", "id") and value:
+                    words |= {w.lower() for w in _PARTS.findall(value)}
+        comments = not words.isdisjoint(COMMENTS)
+        return left, comments or not (words.isdisjoint(CLUTTER) or tag == "article" or tag in HEADINGS), comments
 
     def _left_out(self, tag: str, attrs: list) -> bool:
         if tag in SKIP or tag == "header" and not self.region:
@@ -80,18 +115,17 @@ class Lines(HTMLParser):
                 continue
             if name == "role" and value.strip().lower() in ROLES or name == "aria-hidden" and value.lower() == "true":
                 return True
-            if name in ("class", "id"):
-                words = {w.lower() for w in _PARTS.findall(value)}
-                if not words.isdisjoint(COMMENTS if tag == "article" or tag in HEADINGS else CLUTTER):
-                    return True
         return False
 
     def _pop(self, to: int) -> None:
         while len(self.stack) > to:
-            if self.stack[-1][0] in BLOCK:
+            if self.stack[-1][0] in BLOCK or self.stack[-1][3] and not self.out:
                 self.end_line()
-            _, left, opened = self.stack.pop()
+            tag, left, opened, suspect = self.stack.pop()
             self.out -= left
+            self.links -= tag == "a"
+            if suspect:
+                self.suspects.pop()
             if opened:
                 self.nested -= 1
                 if not self.nested:
@@ -110,11 +144,14 @@ class Lines(HTMLParser):
             return
         if tag == "body" or tag in REGION:
             # a menu, header or form that was never closed ends here
-            for k, (open_tag, left, _) in enumerate(self.stack):
+            for k, (open_tag, left, _, _) in enumerate(self.stack):
                 if left and open_tag in ("head", "nav", "header", "form", "title", "menu"):
                     self._pop(k)
                     break
-        left = self._left_out(tag, attrs)
+        left, suspect, comments = self._judged(tag, attrs)
+        if suspect and not self.out:
+            # what was gathered before an inline suspect is not of it
+            self.end_line()
         opens = tag in REGION and not left and not self.out
         if opens:
             self.nested += 1
@@ -123,8 +160,12 @@ class Lines(HTMLParser):
                 self.region = self.regions
         elif tag == "header" and self.region and not left:
             left = False
-        self.stack.append((tag, left, opens))
+        self.stack.append((tag, left, opens, suspect))
         self.out += left
+        self.links += tag == "a"
+        if suspect:
+            self.suspects.append(len(self.comments))
+            self.comments.append(comments)
 
     def _close_implied(self, tag: str) -> None:
         same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
@@ -158,6 +199,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.out:
             self.text.append(data)
+            if self.links:
+                self.linked += len(" ".join(data.split()))
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -167,9 +210,9 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return np.convolve(ratios, kernel, "same")[: len(ratios)] / np.convolve(np.ones(len(ratios)), kernel, "same")[: len(ratios)] if len(ratios) > len(x) else ratios
 
 
-def content_lines(lines: list[tuple[str, int, int, bool]]) -> np.ndarray:
+def content_lines(lines: list[Line]) -> np.ndarray:
     """Which lines are of the upper cluster, by their own ratio and by that of their surroundings."""
-    ratios = np.array([len(x[0]) / max(1, x[1]) for x in lines], float)
+    ratios = np.array([len(x.text) / max(1, x.tags) for x in lines], float)
     around = smoothed(ratios)
     least = min(SPREAD * around.std(), ratios.max())
     content = (ratios >= least) & (around >= least)
@@ -177,24 +220,46 @@ def content_lines(lines: list[tuple[str, int, int, bool]]) -> np.ndarray:
     return content
 
 
+def without_suspects(lines: list[Line], comments: list[bool]) -> list[Line]:
+    """The lines that no suspect subtree takes with it."""
+    if not any(x.suspects for x in lines):
+        return lines
+    dense = content_lines(lines)
+    weight = [len(x.text) * bool(d) for x, d in zip(lines, dense, strict=True)]
+    of = [0] * len(comments)
+    for x, w in zip(lines, weight, strict=True):
+        for s in x.suspects:
+            of[s] += w
+    total = sum(weight)
+    gone = {s for s, w in enumerate(of) if w < (total if comments[s] else MOSTLY * total)}
+    return [x for x in lines if gone.isdisjoint(x.suspects)]
+
+
+def without_links(lines: list[Line], dense: np.ndarray) -> list[Line]:
+    """Leaves out runs of two lines or more that are mostly links and not dense."""
+    poor = [not d and x.linked >= LINKS * len(x.text) and not x.heading for x, d in zip(lines, dense, strict=True)]
+    return [x for k, x in enumerate(lines) if not (poor[k] and (k and poor[k - 1] or k + 1 < len(poor) and poor[k + 1]))]
+
+
 def main_blocks(html: str) -> list[str]:
     p = Lines()
     p.feed(html)
     p.close()
     p.end_line()
-    if not p.lines:
+    lines = without_suspects(p.lines, p.comments)
+    if not lines:
         return []
-    regions = np.array([x[2] for x in p.lines])
-    if p.regions and regions.any():
-        own = [x for x in p.lines if x[2]]
-        inside = regions[regions > 0]
-        keep = set(inside[content_lines(own)].tolist())
-        return [x[0] for x in own if x[2] in keep]
-    content = np.flatnonzero(content_lines(p.lines))
+    own = [x for x in lines if x.region]
+    if own:
+        dense = content_lines(own)
+        keep = {x.region for x, d in zip(own, dense, strict=True) if d}
+        return [x.text for x in without_links(own, dense) if x.region in keep]
+    dense = content_lines(lines)
+    content = np.flatnonzero(dense)
     first = content[0]
-    while first and p.lines[first - 1][3]:
+    while first and lines[first - 1].heading:
         first -= 1
-    return [x[0] for x in p.lines[first : content[-1] + 1]]
+    return [x.text for x in without_links(lines[first : content[-1] + 1], dense[first : content[-1] + 1])]
 
 
 def main_text(html: str | None) -> str:

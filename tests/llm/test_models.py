@@ -457,6 +457,52 @@ def test_html_rows(spark):
     assert got == {(1, "a", 1), (2, "", 0), (1, "deep", 4)}
 
 
+LONG_TEXT = "A long paragraph of prose that says one thing after another without any markup in between it all. " * 3
+CASES = {
+    "container classes": (f'<div class="wrapper header-fixed"><div class="content with-sidebar"><h1>T</h1><p>{LONG_TEXT}<p>Short.<p>{LONG_TEXT}</div><div class="sidebar"><p>aside one<p>aside two</div></div>', ["T", LONG_TEXT, "Short.", LONG_TEXT]),
+    "page header as container": (f'<div class="wrapper header-fixed"><p>{LONG_TEXT}</div>', [LONG_TEXT]),
+    "an advert in the article": (f'<article><h1>T</h1><p>{LONG_TEXT}<div class="advert">Buy now.</div><p>Tiny.<p>{LONG_TEXT}</article>', ["T", LONG_TEXT, "Tiny.", LONG_TEXT]),
+    "a list of links without a class": (f"<article><p>{LONG_TEXT}<p>Tiny.<ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul><p>{LONG_TEXT}</article>", [LONG_TEXT, "Tiny.", LONG_TEXT]),
+    "a dense paragraph of links": (f"<article><p>{LONG_TEXT}<p><a href=1>{LONG_TEXT}</a><p><a href=2>{LONG_TEXT}</a></article>", [LONG_TEXT] * 3),
+    "long reader comments": (f'<p>{LONG_TEXT}<div id="comments">' + f"<p>{LONG_TEXT}" * 5 + "</div>", [LONG_TEXT]),
+    "a body with links around": (f"<div><a href=1>One</a></div><div><a href=2>Two</a></div><h2>Head</h2><p>{LONG_TEXT}<p>{LONG_TEXT}<div><a href=3>Three</a></div>", ["Head", LONG_TEXT, LONG_TEXT]),
+    "an inline advert": (f'<article><p>{LONG_TEXT}<span class="ad">Buy</span></p><p>{LONG_TEXT}</article>', [LONG_TEXT, LONG_TEXT]),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_density_decides(name):
+    html, want = CASES[name]
+    assert html_extract.main_blocks(f"<html><body>{html}</body></html>") == [x.strip() for x in want]
+
+
+def test_clusters_change_the_output(monkeypatch):
+    """With every line taken for dense, links, adverts and surroundings come through, or containers go."""
+    monkeypatch.setattr(html_extract, "content_lines", lambda lines: np.ones(len(lines), bool))
+    changed = {n for n, (html, want) in CASES.items() if html_extract.main_blocks(f"<html><body>{html}</body></html>") != [x.strip() for x in want]}
+    assert changed >= {"a list of links without a class", "a body with links around"}
+
+
+def test_extraction_against_pages_built_from_known_articles(spark):
+    """Whole pages with menus, notices, sidebars, comments and forms around articles: the article's blocks come back, no more and no less."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows, want = [], {}
+    for i in range(150):
+        blocks = [prose(rnd.choice([1, 3, 30, 90])) for _ in range(rnd.randrange(3, 12))] + [prose(60)]
+        links = "".join(f"<li><a href=/{word()}>{word()}</a>" for _ in range(6))
+        junk = [f"<nav><ul>{links}</ul></nav>", f'<div class="cookie-notice"><p>{prose(8)}</p></div>', f'<aside><p>{prose(20)}</p></aside>', f"<form><label>{word()}</label><input></form>", f'<div class="ad-slot">{prose(6)}</div>', f"<script>var x = '<p>{prose(5)}</p>'</script>"]
+        tail = [f'<section id="comments"><p>{prose(30)}</p><p>{prose(40)}</p></section>', f'<div class="related-posts"><ul>{links}</ul></div>', f"<footer>{prose(9)}</footer>"]
+        body = f"<h1>{blocks[0]}</h1>" + "".join(rnd.choice(["<p>{}</p>", "<p>{}", "<p><b>{}</b></p>", "<blockquote>{}</blockquote>"]).format(x) for x in blocks[1:])
+        inside = f'<div class="share-buttons"><a href=#>{word()}</a></div>' if rnd.random() < 0.5 else ""
+        rnd.shuffle(junk)
+        rows.append((i, "u", "<html><body>" + "".join(junk[:4]) + f"<article>{body}{inside}</article>" + "".join(tail) + "</body></html>"))
+        want[i] = "\n\n".join(blocks)
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def brute_topk(rows, k):
     ok = [(i, np.floor(64 * np.array(v, float))) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = set()
