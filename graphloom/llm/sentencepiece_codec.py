@@ -6,7 +6,8 @@ model from the scores or a BPE model whose merges follow from them, byte fallbac
 the library a text is not split into words first. Batches are encoded by several threads. Parity
 with the sentencepiece library is verified while encoding, for every text; a mismatch raises. The model file's bytes are read once on the driver and broadcast.
 
-Null and empty texts have no tokens and decode to the empty text. Whole texts are encoded. Repeated rows
+A very long text is a call of its own, which takes some fifty times its room. The input's columns pass by untouched;
+`token_ids` and `decoded_text` take the place of columns so named. Null and empty texts have no tokens and decode to the empty text. Whole texts are encoded. Repeated rows
 are encoded separately. Decoding gives back the normalised text, which for a model with the identity
 normaliser is the text.
 """
@@ -104,12 +105,14 @@ class Model:
 
 
 def tokenizer(model: Model):
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+    from tokenizers import Regex, Tokenizer, models, normalizers
 
     unknown = next((i for i, (_, _, kind) in enumerate(model.pieces) if kind == UNKNOWN), None)
     if model.kind == 1:
         lowest = min((s for _, s, kind in model.pieces if kind == NORMAL), default=0.0) - 10
-        t = Tokenizer(models.Unigram([(p, s if kind == NORMAL else (0.0 if kind == USER else lowest)) for p, s, kind in model.pieces], unknown, model.byte_fallback))
+        # a control, unknown or unused piece keeps its number under a name that no text can hold: two noncharacters around it
+        name = lambda p, kind: p if kind in (NORMAL, USER, BYTE) else f"\ufdd0{p}\ufdd1"
+        t = Tokenizer(models.Unigram([(name(p, kind), s if kind == NORMAL else (0.0 if kind == USER else lowest)) for p, s, kind in model.pieces], unknown, model.byte_fallback))
     else:
         t = Tokenizer(models.BPE(model.ids, model.merges(), unk_token=None if unknown is None else model.pieces[unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback))
     steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
@@ -118,10 +121,19 @@ def tokenizer(model: Model):
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(MARK))
     t.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
-    t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else [])])
+    t.decoder = decoder(model)
     return t
 
 
+def decoder(model: Model, by_piece: bool = False):
+    """Markers become spaces in the joined text, which is quicker than by piece; by piece where bytes spell a marker."""
+    from tokenizers import decoders
+
+    marker = [decoders.Replace(MARK, " ")]
+    joined = [decoders.ByteFallback(), decoders.Fuse()]
+    return decoders.Sequence([*(marker + joined if by_piece else joined + marker), *([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else [])])
+
+
 _READY: dict[int, tuple] = {}
 
 
@@ -164,7 +176,17 @@ def encode_texts(data: bytes, texts: list[str], verify_every: int = VERIFY_EVERY
 
 
 def decode_ids(data: bytes, ids: list[list[int]]) -> list[str]:
-    return _ready(data)[0].decode_batch(ids, skip_special_tokens=False)
+    t, _, _, model = _ready(data)
+    control = {i for i, (_, _, kind) in enumerate(model.pieces) if kind == CONTROL}
+    last = {i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE and p == "<0x81>"}  # of a marker's three bytes
+    ids = [x if control.isdisjoint(x) else [i for i in x if i not in control] for x in ids]
+    out = t.decode_batch(ids, skip_special_tokens=False)
+    if spelled := [k for k, x in enumerate(ids) if not last.isdisjoint(x)]:
+        exact = tokenizer(model)
+        exact.decoder = decoder(model, by_piece=True)
+        for k, x in zip(spelled, exact.decode_batch([ids[k] for k in spelled], skip_special_tokens=False), strict=True):
+            out[k] = x
+    return out
 
 
 def read_model(path: str = MODEL) -> bytes:
