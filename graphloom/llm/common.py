@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,16 @@ def written(df: DataFrame, name: str, *by: str) -> DataFrame:
     if by:
         writer = writer.partitionBy(*by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table that written() made and nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -50,6 +60,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ROWS_PER_BATCH))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows, for what is executed inside and has short rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """Texts as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
@@ -81,11 +103,11 @@ def crc_mod(column: str, divisor: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node reachable.
 
-    Alternating large-star and small-star steps; each step is written to the shared folder, and only a
-    count and a checksum come to the driver. A hub's rows are pre-aggregated (min) and joined, so that
+    Alternating large-star and small-star steps until nothing changes; each step is written to the shared folder,
+    the one before it is deleted, and only a count and a checksum come to the driver. A hub's rows are pre-aggregated (min) and joined, so that
     adaptive execution can split them.
     """
     spark = edges.sparkSession
@@ -97,13 +119,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before = mark(e)
     if not before[0]:
         return spark.createDataFrame([], "node long, component long")
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = written(small, "edges")
+        e, old = written(small, "edges"), e
+        forget(old)
         after = mark(e)
         if after == before:
             break

@@ -8,10 +8,11 @@ Method (set-relation skipping):
 
 * Every set is put into one global order: shingles that are rare first, by hash; shingles known to be
   frequent last. Two sets that link share a shingle among the first n - ceil(t n) + 1 of each (prefix
-  filter), so only those are indexed. Counts cover all texts: of the shingles that a
-  prefix could hold, and of those that repeat within a chunk. The list of frequent ones is bounded
-  (FREQUENT) and any list gives the same links: it decides cost only.
-* The index is dealt by shingle into buckets. In a list entries are sorted by set size and then by the
+  filter), so only those are indexed. Frequent shingles are found by adding up, over all texts, the counts of those
+  that repeat within a chunk of texts; the list of them is bounded (FREQUENT). Any list gives the same links: it
+  decides cost only.
+* The index is one row per entry (shingle, document, size, position), dealt and sorted by shingle, so its cost is
+  in proportion to the texts. In a list entries are sorted by set size and then by the
   shingle's position; a probe skips blocks of sizes that cannot reach the threshold and, within a size,
   all entries behind the last useful position.
 * Answers are derived from similar sets. Equal sets share one answer. First every entry of a list is
@@ -21,9 +22,15 @@ Method (set-relation skipping):
 * A pair is refuted without its texts when the parity bitmaps of the two sets differ in more bits than
   linked sets can differ in shingles; the rest are verified on the whole sets.
 
-Lists longer than LIST_BLOCK are cut into blocks; each pair of blocks is a list of its own, so that no
-task holds an unbounded list. Null or empty texts have no set and link with nothing; rows with a null id
-get a null component; rows that repeat an id form one node. An empty table gives an empty result.
+A list is read as a stream and passed on in blocks of LIST_BLOCK entries; a block begins with the pivots of the one
+before it. Blocks are paired after the pivots' answers are known, and only where their entries are not all connected.
+The result is components and the links that make them; links inside a component that is connected already are not
+computed. Sets are taken for equal when their sizes, 128-bit hashes and bitmaps' hashes are.
+
+Null or empty texts have no set and link with nothing; rows with a null id get a null component. Rows that repeat
+an id are compared each with its own text and tied together. A very long text is worked on whole, in one task, with
+8 bytes a word and its bitmap of 2^20 bits at most. Columns besides the id and the text are not read, so their names
+cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,11 +40,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import chunks, components, small_batches, text_bytes, word_hashes, written
+from graphloom.llm.common import batches_of, chunks, components, forget, small_batches, text_bytes, word_hashes, written
 
 NGRAM = 5
 PERCENT = 80
@@ -52,8 +59,8 @@ CHUNK = 8 << 20
 BLOOM_BITS = 1 << 24
 #: Pairs that a task holds before it passes them on.
 PAIRS = 1 << 17
-#: Shingles of one bucket.
-BUCKET = 1 << 19
+#: Index entries of one task, and tasks at most; a task sorts its entries on disk and reads them as a stream.
+ENTRIES, MOST_PARTS = 1 << 20, 1 << 16
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -110,69 +117,31 @@ def least_difference(a: bytes, b: bytes) -> int:
 # --- pass A: what every text holds
 
 
-_A = "kind int, bucket int, id long, n int, sig long, sketch binary, tokens binary, counts binary"
-_SETS = "kind int, id long, n int, sig long, sketch binary, token long, count long"
-
-
-def _signature(s: np.ndarray) -> int:
-    return int(np.bitwise_xor.reduce(s * _M ^ (s >> np.uint64(32))).view(np.int64)) if len(s) else 0
-
+_A = "kind int, id long, h long, n int, sig binary, sketch binary, token long, count long"
 
-def _bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return ((tokens * _M) >> np.uint64(40)) % np.uint64(buckets)
 
+def _signature(s: np.ndarray, bitmap: bytes) -> bytes:
+    """What stands for a set: a hash of its shingles and one of its bitmap."""
+    return xxhash.xxh3_128_digest(s.tobytes()) + xxhash.xxh3_64_digest(bitmap)
 
-def _describe(ngram: int, percent: int, buckets: int):
-    """Of every text its size, signature and bitmap; of every chunk of texts the counts of its low shingles, and of those it repeats.
 
-    Low are those that a prefix under the plain order of hashes could hold, and half as many again.
-    """
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+def _describe(ngram: int):
+    """Of every text its size, signature and bitmap; of every chunk of texts the counts of the shingles that it repeats."""
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
     schema = pa.schema([(x.split()[0], k) for x, k in zip(_A.split(", "), kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, "text", CHUNK):
             sets = [shingles(x, ngram) for x in text_bytes(t.column("text"))]
             k = len(sets)
-            n = [len(s) for s in sets]
-            where = [int(x) % buckets for x in np.random.default_rng(k).permutation(k)]
-            yield pa.RecordBatch.from_arrays([pa.array([0] * k, kinds[0]), pa.array(where, kinds[1]), t.column("id").combine_chunks(), pa.array(n, kinds[3]), pa.array([_signature(s) for s in sets], kinds[4]), pa.array([sketch(s) for s in sets], kinds[5]), pa.nulls(k, kinds[6]), pa.nulls(k, kinds[7])], schema=schema)
+            bitmaps = [sketch(s) for s in sets]
+            one = lambda name: t.column(name).combine_chunks()  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array([0] * k, kinds[0]), one("id"), one("h"), pa.array([len(s) for s in sets], kinds[3]), pa.array([_signature(s, b) for s, b in zip(sets, bitmaps, strict=True)], kinds[4]), pa.array(bitmaps, kinds[5]), pa.nulls(k, kinds[6]), pa.nulls(k, kinds[7])], schema=schema)
             u, c = np.unique(np.concatenate(sets), return_counts=True)
-            low = np.zeros(len(u), bool)
-            low[np.searchsorted(u, np.concatenate([s[: prefix_length(len(s), percent) * 3 // 2 + 8] for s in sets if len(s)] or [u[:0]]))] = True
-            u, c = u[low | (c > 1)], c[low | (c > 1)]
-            to = _bucket_of(u, buckets)
-            order = np.lexsort((c > 1, to))
-            u, c, to = u[order], c[order], to[order]
-            cuts = np.searchsorted(to, np.arange(buckets + 1, dtype=np.uint64))
-            rows = [(b, u[x:y].tobytes(), c[x:y][c[x:y] > 1].astype(np.uint32).tobytes()) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
-            m = len(rows)
+            u, c = u[c > 1], c[c > 1]
+            m = len(u)
             if m:
-                yield pa.RecordBatch.from_arrays([pa.array([1] * m, kinds[0]), pa.array([r[0] for r in rows], kinds[1]), *[pa.nulls(m, x) for x in kinds[2:6]], pa.array([r[1] for r in rows], kinds[6]), pa.array([r[2] for r in rows], kinds[7])], schema=schema)
-
-    return run
-
-
-def _counted(least: int):
-    """Passes texts' rows on and adds up a bucket's counts; shingles that few texts hold are left out."""
-
-    def run(_key, rows):
-        kind = rows.column("kind")
-        own = rows.filter(pa.compute.equal(kind, 0)).select(["kind", "id", "n", "sig", "sketch"])
-        packs = rows.filter(pa.compute.equal(kind, 1))
-        tokens, counts = [], []
-        for x, y in zip(packs.column("tokens").to_pylist(), packs.column("counts").to_pylist(), strict=True):
-            u, c = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint32)
-            tokens.append(u)
-            counts.append(np.r_[np.ones(len(u) - len(c), np.int64), c])
-        u, back = np.unique(np.concatenate(tokens or [np.empty(0, np.uint64)]), return_inverse=True)
-        c = np.bincount(back, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64) if len(u) else np.empty(0, np.int64)
-        u, c = u[c >= least], c[c >= least]
-        k, m = own.num_rows, len(u)
-        out = own.append_column("token", pa.nulls(k, pa.int64())).append_column("count", pa.nulls(k, pa.int64()))
-        more = pa.table({"kind": pa.array([1] * m, pa.int32()), "id": pa.nulls(m, pa.int64()), "n": pa.nulls(m, pa.int32()), "sig": pa.nulls(m, pa.int64()), "sketch": pa.nulls(m, pa.binary()), "token": pa.array(u.view(np.int64)), "count": pa.array(c)})
-        return pa.concat_tables([out, more])
+                yield pa.RecordBatch.from_arrays([pa.array([1] * m, kinds[0]), *[pa.nulls(m, x) for x in kinds[1:6]], pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], schema=schema)
 
     return run
 
@@ -180,95 +149,110 @@ def _counted(least: int):
 # --- pass B: the index of prefixes
 
 
-_B = "bucket int, tokens binary, owner binary, place binary, ids binary, sizes binary"
+_B = "token long, id long, n int, pos int"
 
 
-def _index(ngram: int, percent: int, buckets: int, shared):
+def _index(ngram: int, percent: int, shared):
+    """The entries of every set's prefix."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_blocks, hot_sig, hot_id = shared.value
-        blocks_of = dict(zip(last[last_blocks > 1].tolist(), last_blocks[last_blocks > 1].tolist(), strict=True))
-        long_lists = last[last_blocks > 1]
-        hot = dict(zip(hot_sig.tolist(), hot_id.tolist(), strict=True))
-        names = [x.split()[0] for x in _B.split(", ")]
+        last, hot = shared.value
         for t in chunks(batches, "text", CHUNK):
-            tokens, owner, place, ids, sizes, salt = [], [], [], [], [], []
+            tokens, ids, sizes = [], [], []
             seen = set()
             for i, x in zip(t.column("id").to_pylist(), text_bytes(t.column("text")), strict=True):
                 s = shingles(x, ngram)
                 if i is None or not len(s):
                     continue
-                sig = _signature(s)
+                sig = _signature(s, sketch(s))
                 if hot.get(sig, i) != i or sig in seen:
-                    continue  # an equal set has the same answer; links_of_equal joins them
+                    continue  # an equal set has the same answer; the edges between equal sets join them
                 seen.add(sig)
                 p = prefix_length(len(s), percent)
                 at = np.searchsorted(last, s)
                 frequent = last[np.minimum(at, len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
                 head = s[~frequent][:p]
                 if len(head) < p:
-                    tail = s[frequent][: p - len(head)]
-                    head = np.concatenate([head, tail])
-                k = len(ids)
+                    head = np.concatenate([head, s[frequent][: p - len(head)]])
+                tokens.append(head)
                 ids.append(i)
                 sizes.append(len(s))
-                tokens.append(head)
-                owner.append(np.full(len(head), k, np.uint32))
-                place.append(np.arange(len(head), dtype=np.uint32))
-                first = np.zeros(len(head), np.uint64)
-                salt.append(first)
-                for j in np.flatnonzero(np.isin(head, long_lists)) if blocks_of else ():
-                    if b := blocks_of.get(int(head[j])):
-                        own = (i * 2654435761 >> 7) % b
-                        pairs = [(min(own, o), max(own, o)) for o in range(b)]
-                        first[j] = 1 + pairs[0][0] * b + pairs[0][1]
-                        tokens.append(np.full(b - 1, head[j]))
-                        owner.append(np.full(b - 1, k, np.uint32))
-                        place.append(np.full(b - 1, j, np.uint32))
-                        salt.append(np.array([1 + x * b + y for x, y in pairs[1:]], np.uint64))
-            if not ids:
+            if ids:
+                length = np.array([len(x) for x in tokens])
+                token = np.concatenate(tokens).view(np.int64)
+                place = np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(np.array(ids, np.int64), length)), pa.array(np.repeat(np.array(sizes, np.int32), length)), pa.array(place.astype(np.int32))], names=["token", "id", "n", "pos"])
+
+    return run
+
+
+_LISTS = "list long, block int, several boolean, ids array<long>, sizes array<int>, places array<int>"
+
+
+def _leads(entries: list[np.ndarray], percent: int) -> np.ndarray:
+    """Of each block of sizes the place of the entry with the smallest id."""
+    _, i, n, _ = entries
+    block = _size_block(n, percent)
+    o = np.lexsort((i, block))
+    return o[np.r_[True, block[o][1:] != block[o][:-1]]]
+
+
+def _lists(list_block: int, percent: int):
+    """From entries sorted by shingle, size, position and id: the lists of two entries or more, in blocks."""
+
+    def rows(number: np.ndarray, several: np.ndarray, off: np.ndarray, entries: list[np.ndarray], token: np.ndarray) -> pa.RecordBatch:
+        fold = lambda x: pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(x))
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(number.astype(np.int32)), pa.array(several), fold(entries[1]), fold(entries[2]), fold(entries[3])], names=[x.split()[0] for x in _LISTS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        lead: list[np.ndarray] | None = None  # the pivots of the held list's last block that was passed on
+        number = 0  # such blocks
+
+        def block(part: list[np.ndarray]) -> pa.RecordBatch:
+            nonlocal lead, number
+            whole = part if lead is None else [np.concatenate(x) for x in zip(lead, part, strict=True)]
+            out = rows(np.array([number]), np.array([True]), np.array([0, len(whole[0])]), whole, whole[0][:1])
+            at = _leads(whole, percent)
+            lead, number = [x[at] for x in whole], number + 1
+            return out
+
+        for b in _then(batches, None):
+            if b is not None:
+                new = [b.column(k).to_numpy() for k in range(4)]
+                held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if held is None or not len(held[0]):
                 continue
-            tok, own, pos, sl = np.concatenate(tokens), np.concatenate(owner), np.concatenate(place), np.concatenate(salt)
-            with np.errstate(over="ignore"):
-                tok = tok ^ (sl * np.uint64(0xD6E8FEB86659FD93))
-            to = _bucket_of(tok, buckets)
-            order = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[order], np.arange(buckets + 1, dtype=np.uint64))
-            all_ids, all_sizes = np.array(ids, np.int64), np.array(sizes, np.uint32)
-            out = []
-            for b in range(buckets):
-                o = order[cuts[b] : cuts[b + 1]]
-                if len(o):
-                    used, local = np.unique(own[o], return_inverse=True)
-                    out.append((b, tok[o].tobytes(), local.astype(np.uint32).tobytes(), pos[o].tobytes(), all_ids[used].tobytes(), all_sizes[used].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out, strict=True))], names=names)
+            t = held[0]
+            last = len(t) if b is None else int(np.searchsorted(t, t[-1]))  # where the list begins that may go on
+            cuts = np.r_[0, np.flatnonzero(t[1:last] != t[: last - 1]) + 1, last] if last else np.array([0])
+            size = np.diff(cuts)
+            long = size > list_block
+            if number and len(size):
+                long[0] = True
+            plain = np.flatnonzero((size > 1) & ~long)
+            if len(plain):
+                at = np.concatenate([np.arange(cuts[k], cuts[k + 1]) for k in plain])
+                yield rows(np.zeros(len(plain)), np.zeros(len(plain), bool), np.r_[0, np.cumsum(size[plain])], [x[at] for x in held], t[cuts[plain]])
+            for k in np.flatnonzero(long):
+                for at in range(cuts[k], cuts[k + 1], list_block):
+                    yield block([x[at : min(at + list_block, cuts[k + 1])] for x in held])
+                lead, number = None, 0
+            held = [x[last:] for x in held]
+            while len(held[0]) > 2 * list_block:
+                yield block([x[:list_block] for x in held])
+                held = [x[list_block:] for x in held]
 
     return run
 
 
-def _lists(_key, packs):
-    """The lists of a bucket that have two entries or more: list, ids, sizes, places; sorted by size, place, id."""
-    col = lambda name, kind: [np.frombuffer(x, kind) for x in packs.column(name).to_pylist()]
-    ids, sizes, owner = col("ids", np.int64), col("sizes", np.uint32), col("owner", np.uint32)
-    tok = np.concatenate(col("tokens", np.uint64))
-    doc = np.concatenate([i[o] for i, o in zip(ids, owner, strict=True)])
-    n = np.concatenate([s[o] for s, o in zip(sizes, owner, strict=True)])
-    pos = np.concatenate(col("place", np.uint32))
-    order = np.argsort(tok, kind="stable")
-    t = tok[order]
-    twice = np.zeros(len(t), bool)
-    same = t[1:] == t[:-1]
-    twice[1:] |= same
-    twice[:-1] |= same
-    o = order[twice]
-    o = o[np.lexsort((doc[o], pos[o], n[o], tok[o]))]
-    t = tok[o]
-    starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.empty(0, np.int64)
-    off = pa.array(np.r_[starts, len(t)].astype(np.int32))
-    fold = lambda x, kind: pa.ListArray.from_arrays(off, pa.array(x.astype(kind)))
-    return pa.table({"list": pa.array(t[starts].view(np.int64)), "ids": fold(doc[o], np.int64), "sizes": fold(n[o], np.int32), "places": fold(pos[o], np.int32)})
-
-
-_LISTS = "list long, ids array<long>, sizes array<int>, places array<int>"
+def _then(batches: Iterator, end) -> Iterator:
+    yield from batches
+    yield end
+
+
+def _size_block(n: np.ndarray, percent: int) -> np.ndarray:
+    return np.floor(np.log(n) / math.log(100 / percent)).astype(np.int64) if percent < 100 else n
 
 
 def pivots(ids: np.ndarray, n: np.ndarray, run_of: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -276,7 +260,7 @@ def pivots(ids: np.ndarray, n: np.ndarray, run_of: np.ndarray, percent: int = PE
 
     Lists of one group of near copies share their smallest ids, so the pairs are few times the documents.
     """
-    block = np.floor(np.log(n) / math.log(100 / percent)).astype(np.int64) if percent < 100 else n
+    block = _size_block(n, percent)
     o = np.lexsort((ids, block, run_of))
     i, z, r, k = ids[o], n[o], run_of[o], block[o]
     new = np.r_[True, (r[1:] != r[:-1]) | (k[1:] != k[:-1])] if len(o) else np.empty(0, bool)
@@ -415,47 +399,82 @@ def _verified(pairs: DataFrame, about: DataFrame, texts: DataFrame, ngram: int,
     return written(likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").sortWithinPartitions("a", "b").mapInArrow(_linked(ngram, percent), "a long, b long"), f"{name}-links")
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT, list_block: int = LIST_BLOCK, frequent_from: int = FREQUENT_FROM) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(about, equal, links): n and sig of every document; documents with equal sets tied to the smallest id; links enough to give the components."""
+def _few(df: DataFrame, most: int) -> DataFrame:
+    """df, to be sent to every task if it has no more rows than that."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT, list_block: int = LIST_BLOCK, frequent_from: int = FREQUENT_FROM) -> tuple[DataFrame, DataFrame]:
+    """(every, edges): id, node and n of every row; edges (a, b) between nodes that link or hold equal sets, enough to give the components.
+
+    A node is an id, or, for rows that share an id and not the text, a hash of both.
+    """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # a word has about six bytes, and a third of the shingles are low
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(8, math.ceil(size / 20 / BUCKET))
-    described = rows.mapInArrow(_describe(ngram, percent, parts), _A).repartition(parts, "bucket")
-    scan = written(described.groupBy("bucket").applyInArrow(_counted(frequent_from), _SETS), "jaccard-sets")
-    every = scan.where("kind = 0").select("id", "n", "sig", "sketch")
-    frequent = scan.where("kind = 1").select("token", F.col("count").alias("c")).orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()
-    sets = every.where("n > 0 and id is not null").groupBy("sig", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c"))
-    hot = sets.where("c > 8").orderBy(F.desc("c"), "sig").limit(HOT_SETS).select("sig", "rep").toPandas()
-    token = frequent["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(token)
-    blocks = -(-frequent["c"].to_numpy(np.int64) // list_block)
-    shared = spark.sparkContext.broadcast((token[order], blocks[order], hot["sig"].to_numpy(np.int64), hot["rep"].to_numpy(np.int64)))
-    total = every.agg(F.sum(F.expr(f"n - ceil(n * {percent} / 100) + 1"))).first()[0] or 0
-    buckets = max(8, math.ceil(total / BUCKET))
-    packs = rows.mapInArrow(_index(ngram, percent, buckets, shared), _B)
-    lists = written(packs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_lists, _LISTS), "jaccard-lists")
-    about = every.where("n > 0 and id is not null").dropDuplicates(["id"])
-
-    pairs = lists.mapInArrow(_pivots(percent), "a long, b long").distinct()
-    first = _verified(pairs, about, rows.where("id is not null"), ngram, percent, "jaccard-near")
-    equal = every.where("n > 0 and id is not null").join(sets.where("c > 1"), ["sig", "n"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("id", "text"))
+    scan = written(rows.select("id", "h", "text").mapInArrow(_describe(ngram), _A), "jaccard-sets", "kind")
+    every = scan.where("kind = 0").select("id", "h", "n", "sig", "sketch")
+    frequent = scan.where("kind = 1").groupBy("token").agg(F.sum("count").alias("c")).where(F.col("c") >= frequent_from).orderBy(F.desc("c"), "token").limit(FREQUENT).select("token").toPandas()
+    # ids that are on several rows; torn where the texts differ
+    again = written(every.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("c"), (F.min("h") != F.max("h")).alias("torn")).where("c > 1"), "jaccard-repeated")
+    torn = again.where("torn").select("id", F.lit(True).alias("torn"))
+    if not torn.isEmpty():
+        every = every.join(_few(torn, HOT_SETS), "id", "left")
+        rows = rows.join(_few(torn, HOT_SETS), "id", "left")
+    else:
+        every, rows = every.withColumn("torn", F.lit(None).cast("boolean")), rows.withColumn("torn", F.lit(None).cast("boolean"))
+    node = F.when(F.col("torn"), F.col("h")).otherwise(F.col("id")).alias("node")
+    every = every.select("id", node, "n", "sig", "sketch")
+    texts = rows.where("id is not null").select(node.alias("id"), "text")
+    nodes = every.where("n > 0 and id is not null").select(F.col("node").alias("id"), "n", "sig", "sketch")
+    if not again.isEmpty():
+        nodes = nodes.dropDuplicates(["id"])
+        texts = written(texts.dropDuplicates(["id"]), "jaccard-texts")
+    about = written(nodes, "jaccard-nodes")
+
+    sets = written(about.groupBy("sig", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1"), "jaccard-equal")
+    hot = sets.where("c > 8").orderBy(F.desc("c"), "sig").limit(HOT_SETS)
+    known = {bytes(r.sig): r.rep for r in hot.select("sig", "rep").collect()}
+    shared = spark.sparkContext.broadcast((np.sort(frequent["token"].to_numpy(np.int64).view(np.uint64)), known))
+    # sets with many copies are told to every task, the others meet by a join
+    to_hot = about.select("id", "sig", "n").join(F.broadcast(hot.select("sig", "n", F.col("rep").alias("hot"))), ["sig", "n"], "left")
+    cold = to_hot.where("hot is null").join(sets.select("sig", "n", "rep"), ["sig", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    equal = written(to_hot.where("hot is not null").select(F.col("id").alias("a"), F.col("hot").alias("b")).unionByName(cold).where("a <> b"), "jaccard-copies")
+
+    total = about.agg(F.sum(F.expr(f"n - ceil(n * {percent} / 100) + 1"))).first()[0] or 0
+    entries = texts.mapInArrow(_index(ngram, percent, shared), _B)
+    parts = min(MOST_PARTS, max(8, math.ceil(total / ENTRIES)))
+    entries = written(entries, "jaccard-entries")
+    with batches_of(spark, 1 << 16):
+        lists = written(entries.repartition(parts, "token").sortWithinPartitions("token", "n", "pos", "id").mapInArrow(_lists(list_block, percent), _LISTS), "jaccard-lists")
+    forget(entries)
+    pairs = written(lists.select("ids", "sizes").mapInArrow(_pivots(percent), "a long, b long").distinct(), "jaccard-pivots")
+    first = _verified(pairs, about, texts, ngram, percent, "jaccard-near")
     group = components(first.unionByName(equal))
-    entries = lists.select("list", F.explode(F.arrays_zip("ids", "sizes", "places")).alias("e")).select("list", F.col("e.ids").alias("id"), F.col("e.sizes").alias("n"), F.col("e.places").alias("pos"))
-    labelled = entries.join(group, F.col("id") == F.col("node"), "left").select("list", "id", "n", "pos", F.coalesce("component", "id").alias("group"))
-    mixed = labelled.groupBy("list").agg(F.collect_list(F.struct("id", "n", "pos", "group")).alias("entries"), F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 <> g1")
-    left = mixed.select("entries").mapInArrow(_unlinked(percent), "a long, b long").distinct()
-    rest = _verified(left.join(pairs, ["a", "b"], "left_anti"), about, rows.where("id is not null"), ngram, percent, "jaccard-rest")
-    return every, equal, written(first.unionByName(rest).unionByName(group.select(F.col("node").alias("a"), F.col("component").alias("b"))), "jaccard-all")
+
+    placed = lists.select("list", "block", "several", F.explode(F.arrays_zip("ids", "sizes", "places")).alias("e")).select("list", "block", "several", F.col("e.ids").alias("id"), F.col("e.sizes").alias("n"), F.col("e.places").alias("pos"))
+    labelled = placed.join(group, F.col("id") == F.col("node"), "left").select("list", "block", "several", "id", "n", "pos", F.coalesce("component", "id").alias("group"))
+    blocks = written(labelled.groupBy("list", "block", "several").agg(F.collect_list(F.struct("id", "n", "pos", "group")).alias("entries"), F.min("group").alias("g0"), F.max("group").alias("g1")).where("several or g0 <> g1"), "jaccard-blocks")
+    x, y = (blocks.where("several").select("list", F.col("block").alias(f"b{k}"), F.col("entries").alias(f"e{k}"), F.col("g0").alias(f"l{k}"), F.col("g1").alias(f"m{k}")) for k in (1, 2))
+    across = x.join(y, "list").where("b1 < b2 and (l1 <> m1 or l2 <> m2 or l1 <> l2)").select(F.concat("e1", "e2").alias("entries"))
+    left = blocks.where("g0 <> g1").select("entries").unionByName(across).mapInArrow(_unlinked(percent), "a long, b long").distinct()
+    rest = _verified(left.join(pairs, ["a", "b"], "left_anti"), about, texts, ngram, percent, "jaccard-rest")
+    same = every.where("id is not null and node <> id").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    edges = first.unionByName(rest).unionByName(group.select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(same)
+    return every.select("id", "node", "n"), written(edges, "jaccard-all")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT, list_block: int = LIST_BLOCK, frequent_from: int = FREQUENT_FROM) -> DataFrame:
     """id, n_shingles, component_id for every row."""
-    every, _, links = jaccard_links(docs, id_col, text_col, ngram, percent, list_block, frequent_from)
-    group = components(links)
-    return every.join(group, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    every, edges = jaccard_links(docs, id_col, text_col, ngram, percent, list_block, frequent_from)
+    group = components(edges)
+    found = every.select("id", "n", F.col("node").alias("_node")).join(group, F.col("_node") == F.col("node"), "left")
+    # nodes that are not ids have no say in a component's name
+    torn = every.where("node <> id").select(F.col("node").alias("component"), F.col("id").alias("_own"))
+    if not torn.isEmpty():
+        names = found.where("id is not null").groupBy("component").agg(F.min("id").alias("name"))
+        found = found.join(names, "component", "left").withColumn("component", F.when(F.col("component").isNotNull(), F.col("name")))
+    return found.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -198,6 +198,57 @@ def test_jaccard_odd_rows(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {1, 3, 4, 5, 6, 8, 9, None}
 
 
+def test_jaccard_repeated_ids(spark):
+    """Rows that share an id are compared each with its own text, whatever their order."""
+    rnd = random.Random(21)
+    a, b, c = ([f"{x}{rnd.randrange(500)}" for _ in range(40)] for x in "abc")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "more"])), (3, " ".join([*b, "more"])), (4, " ".join(c)), (5, " ".join(c)), (5, " ".join(c)), (6, "alone"), (7, ""), (7, "seven words that are not like the rest")]
+    sizes = lambda x: max(1, len(words(x)) - 4) if words(x) else 0
+    want = sorted((i, len({tuple(words(x)[k : k + 5]) for k in range(sizes(x))}), {1: 1, 2: 1, 3: 1, 5: 4}.get(i, i)) for i, x in rows)
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(1 + seed)).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
+@pytest.mark.parametrize("batch", [1, 7, 50, 5000])
+def test_lists_are_cut_from_a_stream(batch):
+    """Every pair of entries of a list meets: within a block, or in two blocks of the list."""
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(batch)
+    entries, i = [], 0
+    for token in range(-40, 40):
+        for _ in range(rnd.choice([1, 1, 2, 3, 12, 60])):
+            entries.append((token, i, rnd.randrange(5, 40), rnd.randrange(3)))
+            i += 1
+    entries.sort(key=lambda e: (e[0], e[2], e[3], e[1]))
+    cols = [np.array(x) for x in zip(*entries, strict=True)]
+    batches = (pa.RecordBatch.from_arrays([pa.array(c[k : k + batch]) for c in cols], names=["token", "id", "n", "pos"]) for k in range(0, len(entries), batch))
+    got = {}
+    for b in ngram_jaccard._lists(10, 80)(batches):
+        for r in b.to_pylist():
+            assert r["block"] not in got.setdefault(r["list"], {})
+            got[r["list"]][r["block"]] = r
+            assert len(r["ids"]) == len(r["sizes"]) == len(r["places"]) <= 40
+    for token in range(-40, 40):
+        own = {e[1]: (e[2], e[3]) for e in entries if e[0] == token}
+        if len(own) == 1:
+            assert token not in got
+            continue
+        blocks = got[token]
+        assert sorted(blocks) == list(range(len(blocks))) and {r["several"] for r in blocks.values()} == {len(blocks) > 1 or any(r["several"] for r in blocks.values())}
+        assert {x: y for r in blocks.values() for x, y in zip(r["ids"], zip(r["sizes"], r["places"], strict=True), strict=True)} == own
+
+
+def test_signatures():
+    """Sets of one size whose shingle hashes collide are still told apart by their bitmaps."""
+    x, y = ngram_jaccard.shingles(b"a b c d e f g"), ngram_jaccard.shingles(b"a b c d e f h")
+    a, b = ngram_jaccard._signature(x, ngram_jaccard.sketch(x)), ngram_jaccard._signature(x, ngram_jaccard.sketch(y))
+    assert a[:16] == b[:16] and a != b and len(x) == len(y)
+
+
 def test_bounds_never_refute_linked_sets():
     rnd = random.Random(5)
     for _ in range(200):
