@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom import model
-from graphloom.plans.iterate import cut, numbered
+from graphloom.plans.iterate import cut, forget, numbered
+
+#: Rounds of a walk between two looks at its tolerance.
+CHECK_EVERY = 4
 
 
 def scope_graph(nodes: DataFrame, edges: DataFrame, scope: str = "code", intent: str | None = None, reverse: float = model.REVERSE_WEIGHT) -> DataFrame:
@@ -40,19 +43,25 @@ def detect_intent(symbols: DataFrame, seeds: Iterable[str]) -> str:
 
 
 def _walk(nodes: DataFrame, graph: DataFrame, start: DataFrame, damping: float, iterations: int, tolerance: float) -> DataFrame:
-    """Power iteration; start: uid, p (where the walk begins again and where dangling mass goes), score."""
+    """Power iteration; start: uid, p (where the walk begins again and where dangling mass goes), score.
+
+    It ends after a multiple of CHECK_EVERY rounds, when no score has moved by the tolerance in the last of them.
+    Each round's scores are written, and those of the round before deleted.
+    """
     held = cut(graph.select("src", "dst", "weight"))
     out = held.groupBy("src").agg(F.sum("weight").alias("total"))
     step = cut(held.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     base = cut(start.join(out.select(F.col("src").alias("uid"), F.lit(True).alias("leads")), "uid", "left").select("uid", "p", "score", F.coalesce("leads", F.lit(False)).alias("leads")))
-    scores = base
-    for _ in range(iterations):
+    forget(held)
+    scores = stored = base
+    for k in range(1, iterations + 1):
         lost = scores.where(~F.col("leads")).agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
         moved = step.join(scores.select(F.col("uid").alias("src"), "score"), "src").groupBy(F.col("dst").alias("uid")).agg(F.sum(F.col("score") * F.col("share")).alias("gain"))
         new = scores.join(moved, "uid", "left").join(F.broadcast(lost), how="inner")
-        new = cut(new.select("uid", "p", F.col("score").alias("old"), ((1 - damping) * F.col("p") + damping * F.col("lost") * F.col("p") + damping * F.coalesce("gain", F.lit(0.0))).alias("score"), "leads"))
-        scores = new.select("uid", "p", "score", "leads")
-        if tolerance and (new.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0) < tolerance:
+        old, new = stored, cut(new.select("uid", "p", F.col("score").alias("old"), ((1 - damping) * F.col("p") + damping * F.col("lost") * F.col("p") + damping * F.coalesce("gain", F.lit(0.0))).alias("score"), "leads"))
+        scores, stored = new.select("uid", "p", "score", "leads"), new
+        forget(old)
+        if tolerance and k % CHECK_EVERY == 0 and (new.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0) < tolerance:
             break
     return scores.select("uid", "score")
 

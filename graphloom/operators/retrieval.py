@@ -13,6 +13,8 @@ from graphloom.functions import scalar as S
 
 K1, B, TITLE_BOOST = 1.2, 0.75, 3.0
 RRF_K = 60
+#: Characters of a run by which names are looked up.
+GRAM = 3
 
 
 def tokens(text: Column) -> Column:
@@ -201,15 +203,43 @@ def expand_query(query: str, aliases: Mapping[str, Iterable[str]], most: int = 1
     return " ".join([query, *found])
 
 
+def _grams(text: Column) -> Column:
+    """The distinct runs of GRAM characters of a text; of a shorter one, the text."""
+    n = F.length(text)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - GRAM + 1, F.lit(1))), lambda i: F.substring(text, i, GRAM)))
+
+
+def _containing(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(a, b) of the texts a of short and b of long such that b contains a.
+
+    A text is looked up by the rarest of its runs of characters among those of the long ones; runs that are
+    shorter than GRAM, which whole short texts are, are indexed apart.
+    """
+    index = long.select("b", F.explode(_grams(F.col("b"))).alias("g"))
+    tiny = short.where(F.length("a") < GRAM)
+    runs = long.select("b", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("b")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM - 1)), lambda k: F.col("b").substr(i, k)))))).alias("a"))
+    found = runs.join(tiny, "a", "left_semi").select("a", "b").distinct()
+    wide = short.where(F.length("a") >= GRAM)
+    counts = index.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    # a run that no long text has rules its text out
+    asked = wide.select("a", F.explode(_grams(F.col("a"))).alias("g")).join(counts, "g", "left").groupBy("a").agg(F.min_by("g", F.struct(F.coalesce("n", F.lit(0)), "g")).alias("g"))
+    return found.unionByName(asked.join(index, "g").where(F.col("b").contains(F.col("a"))).select("a", "b"))
+
+
 def suggest_targets(targets: DataFrame, notes: DataFrame, most: int = 3) -> DataFrame:
-    """target, uid, score: notes for an unresolved target (src, target): 3 equal, 2 contains it, 1 is contained in it."""
+    """target, uid, score: notes for an unresolved target (src, target): 3 equal, 2 contains it, 1 is contained in it.
+
+    Equal names meet by key; containment is found through the rarest run of characters, never by pairing all.
+    """
     t = targets.select("src", "target").distinct().withColumn("k", F.lower(F.trim("target"))).where("k <> ''").withColumn("kn", S.normalize_key("k"))
-    n = notes.select("uid", "title", F.lower("title").alias("lt"), S.note_stem("file_path").alias("st"))
-    exact = (F.col("lt") == F.col("k")) | (F.col("st") == F.col("k")) | ((F.col("kn") != "") & ((S.normalize_key("lt") == F.col("kn")) | (S.normalize_key("st") == F.col("kn"))))
-    inside = F.col("lt").contains(F.col("k")) | ((F.col("st") != "") & F.col("st").contains(F.col("k")))
-    around = ((F.col("lt") != "") & F.col("k").contains(F.col("lt"))) | ((F.col("st") != "") & F.col("k").contains(F.col("st")))
-    score = F.when(exact, 3).when(inside, 2).when(around, 1).otherwise(0)
-    hit = n.join(F.broadcast(t), inside | around | exact).where(F.col("uid") != F.col("src")).withColumn("score", score)
+    n = notes.select("uid", "title", F.explode(F.array(F.lower("title"), S.note_stem("file_path"))).alias("name")).where("name <> ''").withColumn("nn", S.normalize_key("name"))
+    keys, names = t.select("k", "kn").distinct(), n.select("name", "nn").distinct()
+    same = keys.join(names.select("name"), F.col("k") == F.col("name")).select("k", "name").unionByName(keys.where("kn <> ''").join(names.where("nn <> ''"), F.col("kn") == F.col("nn")).select("k", "name"))
+    short, long = keys.select(F.col("k").alias("a")).distinct(), names.select(F.col("name").alias("b")).distinct()
+    inside = _containing(short, long).select(F.col("a").alias("k"), F.col("b").alias("name"))
+    around = _containing(long.select(F.col("b").alias("a")), short.select(F.col("a").alias("b"))).select(F.col("b").alias("k"), F.col("a").alias("name"))
+    of = same.withColumn("score", F.lit(3)).unionByName(inside.withColumn("score", F.lit(2))).unionByName(around.withColumn("score", F.lit(1))).groupBy("k", "name").agg(F.max("score").alias("score"))
+    hit = t.select("src", "target", "k").join(of, "k").join(n.select("uid", "title", "name"), "name").where("uid <> src").groupBy("src", "target", "uid", "title").agg(F.max("score").alias("score"))
     w = W.partitionBy("src", "target").orderBy(F.desc("score"), "title", "uid")
     return hit.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("src", "target", "uid", "score", "r")
 

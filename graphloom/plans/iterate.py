@@ -29,7 +29,16 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: no lineage, and a lost executor takes nothing with it."""
     path = f"{shared_folder(df)}/loop-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table that cut() made and nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def numbered(df: DataFrame, key: str) -> DataFrame:

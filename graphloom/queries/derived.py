@@ -100,11 +100,12 @@ def investigate_domains(t):
     return investigate(hits, "red_widget").select("label", "entries", "position")
 
 
-@query("""WITH s AS (SELECT 'sha' || (o_orderkey % 400) AS sha, o_orderkey AS id, o_custkey % 7 AS a FROM orders WHERE o_orderkey < 800), p AS (SELECT x.id AS t, y.id AS s, x.a AS f, y.a AS g FROM s x JOIN s y ON x.sha = y.sha AND x.id >= 400 AND y.id < 400)
+@query("""WITH s AS (SELECT 'sha' || (o_orderkey // 2) AS sha, o_orderkey AS id, o_custkey % 7 AS a FROM orders), p AS (SELECT x.id AS t, y.id AS s, x.a AS f, y.a AS g FROM s x JOIN s y ON x.sha = y.sha AND x.id % 2 = 1 AND y.id % 2 = 0)
     SELECT count(*) AS n_joined, round(avg((f = g)::INT::DOUBLE), 9) AS file_recall, round(avg((f = g)::INT::DOUBLE), 9) AS change_recall, round(avg(1.0::DOUBLE / 7), 9) AS breadth FROM p""")
 def selection_evaluation(t):
-    o = t.orders.where("o_orderkey < 800").select(F.concat(F.lit("sha"), F.col("o_orderkey") % 400).alias("sha"), "o_orderkey", F.array((F.col("o_custkey") % 7).cast("string")).alias("files"))
-    joined = o.where("o_orderkey >= 400").select("sha", F.col("o_orderkey").alias("truth_id"), F.col("files").alias("failed")).join(o.where("o_orderkey < 400").select("sha", F.col("files").alias("selected")), "sha").withColumn("total", F.lit(7))
+    """Odd orders are what failed, even ones what was selected for the same change."""
+    o = t.orders.select(F.concat(F.lit("sha"), F.expr("o_orderkey div 2")).alias("sha"), "o_orderkey", F.array((F.col("o_custkey") % 7).cast("string")).alias("files"))
+    joined = o.where("o_orderkey % 2 = 1").select("sha", F.col("o_orderkey").alias("truth_id"), F.col("files").alias("failed")).join(o.where("o_orderkey % 2 = 0").select("sha", F.col("files").alias("selected")), "sha").withColumn("total", F.lit(7))
     return A.selection_report(joined).select("n_joined", *[F.round(c, 9).alias(c) for c in ("file_recall", "change_recall", "breadth")])
 
 
@@ -155,7 +156,7 @@ def unified_rank(t):
     mention = t.documents.join(t.part, F.col("p_partkey") == F.col("doc_id")).select(F.concat(F.lit("note:"), "doc_id").alias("src"), F.concat(F.lit("part:"), "p_partkey").alias("dst"), F.lit(0.85).alias("confidence"))
     every = cut(note_edges(t.notes, t.tags, cut(r), mention).unionByName(t.edges.select("src", "dst", "rel", "confidence")))
     nodes = every.select(F.explode(F.array("src", "dst")).alias("uid")).distinct()
-    return GR.personalized_pagerank(nodes, GR.scope_graph(nodes, every, "unified"), ["note:1"], 0.75, 3, 0.0).withColumn("score", F.round("score", 8))
+    return GR.personalized_pagerank(nodes, GR.scope_graph(nodes, every, "unified"), ["note:1"], 0.75).withColumn("score", F.round("score", 8))
 
 
 @query(given("symbols") + """SELECT s.uid, round(s.start_line * greatest(0.4, least(1.6, coalesce(1 + 1.2 * (a.s - 0.5), 1.0)))::DOUBLE, 6) AS score FROM symbols s LEFT JOIN (SELECT uid, (end_line % 10)::DOUBLE / 10 AS s FROM symbols WHERE kind = 'Function') a USING (uid) ORDER BY score DESC, uid LIMIT 30""")

@@ -152,15 +152,14 @@ from graphloom.queries.joined import RESOLVED  # noqa: E402
 _KEY = "trim(regexp_replace({}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
-@query(RESOLVED + f""", t AS (SELECT src, target, lower(trim(target)) AS k FROM (SELECT src, target FROM unresolved ORDER BY src, target LIMIT 40)), m AS (SELECT uid, title, lower(title) AS lt, lower(replace(split_part(file_path, '/', 2), '.md', '')) AS st FROM notes),
+@query(RESOLVED + f""", t AS (SELECT src, target, lower(trim(target)) AS k FROM unresolved), m AS (SELECT uid, title, lower(title) AS lt, lower(replace(split_part(file_path, '/', 2), '.md', '')) AS st FROM notes),
     h AS (SELECT src, target, uid, title, CASE WHEN lt = k OR st = k OR {_KEY.format('lt')} = {_KEY.format('k')} OR {_KEY.format('st')} = {_KEY.format('k')} THEN 3 WHEN contains(lt, k) OR contains(st, k) THEN 2 WHEN contains(k, lt) OR contains(k, st) THEN 1 ELSE 0 END AS score FROM t, m WHERE uid <> src),
     r AS (SELECT *, row_number() OVER (PARTITION BY src, target ORDER BY score DESC, title, uid) AS r FROM h WHERE score > 0) SELECT src, target, uid, CAST(score AS INTEGER) AS score, CAST(r AS INTEGER) AS r FROM r WHERE r <= 3""")
 def link_suggestions(t):
     from graphloom.operators.joins import unresolved_links
     from graphloom.queries.joined import resolved
 
-    lost = unresolved_links(t.links, resolved(t)).orderBy("src", "target").limit(40)
-    return RT.suggest_targets(lost, t.notes)
+    return RT.suggest_targets(unresolved_links(t.links, resolved(t)), t.notes)
 
 
 @query("SELECT label AS uid, CAST(i AS INTEGER) AS i, round(avg(x), 8) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL")
@@ -177,7 +176,7 @@ def brain_context(t):
 
     idx, lens = index(t, stored=True)
     links = resolved(t).where("src <> dst").groupBy("src", "dst").agg(F.max("confidence").alias("weight"))
-    ppr = GR.personalized_pagerank(t.notes.select("uid"), links, ["note:1"], 0.75, 4, 0.0)
+    ppr = GR.personalized_pagerank(t.notes.select("uid"), links, ["note:1"], 0.75)
     near = RT.vector_search(t.vectors, query_vector(t), 50).select(F.concat(F.lit("note:"), F.substring_index("uid", ":", -1)).alias("uid"), "score")
     return context(t.notes, idx, lens, ppr, near, "apache license", 25, [("src1/**", 1.2)], {"license": ["Licence"]}).withColumn("score", F.round("score", 8))
 
