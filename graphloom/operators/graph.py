@@ -90,6 +90,40 @@ def personalized_pagerank(nodes: DataFrame, graph: DataFrame, seeds: Iterable[st
     return scores.join(F.broadcast(own), "uid", "left").where(F.col("seed") | (F.col("score") > floor)).select("uid", "score")
 
 
+def forward_push(nodes: DataFrame, graph: DataFrame, seeds: Iterable[str], damping: float = 0.85, epsilon: float = 1e-4, rounds: int | None = None) -> DataFrame:
+    """uid, score: personalised rank by pushing residuals outward from the seeds, all nodes over their threshold at once.
+
+    A node pushes while its residual is over epsilon times its number of ways out (one at least): it keeps 1 - damping
+    and sends the rest along its shares, or back to the seeds where it has no way out. The scores sum to 1 less what
+    residual is left, and none is off by more than that. Only nodes near the seeds are ever touched.
+    """
+    held = graph.select("src", "dst", "weight")
+    out = held.groupBy("src").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("ways"))
+    step = cut(held.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"), "ways"))
+    ways = cut(step.groupBy(F.col("src").alias("uid")).agg(F.first("ways").alias("ways")))
+    own = cut(nodes.where(F.col("uid").isin(*seeds)).select("uid"))
+    k = own.count()
+    left = cut(own.select("uid", F.lit(1.0 / max(k, 1)).alias("r")))
+    scores = cut(own.select("uid", F.lit(0.0).alias("score")))
+    done = 0
+    while rounds is None or done < rounds:
+        marked = left.join(ways, "uid", "left").withColumn("go", F.col("r") > epsilon * F.coalesce("ways", F.lit(1)))
+        active = cut(marked.where("go").select("uid", "r", "ways"))
+        if active.isEmpty():
+            break
+        done += 1
+        sent = active.where("ways is not null").join(step.drop("ways"), F.col("uid") == F.col("src")).select(F.col("dst").alias("uid"), (damping * F.col("r") * F.col("share")).alias("r"))
+        lost = active.where("ways is null").agg(F.sum("r").alias("m")).where("m is not null")
+        back = own.join(F.broadcast(lost), how="inner").select("uid", (damping * F.col("m") / k).alias("r"))
+        rest = left.join(active.select("uid"), "uid", "left_anti").select("uid", "r")
+        old_left, left = left, cut(rest.unionByName(sent).unionByName(back).groupBy("uid").agg(F.sum("r").alias("r")))
+        kept = active.select("uid", ((1 - damping) * F.col("r")).alias("score"))
+        old_scores, scores = scores, cut(scores.unionByName(kept).groupBy("uid").agg(F.sum("score").alias("score")))
+        for x in (old_left, old_scores, active):
+            forget(x)
+    return scores.where("score > 0")
+
+
 def rerank_by_interaction(scores: DataFrame, interactions: DataFrame, boost: float = 0.05) -> DataFrame:
     """Scores above 0 times (1 + boost * interaction / greatest interaction)."""
     top = interactions.agg(F.max("score").alias("m"))

@@ -162,6 +162,37 @@ def check_pattern(pattern: str) -> None:
     re.compile(pattern)
 
 
+def scoped(docs: DataFrame, path_prefix: str | None = None, kinds: Iterable[str] | None = None, path: str = "file_path", kind: str = "kind") -> DataFrame:
+    """The rows below a path and of some kinds, before their texts are cut into lines; both filters reach the scan of a stored table."""
+    out = docs if path_prefix is None else docs.where(F.col(path).startswith(path_prefix))
+    return out if kinds is None else out.where(F.col(kind).isin(*kinds))
+
+
+def within_deadline(df: DataFrame, seconds: float) -> list:
+    """The rows of a result, or TimeoutError when they are not there in time; the jobs are then cancelled."""
+    import threading
+    import uuid
+
+    sc, tag, late = df.sparkSession.sparkContext, f"deadline-{uuid.uuid4().hex}", threading.Event()
+
+    def cancel() -> None:
+        late.set()
+        sc.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, cancel)
+    sc.addJobTag(tag)
+    timer.start()
+    try:
+        return df.collect()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"no result within {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        sc.removeJobTag(tag)
+
+
 def regex_search(text_lines: DataFrame, pattern: str, limit: int | None = None) -> DataFrame:
     """uid, field, line, column (from 1) and the first match, 200 characters at most."""
     check_pattern(pattern)

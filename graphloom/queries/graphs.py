@@ -32,6 +32,22 @@ def pagerank(t):
     return GR.pagerank(s, GR.scope_graph(s, t.edges)).withColumn("score", F.round("score", 10))
 
 
+def _pushes(epsilon: float, k: int) -> dict[str, str]:
+    parts = {"g": _SCOPE, "step": _STEP, "ways": "SELECT src AS uid, count(*) AS n FROM step GROUP BY src", "r0": "SELECT uid, 0.5::DOUBLE AS r FROM symbols WHERE uid IN ('sup:1', 'part:5')"}
+    for i in range(k):
+        parts[f"a{i}"] = f"SELECT uid, r, n FROM r{i} LEFT JOIN ways USING (uid) WHERE r > {epsilon} * coalesce(n, 1)"
+        parts[f"r{i + 1}"] = f"""SELECT uid, sum(r) AS r FROM (SELECT uid, r FROM r{i} WHERE uid NOT IN (SELECT uid FROM a{i}) UNION ALL SELECT dst, 0.85 * r * share FROM a{i} JOIN step ON src = uid
+            UNION ALL SELECT uid, 0.85 * (SELECT sum(r) FROM a{i} WHERE n IS NULL) / 2 FROM r0 WHERE (SELECT count(*) FROM a{i} WHERE n IS NULL) > 0) GROUP BY uid"""
+    parts["kept"] = " UNION ALL ".join(f"SELECT uid, 0.15 * r AS s FROM a{i}" for i in range(k))
+    return parts
+
+
+@query(given("symbols", "edges", **_pushes(1e-4, 6)) + "SELECT uid, round(sum(s), 9) AS score FROM kept GROUP BY uid")
+def forward_push(t):
+    s = t.symbols
+    return GR.forward_push(s, GR.scope_graph(s, t.edges), ["sup:1", "part:5"], 0.85, 1e-4, 6).withColumn("score", F.round("score", 9))
+
+
 _SEEDS = "SELECT uid, CASE WHEN uid IN ('sup:1', 'part:5') THEN 0.5 ELSE 0 END::DOUBLE AS p, CASE WHEN uid IN ('sup:1', 'part:5') THEN 0.5 ELSE 0 END::DOUBLE AS score FROM symbols"
 
 

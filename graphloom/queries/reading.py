@@ -118,6 +118,12 @@ def regex_search(t):
     return R.regex_search(R.lines(t.notes, "uid", "body", "text"), _PATTERN)
 
 
+@query(_LINES + rf"""SELECT uid, line, left(regexp_extract(line_text, '{_PATTERN}'), 200) AS matched FROM l WHERE regexp_matches(line_text, '{_PATTERN}') AND uid IN (SELECT uid FROM notes WHERE starts_with(file_path, 'src1') AND note_kind IN ('idea', 'log'))""")
+def regex_search_scoped(t):
+    few = R.scoped(t.notes, "src1", ["idea", "log"], kind="note_kind")
+    return R.regex_search(R.lines(few, "uid", "body", "text"), _PATTERN).select("uid", "line", "matched")
+
+
 @query(_LINES + r""", p AS (SELECT unnest(['the', '[0-9]{3}', 'Licen[sc]e', 'zzzzqq']) AS pattern), c AS (SELECT pattern, uid, CAST(sum(len(regexp_extract_all(line_text, pattern))) AS BIGINT) AS n FROM l, p GROUP BY ALL HAVING n > 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY n DESC, uid) AS k FROM c)
     SELECT pattern, CAST(sum(n) AS BIGINT) AS total_matches, count(*) AS files_matched, string_agg(uid, ',' ORDER BY k) FILTER (k <= 3) AS top_files FROM r GROUP BY pattern""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,14 +90,49 @@ def compact_journal(spark, path: str, to: str, ratio: float = 2.0) -> bool:
     return True
 
 
+def _packed(x) -> bytes:
+    """A value as one message: nil, boolean, integer, double or text."""
+    if x is None:
+        return b"\xc0"
+    if isinstance(x, bool):
+        return b"\xc3" if x else b"\xc2"
+    if isinstance(x, int):
+        return struct.pack(">b", x) if -32 <= x < 128 else b"\xd3" + struct.pack(">q", x)
+    if isinstance(x, float):
+        return b"\xcb" + struct.pack(">d", x)
+    b = str(x).encode()
+    head = bytes([0xA0 | len(b)]) if len(b) < 32 else b"\xd9" + struct.pack(">B", len(b)) if len(b) < 256 else b"\xda" + struct.pack(">H", len(b)) if len(b) < 65536 else b"\xdb" + struct.pack(">I", len(b))
+    return head + b
+
+
+def messages(df: DataFrame) -> DataFrame:
+    """packed: each row as a message, a map of at most 15 columns by name."""
+    names = df.columns
+    if len(names) > 15:
+        raise ValueError("a message has at most 15 columns")
+    head, keys = bytes([0x80 | len(names)]), [_packed(n) for n in names]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([head + b"".join(k + _packed(x) for k, x in zip(keys, r, strict=True)) for r in rows], pa.binary())], names=["packed"])
+
+    return df.mapInArrow(run, "packed binary")
+
+
 def export(nodes: DataFrame, edges: DataFrame, path: str, kind: str, scores: DataFrame | None = None, top: int = 50) -> None:
-    """Writes the graph in a format by name: cypher, graphml, mermaid, json or parquet."""
+    """Writes the graph in a format by name: cypher, graphml, mermaid, json, parquet or msgpack (a message in each row of a table)."""
     if kind == "cypher":
         cypher(nodes, edges).orderBy("part", "uid").select("line").write.text(path)
     elif kind == "graphml":
         write_graphml(nodes, edges, path)
     elif kind == "mermaid":
         mermaid(nodes, edges, scores, top).orderBy("part", "line").select("line").write.text(path)
+    elif kind == "msgpack":
+        messages(nodes).write.parquet(f"{path}/nodes")
+        messages(edges).write.parquet(f"{path}/edges")
     elif kind in ("json", "parquet"):
         nodes.write.format(kind).save(f"{path}/nodes")
         edges.write.format(kind).save(f"{path}/edges")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalar as S
+from graphloom.plans.iterate import cut, forget
+from graphloom.sources.sinks import replace_partitions
 
 
 def counts_stream(events: DataFrame, watermark: str = "1 hour", window: str = "1 day") -> DataFrame:
@@ -22,23 +25,28 @@ def debounced(paths: DataFrame, quiet: str = "2 seconds", watermark: str = "10 s
     return paths.withWatermark("ts", watermark).groupBy(key, F.session_window("ts", quiet)).agg(F.array_sort(F.collect_set("path")).alias("paths")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "paths")
 
 
-def follow_up_stream(events: DataFrame, seconds: float = 30.0) -> DataFrame:
-    """event_id, uid, gap: accesses within some seconds of the last other event of the session and uid (state per pair)."""
+def follow_up_stream(events: DataFrame, seconds: float = 30.0, forget_after: float = 3600.0) -> DataFrame:
+    """event_id, uid, gap: accesses within some seconds of the last other event of the session and uid.
 
-    def step(key, batches: Iterator[pd.DataFrame], state):
-        last = state.get[0] if state.exists else float("-inf")
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-            t = r.ts.timestamp()
-            if r.kind != "access":
-                last = max(last, t)
-            elif t - last <= seconds:
-                out.append((r.event_id, key[1], round(t - last, 6)))
-        if last > float("-inf"):
-            state.update((last,))
-        yield pd.DataFrame(out, columns=["event_id", "uid", "gap"])
+    The state of a pair is one number; it is dropped when nothing has come for `forget_after` seconds.
+    """
 
-    return events.groupBy("session", "uid").applyInPandasWithState(step, "event_id long, uid string, gap double", "last double", "append", "NoTimeout")
+    def step(key, batches: Iterator[pd.DataFrame], state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        t = rows["ts"].map(pd.Timestamp.timestamp).to_numpy(float)
+        access = (rows["kind"] == "access").to_numpy()
+        last = np.maximum.accumulate(np.r_[state.get[0] if state.exists else -np.inf, np.where(access, -np.inf, t)])
+        gap = t - last[:-1]
+        hit = access & (gap <= seconds)
+        if last[-1] > -np.inf:
+            state.update((float(last[-1]),))
+            state.setTimeoutDuration(int(forget_after * 1000))
+        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy()[hit], "uid": key[1], "gap": gap[hit].round(6)})
+
+    return events.groupBy("session", "uid").applyInPandasWithState(step, "event_id long, uid string, gap double", "last double", "append", "ProcessingTimeTimeout")
 
 
 def latest(journal: DataFrame, key: str = "uid", order: str = "seq") -> DataFrame:
@@ -55,15 +63,28 @@ def upsert(table: DataFrame, changes: DataFrame, key: str, removed: DataFrame |
     return table.join(gone.distinct(), key, "left_anti").unionByName(changes)
 
 
-def start_upserts(stream: DataFrame, path: str, key: str, checkpoint: str, trigger: str = "2 seconds", available_now: bool = False):
-    """Micro-batches merged into a Parquet table: each batch writes a new version beside the last."""
+def start_upserts(stream: DataFrame, path: str, key: str, checkpoint: str, trigger: str = "2 seconds", available_now: bool = False, buckets: int = 256):
+    """Micro-batches merged into a Parquet table, partitioned by _bucket, a hash of the key.
+
+    A batch reads and replaces only the partitions it touches. A batch that is run again leaves the same table.
+    """
 
-    def merge(batch: DataFrame, number: int) -> None:
+    def merge(batch: DataFrame, _number: int) -> None:
         spark = batch.sparkSession
-        new = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), "ts").alias("_r")).select(key, "_r.*").select(*batch.columns)
-        if number:
-            new = upsert(spark.read.parquet(f"{path}/v{number - 1}"), new, key)
-        new.write.mode("overwrite").parquet(f"{path}/v{number}")
+        last = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), "ts").alias("_r")).select(key, "_r.*").select(*batch.columns)
+        new = cut(last.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+        touched = [r[0] for r in new.select("_bucket").distinct().collect()]
+        if touched:
+            sc = spark.sparkContext
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            merged = new
+            if place.getFileSystem(sc._jsc.hadoopConfiguration()).exists(place):
+                old = spark.read.schema(new.schema).parquet(path).where(F.col("_bucket").isin(touched))
+                merged = cut(upsert(old, new, key))
+            replace_partitions(merged, path, "_bucket")
+            if merged is not new:
+                forget(merged)
+        forget(new)
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)).start()

@@ -281,3 +281,18 @@ def test_repeated_and_empty(spark):
     assert GR.pagerank(nodes(spark, "ab"), spark.createDataFrame([], "src string, dst string, weight double"), iterations=2).count() == 2
     assert J.strongest(J.neighbours(edges(spark, [("a", "b", 0.5), ("a", "b", 0.9)]), nodes(spark, "ab"), "b", "in", ["CALLS"])).first().confidence == 0.9
     assert json.loads("{}") == {}
+
+
+def test_forward_push_is_near_the_walk(spark):
+    """All residual together bounds how far a score is from the walk's, and a fine threshold leaves little."""
+    rnd = random.Random(5)
+    rows = sorted({(f"n{rnd.randrange(40)}", f"n{rnd.randrange(40)}") for _ in range(120)})
+    graph = spark.createDataFrame([(a, b, 1.0 + (i % 3)) for i, (a, b) in enumerate(rows) if a != b], "src string, dst string, weight double")
+    nodes = spark.createDataFrame([(f"n{k}",) for k in range(40)] + [("alone",)], "uid string")
+    exact = {r.uid: r.score for r in GR.personalized_pagerank(nodes, graph, ["n1", "n2"], 0.8, 80, 0.0, floor=0.0).collect()}
+    for epsilon in (1e-2, 1e-5):
+        got = {r.uid: r.score for r in GR.forward_push(nodes, graph, ["n1", "n2"], 0.8, epsilon).collect()}
+        left = 1 - sum(got.values())
+        assert 0 <= left + 1e-9 and all(-1e-6 <= exact.get(u, 0.0) - s <= left + 1e-6 for u, s in got.items())
+    assert left < 0.01
+    assert GR.forward_push(nodes, graph, ["nobody"]).count() == 0

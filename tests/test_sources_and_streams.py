@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import aggregates as A
@@ -148,7 +149,52 @@ def test_upserts(spark, tmp_path):
     rows = [("k1", T0, 1), ("k1", T0 + dt.timedelta(seconds=5), 2), ("k2", T0, 3)]
     s = stream(spark, tmp_path, rows, "k string, ts timestamp, v int", "u")
     ingest.start_upserts(s, str(tmp_path / "out"), "k", str(tmp_path / "ck"), available_now=True).awaitTermination(120)
-    assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out/v0")).collect()} == {("k1", 2), ("k2", 3)}
+    assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("k1", 2), ("k2", 3)}
+    before = {x.parent.name: x.name for x in (tmp_path / "out").rglob("*.parquet")}
+    more = stream(spark, tmp_path, [("k2", T0 + dt.timedelta(seconds=9), 4)], "k string, ts timestamp, v int", "u2")
+    ingest.start_upserts(more, str(tmp_path / "out"), "k", str(tmp_path / "ck2"), available_now=True).awaitTermination(120)
+    assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("k1", 2), ("k2", 4)}
+    after = {x.parent.name: x.name for x in (tmp_path / "out").rglob("*.parquet")}
+    assert set(before) == set(after) and sum(before[k] != after[k] for k in before) == 1  # one partition was replaced
+
+
+def test_messages_are_packed(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", "x" * 300, 5, -7, 2.5, True, None), ("b", "é", 70000, -(2**40), 0.0, False, "z")], "uid string, name string, n long, m long, f double, t boolean, o string")
+    edges = spark.createDataFrame([("a", "b", "CALLS")], "src string, dst string, rel string")
+    sinks.export(nodes, edges, str(tmp_path / "out"), "msgpack")
+
+    def read(b, at):
+        k = b[at]
+        if k < 0x80 or k >= 0xE0:
+            return (k if k < 0x80 else k - 256), at + 1
+        if k in (0xC0, 0xC2, 0xC3):
+            return {0xC0: None, 0xC2: False, 0xC3: True}[k], at + 1
+        if k >> 4 == 8:
+            out, at = {}, at + 1
+            for _ in range(k & 15):
+                name, at = read(b, at)
+                out[name], at = read(b, at)
+            return out, at
+        if k >> 5 == 5 or k in (0xD9, 0xDA, 0xDB):
+            w = {0xD9: 1, 0xDA: 2, 0xDB: 4}.get(k, 0)
+            n, at = (int.from_bytes(b[at + 1 : at + 1 + w]) if w else k & 31), at + 1 + w
+            return b[at : at + n].decode(), at + n
+        import struct
+
+        return (struct.unpack(">d", b[at + 1 : at + 9])[0] if k == 0xCB else struct.unpack(">q", b[at + 1 : at + 9])[0]), at + 9
+
+    got = [read(bytes(r.packed), 0)[0] for r in spark.read.parquet(str(tmp_path / "out/nodes")).collect()]
+    assert sorted(got, key=lambda x: x["uid"]) == [r.asDict() for r in nodes.orderBy("uid").collect()]
+    assert read(bytes(spark.read.parquet(str(tmp_path / "out/edges")).first().packed), 0)[0] == {"src": "a", "dst": "b", "rel": "CALLS"}
+
+
+def test_deadline(spark):
+    from graphloom.operators import reads
+
+    assert len(reads.within_deadline(spark.range(5), 60)) == 5
+    slow = spark.range(10**13).selectExpr("sum(id % 7)")
+    with pytest.raises(TimeoutError):
+        reads.within_deadline(slow, 1.5)
 
 
 def test_journal_and_queue(spark):
