@@ -104,6 +104,54 @@ def test_classifiers_on_odd_rows(spark, odd):
     assert {r.score < 0.01 for r in toxicity_cnn.scored(rows, toxicity_cnn.toxicity_model(odd, none, F.lit(True))).collect()} == {True}
 
 
+def test_toxicity_gradients(monkeypatch):
+    """Along every block's gradient the mean loss changes as finite differences say."""
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(n)) for n in (1, 2, 5, 30, 12)] + [""]
+    docs = [toxicity_cnn.encode(x.encode()) for x in texts]
+    y = np.array([1, 0, 1, 0, 0, 1])
+    r = np.random.default_rng(1)
+    m = {"e": r.standard_normal((toxicity_cnn.PAD + 1, toxicity_cnn.WIDTH)) * 0.3, "o": r.standard_normal(toxicity_cnn.FILTERS * len(toxicity_cnn.WIDTHS)), "o0": np.array(0.2)}
+    m["e"][toxicity_cnn.PAD] = 0
+    for k in toxicity_cnn.WIDTHS:
+        m[f"w{k}"] = r.standard_normal((k, toxicity_cnn.WIDTH, toxicity_cnn.FILTERS)) * 0.4
+        m[f"b{k}"] = r.standard_normal(toxicity_cnn.FILTERS) * 0.1
+    got = {}
+    monkeypatch.setattr(toxicity_cnn, "_step", lambda m, seen, name, g, rows=...: got.__setitem__(name, (g, rows)))
+    toxicity_cnn._learn(m, {}, docs, y)
+
+    def loss(m):
+        s = toxicity_cnn.logits(m, docs)[0]
+        return float(np.mean(np.logaddexp(0, s) - y * s))
+
+    assert set(got) == set(m)
+    for name, (g, rows) in got.items():
+        full = np.zeros(m[name].shape)
+        full[rows] = g
+        size = float(np.sqrt((full**2).sum()))
+        assert size > 0
+        up, down = (loss(m | {name: m[name] + h * 1e-5 * full / size}) for h in (1, -1))
+        assert (up - down) / 2e-5 == pytest.approx(size, rel=1e-2), name
+
+
+def test_toxicity_thresholds_by_language():
+    """A language with rows enough has a threshold of its own; a score of 0.5 is the threshold of the text's language."""
+    rnd = random.Random(3)
+    words = {n: list(dict.fromkeys(x.split())) for n, x in toxicity_cnn.FUNCTION_WORDS.items()}
+    texts, y = [], []
+    for i in range(1600):
+        n = list(words)[i % len(words)]
+        bad = i % 3 == 0
+        mild = rnd.random() < (0.5 if n == list(words)[0] else 0.02)  # in one language clean texts hold the word too
+        texts.append(" ".join([rnd.choice(words[n]) for _ in range(12)] + ["awful"] * (bad or mild) + ["vile"] * bad * rnd.randrange(2)).encode())
+        y.append(int(bad))
+    m = toxicity_cnn.train([toxicity_cnn.encode(x) for x in texts], np.array(y), epochs=2)
+    assert len(set(np.round(m["threshold"], 6).tolist())) > 1
+    s, lang = toxicity_cnn.logits(m, [toxicity_cnn.encode(x) for x in texts])
+    assert set(lang.tolist()) >= set(range(1, len(words) + 1))
+    assert ((toxicity_cnn.scores(m, texts) >= 0.5) == (s.astype(float) >= m["threshold"][lang])).all()
+
+
 def brute_base(rows, train):
     words = {k: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", x or "")] + [None] for k, (_, x) in enumerate(rows)}
     c = Counter(w for k in words if train(rows[k][0]) for w in words[k])
