@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom import model
 from graphloom.functions import scalar as S
+from graphloom.plans.iterate import numbered
 
 K1, B, TITLE_BOOST = 1.2, 0.75, 3.0
 RRF_K = 60
@@ -184,13 +185,14 @@ def apply_priors(df: DataFrame, location: str, rules: Iterable[tuple[str, float]
 def rerank(df: DataFrame, top: int = 50, weights: Mapping[str, float] | None = None) -> DataFrame:
     """The first `top` by score (uid, score, age_days, is_doc, has_body, aliases) scored again; the rest keep their order."""
     w = {"relevance": 1.0, "rank": -0.001, "recency": 0.05, "doc": 0.02, "body": 0.02, "alias": 0.01} | dict(weights or {})
-    r = df.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "uid")) - 1)
+    r = numbered(df, F.desc("score"), "uid", name="rank").withColumn("rank", F.col("rank").cast("int"))
     new = (
         w["relevance"] * F.col("score") + w["rank"] * F.col("rank") + w["recency"] * F.coalesce(F.pow(F.lit(2.0), -F.col("age_days") / 30.0), F.lit(0.0))
         + w["doc"] * F.col("is_doc").cast("int") + w["body"] * F.col("has_body").cast("int") + w["alias"] * F.least(F.coalesce("aliases", F.lit(0)), F.lit(3))
     )
-    head = F.col("rank") < top
-    return r.withColumn("rerank_score", F.when(head, new)).withColumn("position", F.row_number().over(W.orderBy(F.desc(head), F.desc("rerank_score"), "rank")))
+    # only the head changes places; the window is over its `top` rows
+    head = r.where(F.col("rank") < top).withColumn("rerank_score", new).withColumn("position", F.row_number().over(W.orderBy(F.desc("rerank_score"), "rank")))
+    return head.unionByName(r.where(F.col("rank") >= top).withColumns({"rerank_score": F.lit(None).cast("double"), "position": F.col("rank") + 1}))
 
 
 def expand_query(query: str, aliases: Mapping[str, Iterable[str]], most: int = 10) -> str:

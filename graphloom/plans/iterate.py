@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,12 +41,12 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def numbered(df: DataFrame, key: str) -> DataFrame:
-    """df and id, its rows numbered from 0 in the order of a unique key.
+def numbered(df: DataFrame, *order: Column | str, name: str = "id") -> DataFrame:
+    """df and a column of its rows' numbers from 0 in an order without ties.
 
     Numbers come from range partitions and their sizes, so no single task sorts all rows; the one window is over
     a row for each partition.
     """
-    parts = cut(df.repartitionByRange(key).sortWithinPartitions(key).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()}))
+    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()}))
     starts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0")).withColumn("_start", F.sum("_n").over(W.orderBy("_p")) - F.col("_n"))
-    return parts.join(F.broadcast(starts), "_p").select(*df.columns, (F.col("_start") + F.col("_m") - F.col("_m0")).alias("id"))
+    return parts.join(F.broadcast(starts), "_p").select(*df.columns, (F.col("_start") + F.col("_m") - F.col("_m0")).alias(name))
