@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from graphloom.plans.iterate import exists, shared_folder
+from graphloom.plans.iterate import cut, exists, forget, shared_folder
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark conversations labels".split()
 
@@ -86,12 +87,17 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     used = set(re.findall(r"\{(\w+)\}", text))
     if name not in STORED:
         return _made(spark, sf_dir, name, text, used)
-    key = (spark.sparkContext.applicationId, sf_dir, name, *(_state(spark, f"{sf_dir}/{t}.parquet") for t in sorted(used)))
+    return kept(spark, sf_dir, name, used, lambda: _made(spark, sf_dir, name, text, used), *STORED[name])
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, sources: Iterable[str], make: Callable[[], DataFrame], by: str, order: str) -> DataFrame:
+    """What make() gives, stored in partitions by one column and sorted by another within; made again when a source has changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, *(_state(spark, f"{sf_dir}/{t}.parquet") for t in sorted(sources)))
     if key not in _AT or not exists(spark, _AT[key][0]):
-        df = _made(spark, sf_dir, name, text, used)
-        by, order = STORED[name]
+        df = cut(make())
         path = f"{shared_folder(df)}/stored-{name}-{uuid.uuid4().hex[:12]}"
         df.repartitionByRange(by, order).sortWithinPartitions(by, order).write.partitionBy(by).parquet(path)
+        forget(df)
         _AT[key] = path, df.schema
     path, schema = _AT[key]
     return spark.read.schema(schema).parquet(path).select(*schema.names)

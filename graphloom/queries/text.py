@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from graphloom import adapters
 from graphloom.functions import scalar as S
 from graphloom.operators import retrieval as RT
-from graphloom.plans.iterate import cut
 from graphloom.registry import given, query
 
 _TOK = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
@@ -24,10 +24,10 @@ def _bm25(name: str, terms: dict[str, float]) -> dict[str, str]:
     }
 
 
-def index(t, stored: bool = False):
-    """Postings and lengths; stored where a query reads them more than once, as a service would keep them."""
-    postings = RT.postings(t.notes)
-    return cut(postings) if stored else postings, RT.field_lengths(t.notes)
+def index(t):
+    """Postings, stored by field and sorted by term, so that a search reads the row groups of its terms; and lengths."""
+    kept = lambda name, make, order: adapters.kept(t.spark, t.sf_dir, name, ["documents"], make, "field", order)
+    return kept("postings", lambda: RT.postings(t.notes), "term"), kept("lengths", lambda: RT.field_lengths(t.notes), "n_docs")
 
 
 @query(given("notes", **_IDX, **_bm25("hits", {"note": 1.0, "apache": 1.0, "license": 1.0})) + "SELECT uid, round(score, 8) AS score FROM hits")
@@ -53,7 +53,7 @@ _PRF = dict(
 
 @query(given("notes", **_IDX, **_bm25("hits", {"apache": 1.0, "license": 1.0}), **_PRF) + "SELECT term, round(idf, 8) AS idf, CAST(freq AS BIGINT) AS freq FROM psc, med WHERE idf >= median ORDER BY idf * freq DESC, term LIMIT 10")
 def prf_terms(t):
-    idx, lens = index(t, stored=True)
+    idx, lens = index(t)
     first = RT.bm25(idx, lens, RT.query_terms("apache license"))
     return RT.prf_terms(idx, lens, first, "apache license").select("term", F.round("idf", 8).alias("idf"), "freq")
 
@@ -69,7 +69,7 @@ _PRF2 = dict(
 @query(given("notes", **_IDX, **_bm25("hits", {"apache": 1.0, "license": 1.0}), **_PRF, **_PRF2) + """, r AS (SELECT uid, sum(w * CASE field WHEN 'title' THEN 3.0 ELSE 1.0 END * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS s FROM tf2 JOIN df2 USING (field, term) JOIN lens USING (field) GROUP BY uid)
     SELECT uid, round(s, 8) AS score FROM r ORDER BY s DESC, uid LIMIT 20""")
 def prf_search(t):
-    return RT.prf_search(*index(t, stored=True), "apache license", 20).withColumn("score", F.round("score", 8))
+    return RT.prf_search(*index(t), "apache license", 20).withColumn("score", F.round("score", 8))
 
 
 _Q = "(SELECT embedding AS q FROM embeddings WHERE vec_id = 3)"
@@ -174,7 +174,7 @@ def brain_context(t):
     from graphloom.plans.answers import brain_context as context
     from graphloom.queries.joined import resolved
 
-    idx, lens = index(t, stored=True)
+    idx, lens = index(t)
     links = resolved(t).where("src <> dst").groupBy("src", "dst").agg(F.max("confidence").alias("weight"))
     ppr = GR.personalized_pagerank(t.notes.select("uid"), links, ["note:1"], 0.75)
     near = RT.vector_search(t.vectors, query_vector(t), 50).select(F.concat(F.lit("note:"), F.substring_index("uid", ":", -1)).alias("uid"), "score")
