@@ -196,17 +196,18 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int, relations: Iterable[
     return seen
 
 
-def widest_paths(edges: DataFrame, roots: DataFrame, rounds: int = 50) -> DataFrame:
+def widest_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """uid, path_confidence: the best over paths of the least confidence on them, from any root."""
     e = cut(edges.select(F.col("src").alias("_from"), F.col("dst").alias("uid"), F.coalesce("confidence", F.lit(1.0)).alias("c")).groupBy("_from", "uid").agg(F.max("c").alias("c")))
     best = cut(roots.select("uid").distinct().withColumn("path_confidence", F.lit(1.0)))
     front = best
-    for _ in range(rounds):
+    while True:  # every round betters some node, and a node has few values
         new = e.join(front.select(F.col("uid").alias("_from"), "path_confidence"), "_from").groupBy("uid").agg(F.max(F.least("path_confidence", "c")).alias("w"))
         front = cut(new.join(best.select("uid", F.col("path_confidence").alias("old")), "uid", "left").where("old is null or w > old").select("uid", F.col("w").alias("path_confidence")))
         if not front.count():
             break
-        best = cut(best.join(front.select("uid"), "uid", "left_anti").unionByName(front))
+        old, best = best, cut(best.join(front.select("uid"), "uid", "left_anti").unionByName(front))
+        forget(old)
     return best
 
 
@@ -269,23 +270,24 @@ def flow_tree(edges: DataFrame, root: str, max_depth: int) -> DataFrame:
     return tree
 
 
-def cycles(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def cycles(edges: DataFrame) -> DataFrame:
     """component (smallest uid), members: strongly connected sets of more than one node, or a node with an edge to itself.
 
-    Nodes without an edge in or out cannot lie on a cycle and are trimmed first; labels then spread both ways.
+    Nodes without an edge in or out cannot lie on a cycle and are trimmed first; labels then spread both ways. All
+    loops run until nothing changes.
     """
     e = cut(edges.select("src", "dst").distinct())
-    for _ in range(rounds):
+    while True:
         n = e.count()
         e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
         if e.count() == n:
             break
     found = None
-    while e.count() and rounds:
+    while e.count():
         nodes = e.select(F.explode(F.array("src", "dst")).alias("uid")).distinct()
         def spread(a: str, b: str) -> DataFrame:
             label = cut(nodes.withColumn("l", F.col("uid")))
-            for _ in range(rounds):
+            while True:
                 got = e.join(label.select(F.col("uid").alias(a), "l"), a).groupBy(F.col(b).alias("uid")).agg(F.min("l").alias("g"))
                 new = cut(label.join(got, "uid", "left").select("uid", F.least("l", F.coalesce("g", "l")).alias("l"), F.col("l").alias("o")))
                 label = new.select("uid", "l")
@@ -296,7 +298,6 @@ def cycles(edges: DataFrame, rounds: int = 50) -> DataFrame:
         same = cut(fore.join(back.select("uid", F.col("l").alias("b")), "uid").where("l = b").select("uid", "l"))
         found = same if found is None else found.unionByName(same)
         e = cut(e.join(same.select(F.col("uid").alias("src")), "src", "left_anti").join(same.select(F.col("uid").alias("dst")), "dst", "left_anti"))
-        rounds -= 1
     if found is None:
         return edges.sparkSession.createDataFrame([], "component string, members string")
     loops = edges.where("src = dst").select(F.col("src").alias("component"), F.lit(True).alias("own")).distinct()

@@ -296,3 +296,9 @@ def test_forward_push_is_near_the_walk(spark):
         assert 0 <= left + 1e-9 and all(-1e-6 <= exact.get(u, 0.0) - s <= left + 1e-6 for u, s in got.items())
     assert left < 0.01
     assert GR.forward_push(nodes, graph, ["nobody"]).count() == 0
+
+
+def test_paths_have_no_greatest_length(spark):
+    chain = spark.createDataFrame([(f"n{k:03}", f"n{k + 1:03}", 1.0 - k / 100) for k in range(54)], "src string, dst string, confidence double")
+    got = {r.uid: r.path_confidence for r in GR.widest_paths(chain, spark.createDataFrame([("n000",)], "uid string")).collect()}
+    assert len(got) == 55 and got["n054"] == pytest.approx(0.47)
