@@ -90,6 +90,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from graphloom.llm.token_alignment import alignment
+
+    return alignment(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloom.llm.vector_codes import coded
 
@@ -104,7 +112,7 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_ngram_jaccard, op4_quality_mil, op5_html_extract, op6_sharding, op7_toxicity_cnn, op8_topk_search, op9_gru_lm, op10_sentencepiece, op12_vector_codes, op13_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_ngram_jaccard, op4_quality_mil, op5_html_extract, op6_sharding, op7_toxicity_cnn, op8_topk_search, op9_gru_lm, op10_sentencepiece, op11_token_alignment, op12_vector_codes, op13_packing)}
 
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": """
