@@ -19,7 +19,6 @@ is read as the tokenizer file says.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -29,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.llm.byte_level import ByteLevel
 from graphloom.llm.common import chunks, small_batches, written
 
 WINDOW = 2048
 END = 1
 CHUNK = 1 << 20
-AT_ONCE = 1 << 18
 #: A plan of so many rows is sent to every task; one of more rows is joined by length.
 SMALL_PLAN = 1 << 17
 
@@ -116,30 +115,21 @@ def best_fit(lengths: dict[int, int], window: int = WINDOW) -> tuple[list[tuple[
     return rows, windows
 
 
-_READY: dict[str, object] = {}
+_READY: dict[int, ByteLevel] = {}
 
 
-def _tokenizer(path: str):
-    if path not in _READY:
-        os.environ.setdefault("RAYON_NUM_THREADS", "1")
-        from tokenizers import Tokenizer
+def _tokenizer(text: str) -> ByteLevel:
+    key = hash(text)
+    if key not in _READY:
+        _READY[key] = ByteLevel(text)
+    return _READY[key]
 
-        _READY[path] = Tokenizer.from_file(path)
-    return _READY[path]
 
-
-def encode(path: str, texts: list[str], end: int = END, at_once: int = AT_ONCE) -> Iterator[np.ndarray]:
-    """Each text's ids and the end id."""
-    t = _tokenizer(path)
-    held: list[str] = []
-    n = 0
-    for k, x in enumerate(texts):
-        held.append(x)
-        n += len(x)
-        if n >= at_once or k == len(texts) - 1:
-            for e in t.encode_batch_fast(held, add_special_tokens=False):
-                yield np.array([*e.ids, end], "<u4")
-            held, n = [], 0
+def encode(tokenizer: str, texts: list[str], end: int = END) -> Iterator[np.ndarray]:
+    """Each text's ids and the end id; tokenizer: its file's text."""
+    last = np.array([end], "<u4")
+    for ids in _tokenizer(tokenizer).ids(texts):
+        yield np.concatenate([ids, last])
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, with_ids: bool = False) -> DataFrame:
@@ -147,7 +137,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     id_col, start, length, ids_crc32, doc_tokens, task, nth, and ids (array<long>) where asked for.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
+    with open(tokenizer_path, encoding="utf-8") as f:
+        held_text = spark.sparkContext.broadcast(f.read())  # one vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -158,7 +151,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             which: list[int] = []
             cols: list[list[int]] = [[], [], [], [], []]
             held: list[np.ndarray] = []
-            for k, ids in enumerate(encode(tokenizer_path, [x or "" for x in t.column("text").to_pylist()])):
+            for k, ids in enumerate(encode(held_text.value, [x or "" for x in t.column("text").to_pylist()])):
                 for start in range(0, len(ids), window):
                     part = ids[start : start + window]
                     n = len(part)

@@ -18,7 +18,6 @@ empty table gives no rows. Only the id and the text are read, so other columns c
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.byte_level import ByteLevel
 from graphloom.llm.common import chunks, small_batches, written
 
 CHUNK = 4 << 20
@@ -57,15 +57,12 @@ class Pair:
     """Both tokenizers, made once in a worker."""
 
     def __init__(self, a: bytes, b: bytes):
-        os.environ.setdefault("RAYON_NUM_THREADS", "1")
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(a.decode())
-        self.a.encode_special_tokens = True
+        self.a = ByteLevel(a.decode(), literal=True)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         of = byte_alphabet()
-        entries = self.a.get_vocab(with_added_tokens=True)
+        entries = self.a.library.get_vocab(with_added_tokens=True)
         spelt = [b""] * (max(entries.values(), default=-1) + 1)
         for piece, k in entries.items():
             spelt[k] = bytes(of[c] for c in piece) if all(c in of for c in piece) else piece.encode()
@@ -73,21 +70,24 @@ class Pair:
         n = self.b.get_piece_size()
         self.right = Side([bytes([int(self.b.id_to_piece(k)[3:-1], 16)]) if self.b.is_byte(k) else self.b.id_to_piece(k).replace(MARK, " ").encode() for k in range(n)])
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Both sides' ids of each text; empty where the text is, or where they do not spell it."""
+        none = np.zeros(0, np.int32)
+        for x, a, b in zip(texts, self.a.ids([" " + x for x in texts]), self._pieces(texts), strict=True):
+            want = b" " + x.encode()
+            if x and self.left.spells(a.tolist()) == want and self.right.spells(b) == want:
+                yield a.astype(np.int32), np.array(b, np.int32)
+            else:
+                yield none, none
+
+    def _pieces(self, texts: list[str]) -> Iterator[list[int]]:
         at = 0
         while at < len(texts):
             n, end = 0, at
             while end < len(texts) and (end == at or n + len(texts[end]) <= AT_ONCE):
                 n += len(texts[end])
                 end += 1
-            part = texts[at:end]
-            for x, a, b in zip(part, self.a.encode_batch_fast([" " + x for x in part], add_special_tokens=False), self.b.encode(part, num_threads=1), strict=True):
-                if not x:
-                    yield [], []
-                    continue
-                want, ids = b" " + x.encode(), a.ids
-                yield (ids, b) if self.left.spells(ids) == want and self.right.spells(b) == want else ([], [])
+            yield from self.b.encode(texts[at:end], num_threads=1)
             at = end
 
 
@@ -137,8 +137,8 @@ class Aligned:
     def __init__(self, pair: Pair, texts: list[str]):
         held_a, held_b = [], []
         for a, b in pair.encode(texts):
-            held_a.append(np.array(a, np.int32))
-            held_b.append(np.array(b, np.int32))
+            held_a.append(a)
+            held_b.append(b)
         self.n_a, self.n_b = (np.array([len(x) for x in held], np.int64) for held in (held_a, held_b))
         none = [np.zeros(0, np.int32)]
         self.a, self.b = np.concatenate(held_a or none), np.concatenate(held_b or none)
