@@ -33,7 +33,7 @@ from graphloom.llm.common import chunks, small_batches, written
 
 WINDOW = 2048
 END = 1
-CHUNK = 1 << 20
+CHUNK = 3 << 20
 #: A plan of so many rows is sent to every task; one of more rows is joined by length.
 SMALL_PLAN = 1 << 17
 

@@ -8,7 +8,7 @@ smallest groups of tokens that cover the same bytes. The members of a component
 Pairs of ids are counted over the corpus in two steps: each chunk of texts adds up its own pairs, then pairs of all chunks are
 added up by key, so a frequent pair is one row for each chunk. Every pair's count and whether it is the highest of its B id go
 back to the chunks that hold the pair, and from there to their documents. No table of pairs is broadcast or collected.
-A chunk is CHUNK bytes of text, or one text, so what is gathered by chunk is bounded by it.
+A chunk is CHUNK characters of text, or one text, so what is gathered by chunk is bounded by it.
 
 Texts that are null, empty, or not spelt alike by both have no tokens: zeros and an empty digest. Special tokens' strings
 inside texts are plain text. Very long texts are encoded whole (some fifty times their room). Repeated rows and ids are texts of their own; null ids stay. An
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from graphloom.llm.byte_level import ByteLevel
 from graphloom.llm.common import chunks, small_batches, written
 
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+#: Stretches of text whose A ids a worker keeps.
+KEPT = 1 << 18
 #: Characters encoded by one call.
 AT_ONCE = 1 << 18
 MARK = "▁"
@@ -59,7 +61,7 @@ class Pair:
     def __init__(self, a: bytes, b: bytes):
         import sentencepiece
 
-        self.a = ByteLevel(a.decode(), literal=True)
+        self.a = ByteLevel(a.decode(), literal=True, kept=KEPT)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         of = byte_alphabet()
         entries = self.a.library.get_vocab(with_added_tokens=True)
@@ -81,14 +83,22 @@ class Pair:
                 yield none, none
 
     def _pieces(self, texts: list[str]) -> Iterator[list[int]]:
-        at = 0
-        while at < len(texts):
-            n, end = 0, at
-            while end < len(texts) and (end == at or n + len(texts[end]) <= AT_ONCE):
-                n += len(texts[end])
-                end += 1
-            yield from self.b.encode(texts[at:end], num_threads=1)
-            at = end
+        for part in parts(texts, AT_ONCE):
+            yield from self.b.encode(part, num_threads=1)
+
+
+def parts(texts: list[str], most: int) -> Iterator[list[str]]:
+    """Runs of texts of `most` characters at the most, or one text."""
+    held: list[str] = []
+    n = 0
+    for x in texts:
+        if held and n + len(x) > most:
+            yield held
+            held, n = [], 0
+        held.append(x)
+        n += len(x)
+    if held:
+        yield held
 
 
 _READY: dict[int, Pair] = {}
@@ -205,20 +215,28 @@ def aligned(docs: DataFrame, byte_level_path: str, piece_path: str, id_col: str
         def rows(size: int, **given: pa.Array) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([given.get(c, pa.nulls(size, kinds[k])) for c, k in schema.items()], names=list(schema))
 
-        for k, t in enumerate(chunks(batches, "text", CHUNK)):
-            texts = [x or "" for x in t.column("text").to_pylist()]
-            got = Aligned(pair, texts)
-            a, b, n, which = got.pairs()
-            shown = got.shown()
-            digest = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in shown]
-            at = np.concatenate([[0], np.cumsum(got.n_links)])
-            packed = [np.sort(which[i:j]).tobytes() for i, j in zip(at, at[1:], strict=False)]
-            chunk = task | k
-            yield rows(
-                len(texts), kind=pa.array(["doc"] * len(texts)), chunk=pa.array(np.full(len(texts), chunk), pa.int64()), id=t.column("id").combine_chunks(), n_a=pa.array(got.n_a), n_b=pa.array(got.n_b), n_groups=pa.array(got.n_groups, pa.int64()),
-                n_links=pa.array(got.n_links, pa.int64()), groups_sha256=pa.array(digest, pa.string()), groups=pa.array(shown if with_groups else [None] * len(texts), pa.string()), links=pa.array(packed, pa.binary()),
-            )
-            yield rows(1, kind=pa.array(["pairs"]), chunk=pa.array([chunk], pa.int64()), a=pa.array([a], pa.list_(pa.int32())), b=pa.array([b], pa.list_(pa.int32())), n=pa.array([n], pa.list_(pa.int64())))
+        k = 0
+        for t in chunks(batches, "text", CHUNK):
+            t = t.combine_chunks()
+            at = 0
+            for texts in parts([x or "" for x in t.column("text").to_pylist()], CHUNK):
+                yield from one(task | k, t.column("id").chunk(0).slice(at, len(texts)), texts, pair, rows)
+                at += len(texts)
+                k += 1
+
+    def one(chunk: int, ids: pa.Array, texts: list[str], pair: Pair, rows) -> Iterator[pa.RecordBatch]:
+        got = Aligned(pair, texts)
+        shown = got.shown()
+        digest = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in shown]
+        shown = shown if with_groups else [None] * len(texts)
+        a, b, n, which = got.pairs()
+        at = np.concatenate([[0], np.cumsum(got.n_links)])
+        packed = [np.sort(which[i:j]).tobytes() for i, j in zip(at, at[1:], strict=False)]
+        yield rows(
+            len(texts), kind=pa.array(["doc"] * len(texts)), chunk=pa.array(np.full(len(texts), chunk), pa.int64()), id=ids, n_a=pa.array(got.n_a), n_b=pa.array(got.n_b), n_groups=pa.array(got.n_groups, pa.int64()),
+            n_links=pa.array(got.n_links, pa.int64()), groups_sha256=pa.array(digest, pa.string()), groups=pa.array(shown, pa.string()), links=pa.array(packed, pa.binary()),
+        )
+        yield rows(1, kind=pa.array(["pairs"]), chunk=pa.array([chunk], pa.int64()), a=pa.array([a], pa.list_(pa.int32())), b=pa.array([b], pa.list_(pa.int32())), n=pa.array([n], pa.list_(pa.int64())))
 
     return written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ROW), "aligned")
 
