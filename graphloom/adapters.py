@@ -103,6 +103,16 @@ def kept(spark: SparkSession, sf_dir: str, name: str, sources: Iterable[str], ma
     return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
+def built(spark: SparkSession, sf_dir: str, name: str, sources: Iterable[str], make: Callable[[str], None]) -> str:
+    """The folder that make(path) filled in the shared folder; filled again when a source has changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, *(_state(spark, f"{sf_dir}/{t}.parquet") for t in sorted(sources)))
+    if key not in _AT or not exists(spark, _AT[key][0]):
+        path = f"{shared_folder(spark)}/stored-{name}-{uuid.uuid4().hex[:12]}"
+        make(path)
+        _AT[key] = path, StructType()
+    return _AT[key][0]
+
+
 def _made(spark: SparkSession, sf_dir: str, name: str, text: str, used: set[str]) -> DataFrame:
     return spark.sql(text, **{t: _spread(spark.read.parquet(f"{sf_dir}/{t}.parquet")) if t in SPREAD.get(name, ()) else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 

@@ -10,12 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def shared_folder(df: DataFrame) -> str:
+def shared_folder(of: DataFrame | SparkSession) -> str:
     """The session's checkpoint folder; a temporary one only under a local master that names none."""
-    sc = df.sparkSession.sparkContext
+    spark = of if isinstance(of, SparkSession) else of.sparkSession
+    sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
             if not (sc.master == "local" or sc.master.startswith("local[")):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from graphloom import model
+from graphloom import adapters, model
 from graphloom.functions import scalar as S
 from graphloom.operators import aggregates as A
 from graphloom.operators import reads as R
+from graphloom.operators import trigrams as TG
 from graphloom.registry import given, query
 
 SYM, NOTE = given("symbols"), given("notes")
@@ -131,10 +132,29 @@ def count_patterns(t):
     return R.count_patterns(R.lines(t.notes, "uid", "body", "text"), ["the", "[0-9]{3}", "Licen[sc]e", "zzzzqq"])
 
 
+def _trigram_index(t):
+    """The notes' index, built once for a state of the documents."""
+    notes = t.notes.select("uid", "file_path", "note_kind", "text")
+    return adapters.built(t.spark, t.sf_dir, "trigrams", ("documents",), lambda path: TG.build(notes, path, order=("file_path", "uid")))
+
+
 @query(NOTE + "SELECT uid FROM notes WHERE regexp_matches(lower(text), 'apache license|password')")
 def trigram_prefiltered_regex(t):
-    few = R.trigram_candidates(t.notes, "uid", "text", "apache license|password")
-    return t.notes.join(few, "uid", "left_semi").where(F.lower("text").rlike("apache license|password")).select("uid")
+    few = TG.matching(t.spark, _trigram_index(t), "apache license|password")
+    return few.where(F.lower("text").rlike("apache license|password")).select("uid")
+
+
+_RARE = r"Apache License|[a-z]+ghtion\b"
+
+
+@query(_LINES + rf"""SELECT uid, field, line, CAST(length(regexp_extract(line_text, '^(.*?)({_RARE})', 1)) + 1 AS BIGINT) AS "column", left(regexp_extract(line_text, '{_RARE}'), 200) AS matched FROM l WHERE regexp_matches(line_text, '{_RARE}')""")
+def trigram_search(t):
+    return TG.search(t.spark, _trigram_index(t), _RARE)
+
+
+@query(NOTE + """, x AS (SELECT DISTINCT uid, lower(text)[i:i+2] AS trigram FROM notes, unnest(range(1, length(lower(text)) - 1)) AS r(i)) SELECT trigram, count(*) AS documents FROM x GROUP BY trigram""")
+def trigram_frequencies(t):
+    return TG.frequencies(t.spark, _trigram_index(t))
 
 
 @query(SYM + "SELECT name, CAST(len(list_distinct([lower(name)[i:i+2] FOR i IN range(1, length(name) - 1)])) AS INTEGER) AS n FROM symbols WHERE kind = 'Function' GROUP BY name")
