@@ -30,7 +30,7 @@ from graphloom.llm.common import chunks, small_batches, written
 
 CHUNK = 1 << 20
 #: Stretches of text whose A ids a worker keeps.
-KEPT = 1 << 18
+KEPT = 1 << 19
 #: Characters encoded by one call.
 AT_ONCE = 1 << 18
 MARK = "▁"
@@ -144,11 +144,9 @@ def components(n_a: int, n_b: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Aligned:
     """The groups and links of a chunk of texts, laid one after another."""
 
-    def __init__(self, pair: Pair, texts: list[str]):
-        held_a, held_b = [], []
-        for a, b in pair.encode(texts):
-            held_a.append(a)
-            held_b.append(b)
+    def __init__(self, pair: Pair, encoded: list[tuple[np.ndarray, np.ndarray]]):
+        texts = range(len(encoded))
+        held_a, held_b = [a for a, _ in encoded], [b for _, b in encoded]
         self.n_a, self.n_b = (np.array([len(x) for x in held], np.int64) for held in (held_a, held_b))
         none = [np.zeros(0, np.int32)]
         self.a, self.b = np.concatenate(held_a or none), np.concatenate(held_b or none)
@@ -218,14 +216,16 @@ def aligned(docs: DataFrame, byte_level_path: str, piece_path: str, id_col: str
         k = 0
         for t in chunks(batches, "text", CHUNK):
             t = t.combine_chunks()
+            every = [x or "" for x in t.column("text").to_pylist()]
+            encoded = list(pair.encode(every))
             at = 0
-            for texts in parts([x or "" for x in t.column("text").to_pylist()], CHUNK):
-                yield from one(task | k, t.column("id").chunk(0).slice(at, len(texts)), texts, pair, rows)
-                at += len(texts)
+            for texts in parts(every, CHUNK):
+                end = at + len(texts)
+                yield from one(task | k, t.column("id").chunk(0).slice(at, len(texts)), texts, Aligned(pair, encoded[at:end]), rows)
+                at = end
                 k += 1
 
-    def one(chunk: int, ids: pa.Array, texts: list[str], pair: Pair, rows) -> Iterator[pa.RecordBatch]:
-        got = Aligned(pair, texts)
+    def one(chunk: int, ids: pa.Array, texts: list[str], got: Aligned, rows) -> Iterator[pa.RecordBatch]:
         shown = got.shown()
         digest = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in shown]
         shown = shown if with_groups else [None] * len(texts)
