@@ -69,6 +69,8 @@ class Pair:
         for piece, k in entries.items():
             spelt[k] = bytes(of[c] for c in piece) if all(c in of for c in piece) else piece.encode()
         self.left = Side(spelt)
+        # with a token for every byte and no change of the text before, a byte-level tokenizer spells every text
+        self.exact = self.a.by_stretch and {bytes([x]) for x in range(256)} <= set(spelt)
         n = self.b.get_piece_size()
         self.right = Side([bytes([int(self.b.id_to_piece(k)[3:-1], 16)]) if self.b.is_byte(k) else self.b.id_to_piece(k).replace(MARK, " ").encode() for k in range(n)])
 
@@ -77,7 +79,7 @@ class Pair:
         none = np.zeros(0, np.int32)
         for x, a, b in zip(texts, self.a.ids([" " + x for x in texts]), self._pieces(texts), strict=True):
             want = b" " + x.encode()
-            if x and self.left.spells(a.tolist()) == want and self.right.spells(b) == want:
+            if x and (self.exact or self.left.spells(a.tolist()) == want) and self.right.spells(b) == want:
                 yield a.astype(np.int32), np.array(b, np.int32)
             else:
                 yield none, none
@@ -113,10 +115,12 @@ def _ready(a: bytes, b: bytes) -> Pair:
 
 def links(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the A and B tokens that overlap: a link for each stretch between neighbouring ends of either side."""
-    ends = np.concatenate([a_ends, b_ends])
-    ends.sort(kind="stable")
-    ends = ends[np.diff(ends, prepend=-1) > 0] if len(ends) else ends
-    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+    size = int(a_ends[-1]) + 1 if len(a_ends) else 0
+    in_a, in_b = np.zeros(size, bool), np.zeros(size, bool)
+    in_a[a_ends], in_b[b_ends] = True, True
+    ends = np.flatnonzero(in_a | in_b)
+    in_a, in_b = in_a[ends], in_b[ends]
+    return np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
 
 
 def components(n_a: int, n_b: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
