@@ -90,38 +90,40 @@ def personalized_pagerank(nodes: DataFrame, graph: DataFrame, seeds: Iterable[st
     return scores.join(F.broadcast(own), "uid", "left").where(F.col("seed") | (F.col("score") > floor)).select("uid", "score")
 
 
-def forward_push(nodes: DataFrame, graph: DataFrame, seeds: Iterable[str], damping: float = 0.85, epsilon: float = 1e-4, rounds: int | None = None) -> DataFrame:
-    """uid, score: personalised rank by pushing residuals outward from the seeds, all nodes over their threshold at once.
-
-    A node pushes while its residual is over epsilon times its number of ways out (one at least): it keeps 1 - damping
-    and sends the rest along its shares, or back to the seeds where it has no way out. The scores sum to 1 less what
-    residual is left, and none is off by more than that. Only nodes near the seeds are ever touched.
+def forward_push(nodes: DataFrame, graph: DataFrame, seeds: Iterable[str], damping: float = 0.85, threshold: float = 1e-6, share: float = 0.9) -> DataFrame:
+    """uid, score: personalised rank by pushing residuals outward from the seeds until none reaches the threshold.
+
+    Residuals lie in bins by power of two. A round pushes the highest bins, as many as hold `share` of what is to be pushed;
+    a node that is pushed keeps 1 - damping of its residual and sends the rest along its ways out, or back to the seeds
+    where it has none. Only the bins' sums (one row for each power of two down to the threshold) come to the driver.
+    The scores sum to 1 less what residual is left, and none is off by more than that. Only nodes near the seeds
+    are ever touched; a round writes them once.
     """
     held = graph.select("src", "dst", "weight")
-    out = held.groupBy("src").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("ways"))
-    step = cut(held.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"), "ways"))
-    ways = cut(step.groupBy(F.col("src").alias("uid")).agg(F.first("ways").alias("ways")))
+    out = held.groupBy("src").agg(F.sum("weight").alias("total"))
+    step = cut(held.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")).repartition("src").sortWithinPartitions("src"))
     own = cut(nodes.where(F.col("uid").isin(*seeds)).select("uid"))
     k = own.count()
-    left = cut(own.select("uid", F.lit(1.0 / max(k, 1)).alias("r")))
-    scores = cut(own.select("uid", F.lit(0.0).alias("score")))
-    done = 0
-    while rounds is None or done < rounds:
-        marked = left.join(ways, "uid", "left").withColumn("go", F.col("r") > epsilon * F.coalesce("ways", F.lit(1)))
-        active = cut(marked.where("go").select("uid", "r", "ways"))
-        if active.isEmpty():
+    state = cut(own.select("uid", F.lit(0.0).alias("score"), F.lit(1.0 / max(k, 1)).alias("r")))
+    while True:
+        bins = state.where(F.col("r") >= threshold).groupBy(F.floor(F.log2("r")).alias("bin")).agg(F.sum("r").alias("r")).collect()
+        if not bins:
             break
-        done += 1
-        sent = active.where("ways is not null").join(step.drop("ways"), F.col("uid") == F.col("src")).select(F.col("dst").alias("uid"), (damping * F.col("r") * F.col("share")).alias("r"))
-        lost = active.where("ways is null").agg(F.sum("r").alias("m")).where("m is not null")
-        back = own.join(F.broadcast(lost), how="inner").select("uid", (damping * F.col("m") / k).alias("r"))
-        rest = left.join(active.select("uid"), "uid", "left_anti").select("uid", "r")
-        old_left, left = left, cut(rest.unionByName(sent).unionByName(back).groupBy("uid").agg(F.sum("r").alias("r")))
-        kept = active.select("uid", ((1 - damping) * F.col("r")).alias("score"))
-        old_scores, scores = scores, cut(scores.unionByName(kept).groupBy("uid").agg(F.sum("score").alias("score")))
-        for x in (old_left, old_scores, active):
-            forget(x)
-    return scores.where("score > 0")
+        bins.sort(key=lambda b: -b.bin)
+        enough, gathered = share * sum(b.r for b in bins), 0.0
+        for b in bins:
+            gathered += b.r
+            if gathered >= enough:
+                break
+        go = (F.col("r") >= max(2.0 ** int(b.bin), threshold))
+        moved = state.where(go).select(F.col("uid").alias("from"), (damping * F.col("r")).alias("m")).join(step, F.col("from") == F.col("src"), "left")
+        sent = moved.where("dst is not null").groupBy(F.col("dst").alias("uid")).agg(F.sum(F.col("m") * F.col("share")).alias("r")).select("uid", F.lit(0.0).alias("score"), "r")
+        lost = moved.where("dst is null").agg(F.sum("m").alias("m")).where("m is not null")
+        back = own.join(F.broadcast(lost), how="inner").select("uid", F.lit(0.0).alias("score"), (F.col("m") / k).alias("r"))
+        rest = state.select("uid", (F.col("score") + F.when(go, (1 - damping) * F.col("r")).otherwise(0.0)).alias("score"), F.when(go, 0.0).otherwise(F.col("r")).alias("r"))
+        old, state = state, cut(rest.unionByName(sent).unionByName(back).groupBy("uid").agg(F.sum("score").alias("score"), F.sum("r").alias("r")))
+        forget(old)
+    return state.where("score > 0").select("uid", "score")
 
 
 def rerank_by_interaction(scores: DataFrame, interactions: DataFrame, boost: float = 0.05) -> DataFrame:
@@ -305,6 +307,25 @@ def cycles(edges: DataFrame) -> DataFrame:
     return sets.join(loops, "component", "left").where("n > 1 or own").select("component", "members")
 
 
+def elementary_cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+    """length, members (sorted, with commas): every cycle of distinct nodes (src, dst), once for each set of members.
+
+    Only edges inside a strong component can lie on one. A recursive query grows paths from a cycle's least node, over greater
+    nodes that the path does not hold, so a cycle is found from one start and in each direction it has. The number of cycles can grow
+    exponentially with a component's edges; max_length bounds their length, and past Spark's own limits of depth
+    (spark.sql.cteRecursionLevelLimit) and rows (spark.sql.cteRecursionRowLimit) the query fails, it does not cut.
+    """
+    spark = edges.sparkSession
+    e = edges.select("src", "dst").distinct()
+    sets = cycles(e).select("component", F.explode(F.split("members", ",")).alias("uid"))
+    inside = cut(e.join(sets.select(F.col("uid").alias("src"), F.col("component").alias("c")), "src").join(sets.select(F.col("uid").alias("dst"), F.col("component").alias("d")), "dst").where("c = d").select("src", "dst"))
+    bound = "" if max_length is None else f"AND size(p.path) < {int(max_length)}"
+    text = f"""WITH RECURSIVE p AS (SELECT src AS start, dst AS at, CASE WHEN src = dst THEN array(src) ELSE array(src, dst) END AS path FROM {{e}} WHERE dst >= src
+        UNION ALL SELECT p.start, e.dst, concat(p.path, array(e.dst)) FROM p JOIN {{e}} e ON e.src = p.at WHERE e.dst > p.start AND NOT array_contains(p.path, e.dst) {bound})
+        SELECT DISTINCT size(path) AS length, array_join(array_sort(path), ',') AS members FROM p JOIN {{e}} e ON e.src = p.at AND e.dst = p.start WHERE size(path) > 1 OR p.at = p.start"""
+    return spark.sql(text, e=inside)
+
+
 def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20) -> DataFrame:
     """uid, community: local moving by gain of modularity, in rounds; undirected edges (a, b, weight), each once.
 

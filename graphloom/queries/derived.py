@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import aggregates as A
 from graphloom.operators import derive as D
+from graphloom.operators import graph as GR
 from graphloom.operators import joins as J
 from graphloom.queries.joined import RESOLVED, resolved
 from graphloom.registry import given, query
@@ -51,6 +52,14 @@ def typed_note_edges(t):
     return typed(t, resolved(t)).select("src", "dst", "rel")
 
 
+@query(RESOLVED + """, g AS (SELECT DISTINCT src, dst FROM resolved WHERE src <> dst),
+    p AS (WITH RECURSIVE w(first, last, path) AS (SELECT src, dst, [src, dst] FROM g WHERE dst > src UNION ALL SELECT w.first, g.dst, list_append(w.path, g.dst) FROM w JOIN g ON g.src = w.last WHERE g.dst > w.first AND NOT list_contains(w.path, g.dst) AND len(w.path) < 7) SELECT * FROM w)
+    SELECT DISTINCT CAST(len(path) AS INTEGER) AS length, array_to_string(list_sort(path), ',') AS members FROM p JOIN g ON g.src = p.last AND g.dst = p.first""")
+def supersession_cycles(t):
+    """Cycles of at most 7 notes that lead to one another."""
+    return GR.elementary_cycles(resolved(t).where("src <> dst"), 7)
+
+
 _NOW = 1_704_067_200.0
 _EPOCH = "epoch(CAST(replace(replace(modified_at, 'T', ' '), 'Z', '') AS TIMESTAMP))"
 

@@ -7,6 +7,7 @@ from graphloom.functions import scalar as S
 from graphloom.operators import aggregates as A
 from graphloom.operators import graph as GR
 from graphloom.plans import answers as P
+from graphloom.queries.joined import RESOLVED, resolved
 from graphloom.registry import given, query
 
 _WEIGHT = "CASE rel WHEN 'CALLS' THEN 1.0 WHEN 'EXTENDS_SYM' THEN 0.9 WHEN 'IMPORTS' THEN 0.7 WHEN 'USES' THEN 0.5 WHEN 'MEMBER_OF' THEN 0.2 END::DOUBLE"
@@ -32,23 +33,17 @@ def pagerank(t):
     return GR.pagerank(s, GR.scope_graph(s, t.edges)).withColumn("score", F.round("score", 10))
 
 
-def _pushes(epsilon: float, k: int) -> dict[str, str]:
-    parts = {"g": _SCOPE, "step": _STEP, "ways": "SELECT src AS uid, count(*) AS n FROM step GROUP BY src", "r0": "SELECT uid, 0.5::DOUBLE AS r FROM symbols WHERE uid IN ('sup:1', 'part:5')"}
-    for i in range(k):
-        parts[f"a{i}"] = f"SELECT uid, r, n FROM r{i} LEFT JOIN ways USING (uid) WHERE r > {epsilon} * coalesce(n, 1)"
-        parts[f"r{i + 1}"] = f"""SELECT uid, sum(r) AS r FROM (SELECT uid, r FROM r{i} WHERE uid NOT IN (SELECT uid FROM a{i}) UNION ALL SELECT dst, 0.85 * r * share FROM a{i} JOIN step ON src = uid
-            UNION ALL SELECT uid, 0.85 * (SELECT sum(r) FROM a{i} WHERE n IS NULL) / 2 FROM r0 WHERE (SELECT count(*) FROM a{i} WHERE n IS NULL) > 0) GROUP BY uid"""
-    parts["kept"] = " UNION ALL ".join(f"SELECT uid, 0.15 * r AS s FROM a{i}" for i in range(k))
-    return parts
+_SEEDS = "SELECT uid, CASE WHEN uid IN ('sup:1', 'part:5') THEN 0.5 ELSE 0 END::DOUBLE AS p, CASE WHEN uid IN ('sup:1', 'part:5') THEN 0.5 ELSE 0 END::DOUBLE AS score FROM symbols"
 
 
-@query(given("symbols", "edges", **_pushes(1e-4, 6)) + "SELECT uid, round(sum(s), 9) AS score FROM kept GROUP BY uid")
+@query(given("symbols", "edges", **_rounds(_SEEDS, 0.85, 20, 1e-6)) + "SELECT uid, round(score, 9) AS power_score, true AS agrees FROM s20")
 def forward_push(t):
-    s = t.symbols
-    return GR.forward_push(s, GR.scope_graph(s, t.edges), ["sup:1", "part:5"], 0.85, 1e-4, 6).withColumn("score", F.round("score", 9))
-
-
-_SEEDS = "SELECT uid, CASE WHEN uid IN ('sup:1', 'part:5') THEN 0.5 ELSE 0 END::DOUBLE AS p, CASE WHEN uid IN ('sup:1', 'part:5') THEN 0.5 ELSE 0 END::DOUBLE AS score FROM symbols"
+    """Every node's score by power iteration, and whether pushing down to the threshold comes within 1e-4 of it."""
+    s, seeds = t.symbols, ["sup:1", "part:5"]
+    g = GR.scope_graph(s, t.edges)
+    pushed = GR.forward_push(s, g, seeds).withColumnRenamed("score", "pushed")
+    power = GR.personalized_pagerank(s, g, seeds, 0.85, floor=-1.0)
+    return power.join(pushed, "uid", "left").select("uid", F.round("score", 9).alias("power_score"), (F.abs(F.col("score") - F.coalesce("pushed", F.lit(0.0))) <= 1e-4).alias("agrees"))
 
 
 @query(given("symbols", "edges", **_rounds(_SEEDS, 0.75, 20, 1e-6)) + "SELECT uid, round(score, 10) AS score FROM s20 WHERE score > 0.0001 OR p > 0")
@@ -57,21 +52,20 @@ def personalized_pagerank(t):
     return GR.personalized_pagerank(s, GR.scope_graph(s, t.edges), ["sup:1", "part:5"], 0.75).withColumn("score", F.round("score", 10))
 
 
-@query(given("symbols", "edges", **_rounds(_SEEDS, 0.75, 2)) + """, a AS (SELECT uid, score * (1 + 0.05 * coalesce(i.start_line, 0) / 500.0::DOUBLE) AS score, p FROM s2 LEFT JOIN (SELECT uid AS u, start_line FROM symbols WHERE kind = 'Class' AND start_line <= 500 ORDER BY start_line) i ON i.u = uid),
-    m AS (SELECT max(start_line) AS top FROM symbols WHERE kind = 'Class' AND start_line <= 500)
-    SELECT s2.uid, round(s2.score * (1 + 0.05 * coalesce(c.start_line, 0)::DOUBLE / (SELECT top FROM m)), 10) AS score FROM s2 LEFT JOIN symbols c ON c.uid = s2.uid AND c.kind = 'Class' AND c.start_line <= 500 WHERE s2.score > 0""")
+@query(given("symbols", "edges", **_rounds(_SEEDS, 0.75, 20, 1e-6)) + """, m AS (SELECT max(start_line) AS top FROM symbols WHERE kind = 'Class' AND start_line <= 500)
+    SELECT s.uid, round(s.score * (1 + 0.05 * coalesce(c.start_line, 0)::DOUBLE / (SELECT top FROM m)), 10) AS score FROM s20 s LEFT JOIN symbols c ON c.uid = s.uid AND c.kind = 'Class' AND c.start_line <= 500 WHERE s.score > 0""")
 def interaction_rerank(t):
     s = t.symbols
     memory = s.where("kind = 'Class' and start_line <= 500").select("uid", F.col("start_line").cast("double").alias("score"))
-    plain = GR.personalized_pagerank(s, GR.scope_graph(s, t.edges), ["sup:1", "part:5"], 0.75, 2, 0.0, floor=0.0)
+    plain = GR.personalized_pagerank(s, GR.scope_graph(s, t.edges), ["sup:1", "part:5"], 0.75, floor=0.0)
     return GR.rerank_by_interaction(plain, memory).where("score > 0").withColumn("score", F.round("score", 10))
 
 
-@query(given("symbols", "edges", **_rounds(_SEEDS, 0.75, 2)) + """SELECT uid, round(score, 10) AS score FROM s2 WHERE score > 0.0001 OR p > 0
-    UNION ALL (SELECT uid, round(score, 10) FROM s2 WHERE NOT (score > 0.0001 OR p > 0) AND round(score, 10) > 0 ORDER BY round(score, 10) DESC, uid LIMIT 25)""")
+@query(given("symbols", "edges", **_rounds(_SEEDS, 0.75, 20, 1e-6)) + """SELECT uid, round(score, 10) AS score FROM s20 WHERE score > 0.0001 OR p > 0
+    UNION ALL (SELECT uid, round(score, 10) FROM s20 WHERE NOT (score > 0.0001 OR p > 0) AND round(score, 10) > 0 ORDER BY round(score, 10) DESC, uid LIMIT 25)""")
 def below_floor_tail(t):
     s = t.symbols
-    walk = GR.personalized_pagerank(s, GR.scope_graph(s, t.edges), ["sup:1", "part:5"], 0.75, 2, 0.0, floor=0.0).withColumn("score", F.round("score", 10)).where("score > 0")
+    walk = GR.personalized_pagerank(s, GR.scope_graph(s, t.edges), ["sup:1", "part:5"], 0.75, floor=0.0).withColumn("score", F.round("score", 10)).where("score > 0")
     return GR.bound_below_floor(walk, ["sup:1", "part:5"], 25)
 
 
@@ -182,12 +176,11 @@ def flow_tree(t):
 
 
 def _note_graph(t):
-    from graphloom.queries.joined import resolved
-
     return resolved(t).where("src <> dst").select("src", "dst").distinct()
 
 
-@query()
+@query(RESOLVED + """, g AS (SELECT DISTINCT src, dst FROM resolved WHERE src <> dst), r AS (WITH RECURSIVE w(a, b) AS (SELECT src, dst FROM g UNION SELECT w.a, g.dst FROM w JOIN g ON g.src = w.b) SELECT a, b FROM w),
+    s AS (SELECT x.a, x.b FROM r x JOIN r y ON y.a = x.b AND y.b = x.a) SELECT DISTINCT min(b) AS component, string_agg(b, ',' ORDER BY b) AS members FROM s GROUP BY a""")
 def note_cycles(t):
     return GR.cycles(_note_graph(t))
 
