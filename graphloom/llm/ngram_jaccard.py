@@ -8,9 +8,9 @@ Method (set-relation skipping):
 
 * Every set is put into one global order: shingles that are rare first, by hash; shingles known to be
   frequent last. Two sets that link share a shingle among the first n - ceil(t n) + 1 of each (prefix
-  filter), so only those are indexed. Frequent shingles are found by adding up, over all texts, the counts of those
-  that repeat within a chunk of texts; the list of them is bounded (FREQUENT). Any list gives the same links: it
-  decides cost only.
+  filter), so only those are indexed. Frequent shingles are found by counting, over all texts, those that are low enough
+  in the order of hashes for a prefix to reach them, half as far again as prefixes go; chunks add up their own counts first.
+  The list of them is bounded (FREQUENT). Any list gives the same links: it decides cost only.
 * The index is one row per entry (shingle, document, size, position), dealt and sorted by shingle, so its cost is
   in proportion to the texts. In a list entries are sorted by set size and then by the
   shingle's position; a probe skips blocks of sizes that cannot reach the threshold and, within a size,
@@ -117,7 +117,7 @@ def least_difference(a: bytes, b: bytes) -> int:
 # --- pass A: what every text holds
 
 
-_A = "kind int, id long, h long, n int, sig binary, sketch binary, token long, count long"
+_A = "id long, h long, n int, sig binary, sketch binary"
 
 
 def _signature(s: np.ndarray, bitmap: bytes) -> bytes:
@@ -126,22 +126,31 @@ def _signature(s: np.ndarray, bitmap: bytes) -> bytes:
 
 
 def _describe(ngram: int):
-    """Of every text its size, signature and bitmap; of every chunk of texts the counts of the shingles that it repeats."""
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-    schema = pa.schema([(x.split()[0], k) for x, k in zip(_A.split(", "), kinds, strict=True)])
+    """Of every text its size, signature and bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, "text", CHUNK):
             sets = [shingles(x, ngram) for x in text_bytes(t.column("text"))]
-            k = len(sets)
             bitmaps = [sketch(s) for s in sets]
             one = lambda name: t.column(name).combine_chunks()  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array([0] * k, kinds[0]), one("id"), one("h"), pa.array([len(s) for s in sets], kinds[3]), pa.array([_signature(s, b) for s, b in zip(sets, bitmaps, strict=True)], kinds[4]), pa.array(bitmaps, kinds[5]), pa.nulls(k, kinds[6]), pa.nulls(k, kinds[7])], schema=schema)
-            u, c = np.unique(np.concatenate(sets), return_counts=True)
-            u, c = u[c > 1], c[c > 1]
-            m = len(u)
-            if m:
-                yield pa.RecordBatch.from_arrays([pa.array([1] * m, kinds[0]), *[pa.nulls(m, x) for x in kinds[1:6]], pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([one("id"), one("h"), pa.array([len(s) for s in sets], pa.int32()), pa.array([_signature(s, b) for s, b in zip(sets, bitmaps, strict=True)], pa.binary()), pa.array(bitmaps, pa.binary())], names=["id", "h", "n", "sig", "sketch"])
+
+    return run
+
+
+def _low(ngram: int, percent: int):
+    """Of every chunk of texts the shingles that a prefix may reach, and how many of its sets hold each; equal sets of a chunk count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in chunks(batches, "text", CHUNK):
+            held: dict[int, np.ndarray] = {}
+            for x in text_bytes(t.column("text")):
+                s = shingles(x, ngram)
+                if len(s):
+                    p = prefix_length(len(s), percent)
+                    held[xxhash.xxh3_64_intdigest(s.tobytes())] = s[: p + p // 2 + 8].copy()
+            u, c = np.unique(np.concatenate([np.empty(0, np.uint64), *held.values()]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["token", "count"])
 
     return run
 
@@ -412,9 +421,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("id", "text"))
-    scan = written(rows.select("id", "h", "text").mapInArrow(_describe(ngram), _A), "jaccard-sets", "kind")
-    every = scan.where("kind = 0").select("id", "h", "n", "sig", "sketch")
-    frequent = scan.where("kind = 1").groupBy("token").agg(F.sum("count").alias("c")).where(F.col("c") >= frequent_from).orderBy(F.desc("c"), "token").limit(FREQUENT).select("token").toPandas()
+    every = written(rows.select("id", "h", "text").mapInArrow(_describe(ngram), _A), "jaccard-sets")
+    frequent = rows.select("text").mapInArrow(_low(ngram, percent), "token long, count long").groupBy("token").agg(F.sum("count").alias("c")).where(F.col("c") >= frequent_from).orderBy(F.desc("c"), "token").limit(FREQUENT).select("token").toPandas()
     # ids that are on several rows; torn where the texts differ
     again = written(every.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("c"), (F.min("h") != F.max("h")).alias("torn")).where("c > 1"), "jaccard-repeated")
     torn = again.where("torn").select("id", F.lit(True).alias("torn"))
