@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from graphloom.operators import aggregates as A
+from graphloom.operators import annotations as AN
 from graphloom.operators import derive as D
 from graphloom.operators import graph as GR
 from graphloom.operators import joins as J
+from graphloom.operators import scopes as SC
 from graphloom.queries.joined import RESOLVED, resolved
 from graphloom.registry import given, query
 
@@ -242,3 +244,39 @@ def phrase_search(t):
 def unlinked_mentions(t):
     n = t.notes.withColumn("text", F.concat(F.lit("see Note 1 en "), "text"))
     return J.unlinked_mentions(n, resolved(t), "note:1").select("uid")
+
+
+#: Property bags written by events: a key for the event's type, with nested values, and one for its user; some take their key away, some are no objects.
+_BAGS = """SELECT 'part:' || (event_id % (n + 7)) AS uid, event_id AS seq, CASE WHEN event_id % 29 = 0 THEN '[1, 2]' ELSE '{{"' || event_type || '": ' || CASE WHEN event_id % 17 = 0 THEN 'null' ELSE '{{"value": ' || CAST(CAST(round(value) AS BIGINT) AS VARCHAR(20)) || ', "props": ' || coalesce(props, 'null') || '}}' END
+    || ', "user": ' || CASE WHEN event_id % 3 = 0 THEN CAST(user_id AS VARCHAR(20)) ELSE '"u' || CAST(user_id AS VARCHAR(20)) || '"' END || '}}' END AS bag FROM {events}, (SELECT count(*) AS n FROM {part}) AS t"""
+_WRITES = given("symbols") + ", w AS (" + _BAGS.format(events="events", part="part") + """), o AS (SELECT uid, seq, bag::JSON AS bag FROM w WHERE json_valid(bag) AND json_type(bag::JSON) = 'OBJECT'),
+    k AS (SELECT uid, seq, unnest(json_keys(bag)) AS key, bag FROM o), l AS (SELECT uid, key, arg_max(json_extract(bag, '$.' || key), seq) AS v FROM k GROUP BY uid, key), live AS (SELECT * FROM l WHERE json_type(v) <> 'NULL')"""
+
+
+def _bags(t):
+    writes = t.spark.sql(_BAGS, events=t.events, part=t.part)
+    half = F.col("seq") % 2 == 0
+    return AN.bags(AN.merged(AN.entries(writes.where(half)), writes.where(~half)))
+
+
+@query(_WRITES + """SELECT s.uid, (SELECT TRY_CAST(json_extract_string(v, '$.value') AS DOUBLE) FROM live WHERE live.uid = s.uid AND key = 'view') AS viewed, (SELECT TRY_CAST(json_extract_string(v, '$.props.k') AS DOUBLE) FROM live WHERE live.uid = s.uid AND key = 'click') AS clicked,
+    (SELECT CASE WHEN json_type(v) = 'VARCHAR' THEN json_extract_string(v, '$') ELSE CAST(v AS VARCHAR) END FROM live WHERE live.uid = s.uid AND key = 'user') AS by_user FROM symbols s WHERE kind = 'Function'""")
+def node_annotations(t):
+    return AN.annotated(t.symbols.where("kind = 'Function'").select("uid"), _bags(t), viewed=("view.value", "double"), clicked=("click.props.k", "double"), by_user=("user", "string"))
+
+
+@query(_WRITES + "SELECT CASE WHEN uid IN (SELECT uid FROM symbols) THEN 'annotated' ELSE 'orphaned' END AS state, count(DISTINCT uid) AS nodes FROM live GROUP BY 1")
+def annotation_audit(t):
+    return AN.audit(t.symbols, _bags(t))
+
+
+_RANGES = """SELECT 'cust:' || o_custkey AS file, CAST(epoch(o_orderdate) / 86400 AS BIGINT) AS start, CAST(epoch(o_orderdate) / 86400 AS BIGINT) + CASE o_orderstatus WHEN 'F' THEN 900 WHEN 'O' THEN 300 ELSE 30 END AS stop, 's' || o_orderkey AS name, 'ord:' || o_orderkey AS uid FROM orders"""
+
+
+@query(f"""WITH r AS MATERIALIZED ({_RANGES}) SELECT i.uid, string_agg(o.name, '::' ORDER BY o.start, o.stop DESC, o.uid) AS chain, CAST(count(o.uid) AS INTEGER) AS depth FROM r i
+    LEFT JOIN r o ON o.file = i.file AND o.uid <> i.uid AND o.start <= i.start AND o.stop >= i.stop AND (o.start < i.start OR o.stop > i.stop OR o.uid < i.uid) GROUP BY i.uid""")
+def scope_chains(t):
+    day = F.floor(F.unix_timestamp("o_orderdate") / 86400)
+    span = F.when(F.col("o_orderstatus") == "F", 900).when(F.col("o_orderstatus") == "O", 300).otherwise(30)
+    ranges = t.orders.select(F.concat(F.lit("cust:"), "o_custkey").alias("file"), day.alias("start"), (day + span).alias("stop"), F.concat(F.lit("s"), "o_orderkey").alias("name"), F.concat(F.lit("ord:"), "o_orderkey").alias("uid"))
+    return SC.scope_chains(ranges)

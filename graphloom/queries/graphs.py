@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from graphloom import model
 from graphloom.functions import scalar as S
 from graphloom.operators import aggregates as A
+from graphloom.operators import budget as BU
 from graphloom.operators import graph as GR
 from graphloom.plans import answers as P
 from graphloom.queries.joined import RESOLVED, resolved
@@ -131,6 +132,25 @@ def forward_reach(t):
     return GR.bfs(t.edges, seeds, 3, model.PROCESS_RELATIONS)
 
 
+def _budget(seeds: str, depth: int, steps: int) -> dict[str, str]:
+    """Levels of a walk with a budget: what each node costs, where its steps begin, and which of its ways out are looked at."""
+    parts = {"e": f"SELECT DISTINCT src, dst FROM edges WHERE rel IN ({', '.join(repr(r) for r in model.PROCESS_RELATIONS)})", "deg": "SELECT src, count(*) AS n FROM e GROUP BY src", "v0": seeds, "u0": "SELECT 0 AS u, false AS cut"}
+    for k in range(depth + 1):
+        n = "coalesce(n, 0)" if k < depth else "0"
+        parts[f"c{k}"] = f"SELECT uid, 1 + {n} AS cost, sum(1 + {n}) OVER (ORDER BY uid) - 1 - {n} AS st FROM v{k} LEFT JOIN deg ON src = uid WHERE d = {k}"
+        parts[f"x{k}"] = f"SELECT e.dst, st + row_number() OVER (PARTITION BY src ORDER BY dst) AS place FROM c{k} JOIN e ON e.src = uid"
+        parts[f"v{k + 1}"] = f"SELECT uid, d FROM v{k} UNION ALL SELECT DISTINCT dst, {k + 1} FROM x{k}, u{k} WHERE u + place < {steps} AND {k} < {depth} AND dst NOT IN (SELECT uid FROM v{k})"
+        parts[f"u{k + 1}"] = f"SELECT least({steps}, u + coalesce((SELECT sum(cost) FROM c{k}), 0)) AS u, cut OR u + coalesce((SELECT sum(cost) FROM c{k}), 0) > {steps} AS cut FROM u{k}"
+    return parts
+
+
+@query(given("edges", **_budget("SELECT uid, 0 AS d FROM (VALUES ('cust:1'), ('sup:2'), ('cust:9')) AS x(uid)", 4, 150)) + "SELECT uid, CAST(d AS INTEGER) AS depth, CAST(u AS BIGINT) AS steps, cut AS truncated FROM v4, u5")
+def bounded_reach(t):
+    seeds = t.spark.createDataFrame([("cust:1",), ("sup:2",), ("cust:9",)], "uid string")
+    got = BU.bounded_reach(t.edges, seeds, 4, 150)
+    return got.nodes.select("uid", "depth", F.lit(got.steps).cast("long").alias("steps"), F.lit(got.truncated).alias("truncated"))
+
+
 _ENTRY = "SELECT uid, name FROM symbols WHERE is_entry_point OR uid NOT IN (SELECT dst FROM edges WHERE rel = 'CALLS')"
 
 
