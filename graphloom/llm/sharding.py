@@ -1,7 +1,7 @@
 """Two-pass external shuffle into shards; DataFrame operations only.
 
-Pass 1 scatters the whole records uniformly over memory-sized buckets (BUCKET_BYTES of records each, MOST_BUCKETS
-at most) by a seeded hash of the id and of the row's place, so that a repeated id or a null id cannot fill one
+Pass 1 scatters the whole records uniformly over memory-sized buckets (about BUCKET_BYTES each, by the size of all columns of
+the records; where that takes more than MOST_BUCKETS, it raises) by a seeded hash of the id and of the row's place, so that a repeated id or a null id cannot fill one
 bucket. Pass 2 Fisher-Yates shuffles each bucket (Spark's seeded `shuffle` of the sorted bucket) and writes it to
 the shared folder; what is read afterwards is that written order. The buckets laid end to end are one random
 permutation, which is cut into n_shards runs, so a bucket goes to one shard, or to two where a cut falls into it.
@@ -19,15 +19,18 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.common import shared_dir
 
 SHARDS = 24
 BUCKET_BYTES = 16 << 20
-MOST_BUCKETS = 1 << 20
+MOST_BUCKETS = 1 << 26
+#: Starts of so many buckets are sent to every task.
+SMALL = 1 << 20
 #: Tasks of the scatter at most; each has a run of buckets.
 OWNERS = 1 << 16
 RUN = 1 << 10
@@ -50,11 +53,27 @@ def _bucket_at_a_time(spark: SparkSession):
     return lambda: spark.conf.set(name, before)
 
 
+def record_bytes(docs: DataFrame) -> Column:
+    """What a whole record takes, about: all its columns, nulls as nothing, and some for the row; nested ones by their JSON."""
+    size = F.lit(64)
+    for f in docs.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + 8 + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = size + 8 + F.coalesce(F.octet_length(F.to_json(F.struct(c.alias("x")))), F.lit(0))
+        else:
+            size = size + 8
+    return size.cast("long")
+
+
 def external_shuffle(docs: DataFrame, id_col: str, text_col: str, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
     """(place, _rec): all rows, whole, with a gapless random position from 0, from the written buckets; and the number of rows."""
     spark = docs.sparkSession
-    total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text_col) + F.lit(64)).alias("b")).first()
-    n_buckets = min(MOST_BUCKETS, max(1, math.ceil((total.b or 0) / bucket_bytes)))
+    total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(record_bytes(docs)).alias("b")).first()
+    n_buckets = max(1, math.ceil((total.b or 0) / bucket_bytes))
+    if n_buckets > MOST_BUCKETS:
+        raise ValueError(f"{total.b} bytes need {n_buckets} buckets of {bucket_bytes}; at most {MOST_BUCKETS} are dealt: give a greater bucket_bytes")
     owners = min(n_buckets, OWNERS)
     records = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_rec"))
     bucket = F.pmod(F.xxhash64(F.lit(seed), "_id", "_row"), F.lit(n_buckets))
@@ -71,7 +90,7 @@ def external_shuffle(docs: DataFrame, id_col: str, text_col: str, seed: int = SE
     counts = table.select("_bucket", F.col("_n").cast("long").alias("_n"), F.floor(F.col("_bucket") / RUN).alias("_run"))
     runs = counts.groupBy("_run").agg(F.sum("_n").alias("_of_run")).withColumn("_before", F.sum("_of_run").over(W.orderBy("_run")) - F.col("_of_run")).select("_run", "_before")
     starts = counts.withColumn("_within", F.sum("_n").over(W.partitionBy("_run").orderBy("_bucket")) - F.col("_n")).join(runs, "_run").select(F.col("_bucket").alias("_b"), (F.col("_before") + F.col("_within")).alias("_start"))
-    placed = table.join(F.broadcast(starts), F.col("_bucket") == F.col("_b")).select("_start", F.posexplode("_recs").alias("_pos", "_rec"))
+    placed = table.join(F.broadcast(starts) if n_buckets <= SMALL else starts, F.col("_bucket") == F.col("_b")).select("_start", F.posexplode("_recs").alias("_pos", "_rec"))
     return placed.select((F.col("_start") + F.col("_pos")).cast("long").alias("place"), "_rec"), total.n
 
 

@@ -278,6 +278,28 @@ def test_shards(spark, tmp_path):
     assert len(few) == 5 and {r.slot for r in few} == {0} and len({r.shard for r in few}) == 5
 
 
+def test_buckets_are_sized_by_whole_records(spark, tmp_path, monkeypatch):
+    """Null texts beside a wide column, and nested columns: no bucket is over twice its size."""
+    made = {}
+    keep = sharding._written
+
+    def kept(df, path, *by):
+        out = keep(df, path, *by)
+        made[path.rsplit("/", 1)[1].rsplit("-", 1)[0]] = out
+        return out
+
+    monkeypatch.setattr(sharding, "_written", kept)
+    wide = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("w" * 2000), "id").alias("other"))
+    nested = wide.select("doc_id", "text", F.array(F.struct(F.col("other").alias("x"))).alias("other"))
+    for df in (wide, nested):
+        assert sharding.shard_plan(stored(df, tmp_path / df.schema["other"].simpleString()[:9].replace(":", "")), n_shards=5, bucket_bytes=1 << 20).count() == 4000
+        sizes = [r.n for r in made["shard-buckets"].select(F.octet_length(F.to_json(F.struct("_recs"))).alias("n")).collect()]
+        assert len(sizes) >= 8 and max(sizes) <= 2 << 20
+    monkeypatch.setattr(sharding, "MOST_BUCKETS", 4)
+    with pytest.raises(ValueError, match="at most 4"):
+        sharding.shard_plan(wide, bucket_bytes=1 << 20)
+
+
 def test_shards_are_shuffled(spark, monkeypatch):
     monkeypatch.setattr(sharding, "RUN", 4)
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
