@@ -35,6 +35,19 @@ def planted(n, bad, seed=0):
     return rows
 
 
+def test_training_rows_are_bounded_by_ids_and_bytes(spark, monkeypatch):
+    """One labelled id on 10,000 rows is one training row; features come up to the bound, in the order of the hashes."""
+    docs = spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("some text "), F.col("id") % 5).alias("text")).unionByName(spark.createDataFrame([(k, f"text of {k} " * 10) for k in range(20, 60)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(7, 1), *((k, k % 2) for k in range(20, 60))], "doc_id long, quality int")
+    take = lambda limit: quality_mil.training_sample(docs, labels, "doc_id", "text", "quality", F.lit(True), limit, quality_mil.encode)
+    ids, y, draw = take(6000)
+    assert len(ids) == len(set(draw.tolist())) == 41 and len(take(6)[0]) == 6
+    monkeypatch.setattr(quality_mil, "TRAIN_BYTES", sum(4 * len(x) for x in ids[:9]) + 1)
+    some, labels_of, order = take(6000)
+    assert len(some) == 9 and order.tolist() == draw[:9].tolist() and labels_of.tolist() == y[:9].tolist()
+    assert all((a == b).all() for a, b in zip(some, ids, strict=False))
+
+
 def test_quality_on_held_out_rows(spark):
     def junk(x, rnd):
         k = rnd.randrange(len(x))
