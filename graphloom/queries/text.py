@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from graphloom import adapters
 from graphloom.functions import scalar as S
+from graphloom.operators import embedding as EM
 from graphloom.operators import retrieval as RT
 from graphloom.registry import given, query
 
@@ -91,6 +92,25 @@ def vector_search_filtered(t):
     return RT.vector_search(t.vectors, query_vector(t), 10, F.col("label") == 2, "dot").withColumn("score", F.round("score", 8))
 
 
+_WORDS = """, n AS (SELECT uid, text FROM notes UNION ALL SELECT '?', 'the apache license of this note'), k AS (SELECT uid, CAST(('0x' || substr(md5(w), 1, 4)) AS BIGINT) % 128 AS i, count(*)::DOUBLE AS c FROM (SELECT uid, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w FROM n) GROUP BY ALL),
+    l AS (SELECT uid, sqrt(sum(c * c)) AS l FROM k GROUP BY uid), d AS (SELECT a.uid, sum(a.c * q.c) AS d FROM k a JOIN k q ON q.i = a.i AND q.uid = '?' GROUP BY a.uid)"""
+
+
+@query(given("notes") + _WORDS + "SELECT uid, round(d / (l.l * (SELECT l FROM l WHERE uid = '?')), 8) AS score FROM d JOIN l USING (uid) WHERE uid <> '?' ORDER BY round(d / (l.l * (SELECT l FROM l WHERE uid = '?')), 8) DESC, uid LIMIT 20")
+def embedding_search(t):
+    e = EM.Embedder(128, EM.HashedWords(128))
+    every = EM.search(EM.embedded(t.notes.select("uid", "text"), e), e, "the apache license of this note", 2**31 - 1)
+    return every.withColumn("score", F.round("score", 8)).orderBy(F.desc("score"), "uid").limit(20)
+
+
+@query("""WITH t AS (SELECT label, vec_id, embedding FROM embeddings WHERE label IS NOT NULL AND vec_id % 3 <> 0), x AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m, max(embedding[i]::DOUBLE) AS g FROM t, unnest(range(1, 65)) AS r(i) GROUP BY ALL), n AS (SELECT label, sqrt(sum(m * m)) AS m, sqrt(sum(g * g)) AS g FROM x GROUP BY label),
+    c AS (SELECT label, arg_min(embedding, vec_id) AS e FROM t GROUP BY label) SELECT x.label, CAST(x.i - 1 AS INTEGER) AS component, round(x.m / n.m, 7) AS mean, round(x.g / n.g, 7) AS greatest, round(c.e[x.i]::DOUBLE, 7) AS first FROM x JOIN n USING (label) JOIN c USING (label)""")
+def pooled_tokens(t):
+    tokens = t.embeddings.where("label is not null").select("label", F.col("vec_id").alias("pos"), "embedding", (F.col("vec_id") % 3 != 0).cast("int").alias("mask"))
+    one = lambda how, name, normalise=True: EM.pooled(tokens, how, "label", normalise).select("label", F.posexplode("embedding").alias("component", "x")).select("label", "component", F.round(F.col("x").cast("double"), 7).alias(name))
+    return one("mean", "mean").join(one("max", "greatest"), ["label", "component"]).join(one("cls", "first", False), ["label", "component"])
+
+
 _LISTS = dict(a="SELECT 'd' || p_partkey AS uid, p_retailprice AS score FROM part ORDER BY p_retailprice DESC, uid LIMIT 50", b="SELECT 'd' || p_partkey AS uid, p_size::DOUBLE AS score FROM part ORDER BY score DESC, uid LIMIT 50", c="SELECT 'd' || p_partkey AS uid, (p_partkey * 7919 % 997)::DOUBLE AS score FROM part ORDER BY score DESC, uid LIMIT 50")
 
 
