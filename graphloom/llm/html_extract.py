@@ -8,9 +8,10 @@ the upper cluster are dense. The clusters then decide three things:
 
 * Subtrees under suspicion. A class or id word as `sidebar` or `advert` makes an element suspect, no more. It goes
   if it holds less than MOSTLY of the page's dense text; a container around the article, whatever its class, stays.
-  A suspect of reader comments goes if any dense text lies outside it.
-* Regions. An article or main element is content when it holds a dense line. In a body without one, content runs
-  from the first dense line, with the headings right above it, to the last.
+  A suspect of reader comments also goes, however long, if BEFORE of the dense text stands outside and above it.
+* Regions. Article and main elements are the content if together they hold MOSTLY of their own text and the dense text beside
+  them that stands in no suspect; of them, one that has no dense line and is mostly links goes. Otherwise the body is: content runs from the first dense line to the last, with the lines
+  around them that stand in the same containers, and the headings right above.
 * Lists of links within a region. A run of lines that are not dense and mostly links goes; a dense paragraph of
   links stays, and so does a short paragraph without links.
 
@@ -41,6 +42,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend"}
+CONTAINERS = frozenset("html body div section article main center td ul ol dl details figure blockquote".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 REGION = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
@@ -48,6 +50,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 CLUTTER = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside rail ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login footer foot header masthead topbar comment comments commentlist disqus replies reply respond related recommended share sharing social toolbar pagination pager widget copyright search skip hidden".split()
 )
+#: What follows a word of comments where it tells a page's state, not what an element holds.
+STATES = frozenset("open opened closed enabled disabled on off allowed count number".split())
 COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 RADIUS = 2
@@ -55,6 +59,8 @@ RADIUS = 2
 SPREAD = 0.5
 #: The share of a page's dense text from which a suspect subtree is taken for the page itself.
 MOSTLY = 0.5
+#: The share of a page's dense text above a suspect of reader comments from which it is one.
+BEFORE = 0.2
 #: The share of link text from which a line is mostly links.
 LINKS = 0.5
 
@@ -66,6 +72,7 @@ class Line(NamedTuple):
     heading: bool
     suspects: tuple[int, ...]
     linked: int  # characters within links
+    parent: int  # the container it stands in
 
 
 class Lines(HTMLParser):
@@ -76,6 +83,8 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         self.stack: list[tuple[str, bool, bool, bool]] = []  # element, left out, opens a region, suspect
         self.suspects: list[int] = []
+        self.containers: list[int] = [0]
+        self.opened = 0
         self.comments: list[bool] = []
         self.links = 0
         self.linked = 0
@@ -89,7 +98,7 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append(Line(text, self.tags, self.region, any(x[0] in HEADINGS for x in self.stack[-3:]), tuple(self.suspects), self.linked))
+            self.lines.append(Line(text, self.tags, self.region, any(x[0] in HEADINGS for x in self.stack[-3:]), tuple(self.suspects), self.linked, self.containers[-1]))
         self.text, self.tags, self.linked = [], 0, 0
 
     def _judged(self, tag: str, attrs: list) -> tuple[bool, bool, bool]:
@@ -99,7 +108,9 @@ class Lines(HTMLParser):
         if not left and tag not in ("html", "body", "main"):
             for name, value in attrs:
                 if name in ("class", "id") and value:
-                    words |= {w.lower() for w in _PARTS.findall(value)}
+                    for one in value.split():
+                        parts = [w.lower() for w in _PARTS.findall(one)]
+                        words.update(w for w, after in zip(parts, [*parts[1:], ""], strict=True) if not (w in COMMENTS and after in STATES))
         comments = not words.isdisjoint(COMMENTS)
         return left, comments or not (words.isdisjoint(CLUTTER) or tag == "article" or tag in HEADINGS), comments
 
@@ -122,6 +133,8 @@ class Lines(HTMLParser):
             if self.stack[-1][0] in BLOCK or self.stack[-1][3] and not self.out:
                 self.end_line()
             tag, left, opened, suspect = self.stack.pop()
+            if tag in CONTAINERS:
+                self.containers.pop()
             self.out -= left
             self.links -= tag == "a"
             if suspect:
@@ -161,6 +174,9 @@ class Lines(HTMLParser):
         elif tag == "header" and self.region and not left:
             left = False
         self.stack.append((tag, left, opens, suspect))
+        if tag in CONTAINERS:
+            self.opened += 1
+            self.containers.append(self.opened)
         self.out += left
         self.links += tag == "a"
         if suspect:
@@ -230,8 +246,13 @@ def without_suspects(lines: list[Line], comments: list[bool]) -> list[Line]:
     for x, w in zip(lines, weight, strict=True):
         for s in x.suspects:
             of[s] += w
-    total = sum(weight)
-    gone = {s for s, w in enumerate(of) if w < (total if comments[s] else MOSTLY * total)}
+    total, above = sum(weight), [0] * len(comments)
+    for s in (k for k, c in enumerate(comments) if c):
+        for x, w in zip(lines, weight, strict=True):
+            if s in x.suspects:
+                break
+            above[s] += w
+    gone = {s for s, w in enumerate(of) if w < MOSTLY * total or comments[s] and w < total and above[s] >= BEFORE * total}
     return [x for x in lines if gone.isdisjoint(x.suspects)]
 
 
@@ -249,17 +270,28 @@ def main_blocks(html: str) -> list[str]:
     lines = without_suspects(p.lines, p.comments)
     if not lines:
         return []
-    own = [x for x in lines if x.region]
-    if own:
+    dense = content_lines(lines)
+    inside = sum(len(x.text) for x in lines if x.region)
+    beside = sum(len(x.text) for x, d in zip(lines, dense, strict=True) if d and not x.region and not x.suspects)
+    if inside and inside >= MOSTLY * (inside + beside):
+        own = [x for x in lines if x.region]
         dense = content_lines(own)
-        keep = {x.region for x, d in zip(own, dense, strict=True) if d}
+        size, linked, keep = {}, {}, {x.region for x, d in zip(own, dense, strict=True) if d}
+        for x in own:
+            size[x.region] = size.get(x.region, 0) + len(x.text)
+            linked[x.region] = linked.get(x.region, 0) + x.linked
+        keep |= {r for r, n in size.items() if linked[r] < LINKS * n}
         return [x.text for x in without_links(own, dense) if x.region in keep]
-    dense = content_lines(lines)
     content = np.flatnonzero(dense)
-    first = content[0]
+    first, last = content[0], content[-1]
+    top, end = lines[first].parent, lines[last].parent
+    while first and lines[first - 1].parent == top:
+        first -= 1
     while first and lines[first - 1].heading:
         first -= 1
-    return [x.text for x in without_links(lines[first : content[-1] + 1], dense[first : content[-1] + 1])]
+    while last + 1 < len(lines) and lines[last + 1].parent == end:
+        last += 1
+    return [x.text for x in without_links(lines[first : last + 1], dense[first : last + 1])]
 
 
 def main_text(html: str | None) -> str:

@@ -650,3 +650,22 @@ def test_components(spark):
         parent[y] = x
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(x, x) == find(x) for x in parent)
+
+
+LONG = "This is a long paragraph of the main text which goes on and on for quite a while so that it is dense. " * 3
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<div class='content'><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div><article><p>A teaser card about something else.</p></article>", ["Title", LONG, LONG]),
+        (f"<div><p>FIRST.</p><p>{LONG}</p><p>{LONG}</p><p>LAST.</p></div><div><p>Elsewhere.</p></div>", ["FIRST.", LONG, LONG, "LAST."]),
+        (f"<article><h1>One</h1><p>{LONG}</p></article><article><h2>Two</h2><p>Short one.</p></article>", ["One", LONG, "Two", "Short one."]),
+        (f"<p>{LONG}</p><div class='page comments-open'><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>", [LONG] * 4),
+        (f"<article><p>{LONG}</p></article><div class='comments'><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>", [LONG]),
+        (f"<div class='main'><p>{LONG}</p></div><div id='comment-list'><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>", [LONG]),
+        (f"<div class='ad'>{LONG}</div><article><p>Short news.</p></article>", ["Short news."]),
+    ],
+)
+def test_no_text_is_lost(html, want):
+    assert html_extract.main_blocks(f"<html><body>{html}</body></html>") == [x.strip() for x in want]
