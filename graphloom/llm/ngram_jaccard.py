@@ -8,9 +8,10 @@ Method (set-relation skipping):
 
 * Every set is put into one global order: shingles that are rare first, by hash; shingles known to be
   frequent last. Two sets that link share a shingle among the first n - ceil(t n) + 1 of each (prefix
-  filter), so only those are indexed. Frequent shingles are found by counting, over all texts, those that are low enough
-  in the order of hashes for a prefix to reach them, half as far again as prefixes go; chunks add up their own counts first.
-  The list of them is bounded (FREQUENT). Any list gives the same links: it decides cost only.
+  filter), so only those are indexed. Frequent shingles are found in two counts over all texts: first of the lowest
+  shingles of every set, then of all shingles of the sets whose lowest hold a frequent one, for sets that share much share
+  low ones too. Chunks add up their own counts first. The list is bounded (FREQUENT). Any list gives the same links: it
+  decides cost only.
 * The index is one row per entry (shingle, document, size, position), dealt and sorted by shingle, so its cost is
   in proportion to the texts. In a list entries are sorted by set size and then by the
   shingle's position; a probe skips blocks of sizes that cannot reach the threshold and, within a size,
@@ -138,23 +139,42 @@ def _describe(ngram: int):
     return run
 
 
-def _low(ngram: int, percent: int):
-    """Of every chunk of texts the shingles that a prefix may reach, and how many of its sets hold each; equal sets of a chunk count once."""
+def _low_part(s: np.ndarray, percent: int) -> np.ndarray:
+    """A set's lowest shingles, half as many as its prefix has."""
+    return s[: prefix_length(len(s), percent) // 2 + 8]
+
+
+def _counted(ngram: int, percent: int, shared=None):
+    """Of every chunk of texts its shingles and how many of its sets hold each; equal sets of a chunk count once.
+
+    Without shared only the low part of each set is counted; with it (shingles known to be frequent, sorted) all shingles of the sets
+    whose low part holds one of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, "text", CHUNK):
             held: dict[int, np.ndarray] = {}
             for x in text_bytes(t.column("text")):
                 s = shingles(x, ngram)
-                if len(s):
-                    p = prefix_length(len(s), percent)
-                    held[xxhash.xxh3_64_intdigest(s.tobytes())] = s[: p + p // 2 + 8].copy()
+                low = _low_part(s, percent) if len(s) else s
+                if shared is not None:
+                    known = shared.value
+                    at = np.searchsorted(known, low)
+                    low = s if len(known) and len(low) and (known[np.minimum(at, len(known) - 1)] == low).any() else s[:0]
+                if len(low):
+                    held[xxhash.xxh3_64_intdigest(s.tobytes())] = low.copy()
             u, c = np.unique(np.concatenate([np.empty(0, np.uint64), *held.values()]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["token", "count"])
 
     return run
 
 
+def _most_frequent(rows: DataFrame, counted, least: int) -> np.ndarray:
+    """The shingles that most sets hold, `least` at least, sorted; FREQUENT at most."""
+    counts = rows.select("text").mapInArrow(counted, "token long, count long").groupBy("token").agg(F.sum("count").alias("c")).where(F.col("c") >= least)
+    return np.sort(counts.orderBy(F.desc("c"), "token").limit(FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+
+
 # --- pass B: the index of prefixes
 
 
@@ -422,7 +442,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("id", "text"))
     every = written(rows.select("id", "h", "text").mapInArrow(_describe(ngram), _A), "jaccard-sets")
-    frequent = rows.select("text").mapInArrow(_low(ngram, percent), "token long, count long").groupBy("token").agg(F.sum("count").alias("c")).where(F.col("c") >= frequent_from).orderBy(F.desc("c"), "token").limit(FREQUENT).select("token").toPandas()
+    some = _most_frequent(rows, _counted(ngram, percent), frequent_from)
+    frequent = _most_frequent(rows, _counted(ngram, percent, spark.sparkContext.broadcast(some)), frequent_from)
     # ids that are on several rows; torn where the texts differ
     again = written(every.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("c"), (F.min("h") != F.max("h")).alias("torn")).where("c > 1"), "jaccard-repeated")
     torn = again.where("torn").select("id", F.lit(True).alias("torn"))
@@ -443,7 +464,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = written(about.groupBy("sig", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1"), "jaccard-equal")
     hot = sets.where("c > 8").orderBy(F.desc("c"), "sig").limit(HOT_SETS)
     known = {bytes(r.sig): r.rep for r in hot.select("sig", "rep").collect()}
-    shared = spark.sparkContext.broadcast((np.sort(frequent["token"].to_numpy(np.int64).view(np.uint64)), known))
+    shared = spark.sparkContext.broadcast((frequent, known))
     # sets with many copies are told to every task, the others meet by a join
     to_hot = about.select("id", "sig", "n").join(F.broadcast(hot.select("sig", "n", F.col("rep").alias("hot"))), ["sig", "n"], "left")
     cold = to_hot.where("hot is null").join(sets.select("sig", "n", "rep"), ["sig", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
