@@ -93,8 +93,8 @@ def parse_query(query: str) -> dict:
     return out
 
 
-def boolean_search(docs: DataFrame, index: DataFrame, lengths: DataFrame, query: str, limit: int) -> DataFrame:
-    """BM25 of all terms over the documents that hold the required ones, the phrases and the fields' terms."""
+def boolean_search(docs: DataFrame, index: DataFrame, lengths: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """BM25 of all terms over the documents that hold the required ones, the phrases and the fields' terms; all of them, or the best so many."""
     q = parse_query(query)
     hits = bm25(index, lengths, q["terms"] or {"": 0.0})
     if q["must"]:
@@ -106,7 +106,7 @@ def boolean_search(docs: DataFrame, index: DataFrame, lengths: DataFrame, query:
         line = F.array_join(tokens(F.concat_ws(" ", "title", "text")), " ")
         want = " ".join(query_terms(phrase))
         hits = hits.join(docs.where(F.concat(F.lit(" "), line, F.lit(" ")).contains(f" {want} ")).select("uid"), "uid", "left_semi")
-    return hits.orderBy(F.desc("score"), "uid").limit(limit)
+    return hits if limit is None else hits.orderBy(F.desc("score"), "uid").limit(limit)
 
 
 def prf_terms(index: DataFrame, lengths: DataFrame, first: DataFrame, query: str, stopwords: Iterable[str] = model.STOPWORDS, hits: int = 5, top: int = 10) -> DataFrame:

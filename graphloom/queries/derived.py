@@ -236,8 +236,9 @@ def severity_filter(t):
 def phrase_search(t):
     from graphloom.operators import retrieval as RT
 
-    idx, lens = RT.postings(t.notes), RT.field_lengths(t.notes)
-    return RT.boolean_search(t.notes, idx, lens, '"apache license version" AND note', 10_000).select("uid")
+    from graphloom.queries.text import index
+
+    return RT.boolean_search(t.notes, *index(t), '"apache license version" AND note').select("uid")
 
 
 @query(RESOLVED + """, one AS (SELECT lower(title) AS t, vault_uid AS v FROM notes WHERE uid = 'note:1') SELECT n.uid FROM notes n, one WHERE n.vault_uid = one.v AND n.uid <> 'note:1' AND contains(lower('see Note 1 en ' || n.text), one.t) AND n.uid NOT IN (SELECT src FROM resolved WHERE dst = 'note:1')""")

@@ -241,5 +241,6 @@ def git_log(lines: DataFrame) -> DataFrame:
     entry = lines.select("repo", F.explode(F.split("text", r"(?m)(?=^[0-9a-f]{40}\b)")).alias("e")).where(F.col("e").rlike(r"^[0-9a-f]{40}"))
     head = F.regexp_extract("e", r"^([0-9a-f]{40})", 1)
     time = F.regexp_extract("e", r"^[0-9a-f]{40}\s+(\S+)", 1)
-    rows = entry.select("repo", head.alias("commit_id"), F.coalesce(time.try_cast("double"), S.iso_epoch(time)).alias("epoch"), F.explode(F.slice(F.split("e", r"\n"), 2, 1 << 20)).alias("file"))
+    lines_of = F.split("e", r"\n")
+    rows = entry.select("repo", head.alias("commit_id"), F.coalesce(time.try_cast("double"), S.iso_epoch(time)).alias("epoch"), F.explode(F.slice(lines_of, F.lit(2), F.size(lines_of) - 1)).alias("file"))
     return rows.withColumn("file", F.trim("file")).where("file <> ''")
