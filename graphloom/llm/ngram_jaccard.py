@@ -172,7 +172,10 @@ def _counted(ngram: int, percent: int, shared=None):
 def _most_frequent(rows: DataFrame, counted, least: int) -> np.ndarray:
     """The shingles that most sets hold, `least` at least, sorted; FREQUENT at most."""
     counts = rows.select("text").mapInArrow(counted, "token long, count long").groupBy("token").agg(F.sum("count").alias("c")).where(F.col("c") >= least)
-    return np.sort(counts.orderBy(F.desc("c"), "token").limit(FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+    found = np.sort(counts.orderBy(F.desc("c"), "token").limit(FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+    del counts
+    rows.sparkSession.sparkContext._jvm.System.gc()  # Spark deletes a finished count's shuffle files when nothing refers to them any more
+    return found
 
 
 # --- pass B: the index of prefixes
