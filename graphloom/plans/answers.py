@@ -28,7 +28,7 @@ def code_context(symbols: DataFrame, edges: DataFrame, inputs: Iterable[str], li
     """uid, name, file_path, score: personalised rank around the inputs; module owners last."""
     start = seeds(symbols, edges, inputs)
     intent = intent or graph.detect_intent(symbols, start)
-    ranked = graph.personalized_pagerank(symbols, graph.scope_graph(symbols, edges, "code", intent), start, model.DAMPING[intent], iterations)
+    ranked = graph.personalized_pagerank(symbols, graph.scope_edges(edges, "code", intent), start, model.DAMPING[intent], iterations, back=model.REVERSE_WEIGHT)
     owner = F.col("name") == "<module>"
     return symbols.join(ranked, "uid").orderBy(owner, F.desc("score"), "uid").limit(limit).select("uid", "name", "file_path", "score")
 
