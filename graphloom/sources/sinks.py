@@ -178,7 +178,8 @@ def impact_comment(impacts: DataFrame, most_chars: int = 60_000) -> DataFrame:
 def indexed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes numbered from 0 by uid, and edges by number."""
     from graphloom.plans.iterate import numbered as number
+    from graphloom.plans.iterate import widely
 
     numbered = number(nodes.select("uid"), "uid")
-    e = edges.join(numbered.select(F.col("uid").alias("src"), F.col("id").alias("src_id")), "src").join(numbered.select(F.col("uid").alias("dst"), F.col("id").alias("dst_id")), "dst")
+    e = widely(edges, "src").join(numbered.select(F.col("uid").alias("src"), F.col("id").alias("src_id")), "src").join(numbered.select(F.col("uid").alias("dst"), F.col("id").alias("dst_id")), "dst")
     return numbered, e.select("src_id", "dst_id", "rel", "confidence")
