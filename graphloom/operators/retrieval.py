@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom import model
 from graphloom.functions import scalar as S
-from graphloom.plans.iterate import numbered
+from graphloom.plans.iterate import cut, numbered
 
 K1, B, TITLE_BOOST = 1.2, 0.75, 3.0
 RRF_K = 60
@@ -24,12 +24,8 @@ def tokens(text: Column) -> Column:
 
 
 def postings(docs: DataFrame, fields: Mapping[str, str] = {"title": "title", "body": "text"}) -> DataFrame:
-    """uid, field, term, tf, length.
-
-    Texts are dealt by uid before they are taken apart, so that counting terms moves no token.
-    """
+    """uid, field, term, tf, length. A view: what a search asks of terms or documents is asked before terms are counted."""
     out = None
-    docs = docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "uid")
     for field, column in fields.items():
         t = docs.select("uid", F.lit(field).alias("field"), tokens(F.coalesce(column, F.lit(""))).alias("t")).withColumn("length", F.size("t"))
         step = t.select("uid", "field", "length", F.explode("t").alias("term")).groupBy("uid", "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").cast("long").alias("length"))
@@ -47,8 +43,8 @@ def field_lengths(docs: DataFrame, fields: Mapping[str, str] = {"title": "title"
 
 
 def bm25(index: DataFrame, lengths: DataFrame, terms: Mapping[str, float], boosts: Mapping[str, float] = {"title": TITLE_BOOST}) -> DataFrame:
-    """uid, score: weighted terms over all fields; any term is enough. The terms filter reaches the index scan."""
-    hit = index.where(F.col("term").isin(*terms))
+    """uid, score: weighted terms over all fields; any term is enough. The postings of the terms are written once."""
+    hit = cut(index.where(F.col("term").isin(*terms)))
     df = hit.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     j = hit.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(lengths), "field")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -111,10 +107,12 @@ def boolean_search(docs: DataFrame, index: DataFrame, lengths: DataFrame, query:
 
 def prf_terms(index: DataFrame, lengths: DataFrame, first: DataFrame, query: str, stopwords: Iterable[str] = model.STOPWORDS, hits: int = 5, top: int = 10) -> DataFrame:
     """term, weight of expansion: from the bodies of the first hits; idf at least the (upper) median, the best by idf * tf."""
-    best = first.orderBy(F.desc("score"), "uid").limit(hits).select("uid")
+    best = cut(first.orderBy(F.desc("score"), "uid").limit(hits).select("uid"))
     body = index.where("field = 'body'")
     tf = body.join(F.broadcast(best), "uid", "left_semi").where((F.length("term") >= 3) & ~F.col("term").rlike("^[0-9]+$") & ~F.col("term").isin(*query_terms(query), *stopwords)).groupBy("term").agg(F.sum("tf").alias("freq"))
+    tf = cut(tf)
     df = body.join(F.broadcast(tf.select("term")), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = cut(df)
     scored = tf.join(df, "term").join(F.broadcast(lengths.where("field = 'body'")), how="inner").withColumn("idf", F.log(F.col("n_docs") / (1.0 + F.col("df"))))
     # the terms of five documents: one small partition
     w = W.orderBy("idf", "term")
