@@ -5,8 +5,8 @@ as the mean of hashed embeddings of its words, word endings and repetitions, the
 softmax(w . (tanh(V h) * sigmoid(U h))), weighs the passages, and the weighted representation is scored.
 Only document labels are used, and only texts go into a score.
 
-Training is numpy with Adagrad on the driver, on at most TRAIN_ROWS labelled rows (those of the smallest
-hash of the id); their hashed words are all that is collected. Scoring reads every whole text on the
+Training is numpy with Adagrad on the executors, on all labelled rows, in rounds: partitions learn on from common
+parameters, which are averaged (averaging.py). Scoring reads every whole text on the
 executors. Null and empty texts are one passage of one empty word. Rows without labels, or labels of one
 class only, give the base rate (0.5 without any). Repeated ids take their smallest label in training;
 every row is scored. A very long text is one bag, encoded in blocks of words. Other columns pass by untouched; one
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.averaging import averaged_round, training_rows
 from graphloom.llm.common import chunks, forget, small_batches, text_bytes, written
 
 WORDS = 1 << 15
@@ -31,10 +32,10 @@ WIDTH = 16
 HIDDEN = 16
 GATES = 8
 PASSAGE = 48
-TRAIN_ROWS = 6000
-#: Features that come to the driver, of all rows together.
+#: Features that training_sample brings to the driver, of all rows together.
 TRAIN_BYTES = 192 << 20
-EPOCHS = 6
+#: Epochs over a chunk of texts, by round.
+EPOCHS = (3, 3)
 RATE = 0.05
 BATCH = 32
 CHUNK = 4 << 20
@@ -107,15 +108,8 @@ def gradients(m: dict[str, np.ndarray], ids: np.ndarray, lengths: np.ndarray, y:
     return out | {"e": de}
 
 
-def train(bags_of_ids: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> dict[str, np.ndarray]:
-    rate = float(np.clip(labels.mean() if len(labels) else 0.5, 0.01, 0.99))
-    m = new_model(rate, seed)
-    if len(set(labels.tolist())) < 2:
-        m["c"][:] = 0
-        if not len(labels):
-            m["c0"][...] = 0
-        return m
-    seen = {k: np.full_like(v, 1e-6) for k, v in m.items()}
+def learn(m: dict[str, np.ndarray], seen: dict[str, np.ndarray], bags_of_ids: list[np.ndarray], labels: np.ndarray, epochs: int, seed: int) -> None:
+    """Adagrad; m and seen (the sums of squares) change in place."""
     r = np.random.default_rng(seed)
     for _ in range(epochs):
         order = r.permutation(len(labels))
@@ -130,7 +124,10 @@ def train(bags_of_ids: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCH
                 else:
                     seen[name] += g * g
                     m[name] -= RATE * g / np.sqrt(seen[name])
-    return m
+
+
+def learner(epochs: int, seed: int):
+    return lambda m, seen, texts, labels, done: learn(m, seen, [encode(x) for x in texts], labels, epochs, seed + done)
 
 
 def scores(m: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
@@ -150,6 +147,8 @@ def scores(m: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable: Column, limit: int, encoder) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(features, labels, hashes) of at most limit labelled ids and TRAIN_BYTES of features; the features are encoder's int32 arrays.
 
+    For a caller who wants a few rows on the driver; the models here learn from all of them.
+
     An id that is on several rows counts once, with the least of its features: rows are encoded where they lie, and only one for each id is
     sent on. The features wait in the shared folder; their sizes decide how many of them, in the order of the hashes, come to the driver.
     """
@@ -172,11 +171,22 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return [np.frombuffer(x, np.int32) for x in got.column("ids").to_pylist()], got.column("label").to_numpy().astype(np.float32), got.column("draw").to_numpy()
 
 
-def quality_model(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict[str, np.ndarray]:
-    """The model learnt from the labelled rows for which usable (a condition on the id) holds."""
+def quality_model(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 7) -> dict[str, np.ndarray]:
+    """The model learnt from all labelled rows for which usable (a condition on the id) holds."""
     small_batches(docs.sparkSession)
-    ids, y, _ = training_sample(docs, labels, id_col, text_col, label_col, usable, TRAIN_ROWS, encode)
-    return train([x.reshape(-1, 3) for x in ids], y)
+    rows = training_rows(docs, labels, id_col, text_col, label_col, usable)
+    count, rate, both = rows.agg(F.count(F.lit(1)), F.avg("label"), F.min("label") < F.max("label")).first()
+    m = new_model(float(np.clip(rate if count else 0.5, 0.01, 0.99)), seed)
+    if not both:
+        m["c"][:] = 0
+        if not count:
+            m["c0"][...] = 0
+    else:
+        seen = {k: np.full_like(v, 1e-6) for k, v in m.items()}
+        for k, epochs in enumerate(EPOCHS):
+            m, seen = averaged_round(rows, count, m, seen, learner(epochs, seed + k))
+    forget(rows)
+    return m
 
 
 def scored(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", out: str = "quality_score") -> DataFrame:

@@ -1,5 +1,6 @@
 """Classifiers, language model, mixing, codec, extraction and search against brute force and held-out rows."""
 
+import itertools
 import math
 import random
 import re
@@ -7,7 +8,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import gru_lm, html_extract, mixing, quality_mil, sentencepiece_codec, topk_search, toxicity_cnn
@@ -98,6 +101,41 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([(got[i] >= 0.5) == y for i, y in held]) > 0.97
 
 
+@pytest.mark.parametrize("which", ["quality", "toxic"])
+def test_classifiers_learn_from_every_labelled_row(spark, which):
+    """Of 10,400 labelled texts the 300 of the greatest hashes are the only ones of their class; they alone tell what marks it."""
+    ids = spark.range(10_400).select(F.col("id").alias("doc_id"), F.row_number().over(Window.orderBy(F.desc(F.xxhash64(F.lit(11), "id")))).alias("r"))
+    docs = ids.select("doc_id", F.concat(F.lit("plain words about thing "), F.col("doc_id") % 97, F.when(F.col("r") <= 300, " vermin vermin").otherwise("")).alias("text"), (F.col("r") <= 300).cast("int").alias("mark")).persist()
+    labels = docs.select("doc_id", F.col("mark").alias("toxic"), (1 - F.col("mark")).alias("quality"))
+    if which == "toxic":
+        got = toxicity_cnn.scored(docs.select(F.col("doc_id").alias("id"), "text"), toxicity_cnn.toxicity_model(docs, labels, F.lit(True)))
+    else:
+        got = quality_mil.scored(docs, quality_mil.quality_model(docs, labels, F.lit(True))).select(F.col("doc_id").alias("id"), (1 - F.col("quality_score")).alias("score"))
+    wrong = got.join(docs.select(F.col("doc_id").alias("id"), "mark"), "id").where("(score > 0.5) <> (mark = 1)").count()
+    docs.unpersist()
+    assert wrong == 0
+
+
+def test_thresholds_from_bins():
+    """The threshold from merged bins is the one that a sort of all rows gives, where rows of both classes share no bin."""
+    r = np.random.default_rng(5)
+    y = (np.arange(400) % 3 == 0).astype(int)
+    s = np.unique(np.round(r.standard_normal(4000), 2))[r.permutation(400)] + y
+    lang = np.arange(400) % 5
+    parts = pa.concat_tables([toxicity_cnn.bins(s[k::7], y[k::7], lang[k::7]) for k in range(7)])
+    m = {"threshold": np.zeros(5)}
+    toxicity_cnn.set_thresholds(m, parts)
+
+    def best(s, y):
+        cuts = [(a + b) / 2 for a, b in itertools.pairwise(np.unique(s))]
+        f1 = lambda c: 2 * y[s >= c].sum() / ((s >= c).sum() + y.sum())
+        return max(map(f1, cuts)), f1
+
+    for j in range(5):
+        most, f1 = best(s[lang == j], y[lang == j])
+        assert f1(m["threshold"][j]) == pytest.approx(most)
+
+
 def test_language_of_texts():
     ids, starts, _ = toxicity_cnn._laid([toxicity_cnn.encode(x) for x in (b"the cat of that is", "der Hund und das ist".encode(), b"", b"les gens et dans", b"el gato y los con")])
     assert toxicity_cnn.languages(ids, starts).tolist() == [1, 2, 0, 3, 4]
