@@ -13,6 +13,9 @@ the lists of the rarest block by block, rarest first, and reads only the files o
 decides on the rows that remain, so the index changes what is read, never what is found. An upsert writes its own
 documents and marks the old ones; work grows with the change.
 
+A Python worker holds at most BATCH_ROWS rows of a batch, CHUNK bytes of texts (or one text, cut into windows) and their trigrams, or
+the lists of LIST_ROWS blocks, however many documents there are.
+
 Null texts are empty. Where uids repeat within one build all rows are kept; an upsert replaces all of them.
 """
 
@@ -22,12 +25,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.operators import reads
-from graphloom.plans.iterate import cut, exists
+from graphloom.plans.iterate import batches_of, cut, exists
 
 BLOCK_BYTES = 64 << 20
 #: Lists that are intersected for a clause: the rarest. Any subset of a clause gives candidates enough.
@@ -36,6 +40,10 @@ LISTS = 8
 NAMED_BLOCKS = 10_000
 #: A table of candidates of so many rows is sent to every task.
 SMALL = 1 << 20
+#: Bytes of texts that a worker cuts into trigrams at once, and code points of one text.
+CHUNK, WINDOW = 4 << 20, 1 << 20
+#: Rows of an Arrow batch: of texts, and of lists.
+BATCH_ROWS, LIST_ROWS = 64, 8
 POSTINGS = "trigram long, block long, n int, gaps array<int>"
 
 
@@ -47,6 +55,8 @@ def code(trigram: str) -> int:
 
 def codes(text: str) -> np.ndarray:
     """The distinct trigrams of a text, in order."""
+    if len(text) > WINDOW:
+        return np.unique(np.concatenate([codes(text[k : k + WINDOW]) for k in range(0, len(text) - 2, WINDOW - 2)]))
     x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     return np.unique(x[:-2] << 42 | x[1:-1] << 21 | x[2:]) if len(x) > 2 else np.zeros(0, np.int64)
 
@@ -91,11 +101,28 @@ def _texts_schema(columns: T.StructType) -> T.StructType:
     return T.StructType([*columns.fields, T.StructField("ord", T.IntegerType())])
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches gathered until their texts have CHUNK bytes; cut where one has more."""
+    held, size = [], 0
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column("low")).to_numpy()) // CHUNK
+        for part in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(ends)) + 1):
+            if not len(part):
+                continue
+            held.append(b.slice(part[0], len(part)))
+            size += held[-1].column("low").nbytes
+            if size >= CHUNK:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _postings(texts: DataFrame, text: str) -> DataFrame:
     """trigram, block, n, gaps, from rows that hold block and ord; each batch of documents adds up its own lists first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _chunks(batches):
             block, ords = b.column("block").to_numpy(), b.column("ord").to_numpy()
             held = [codes(x) for x in b.column("low").to_pylist()]
             every = np.concatenate(held or [np.zeros(0, np.int64)])
@@ -124,7 +151,8 @@ def _write(docs: DataFrame, path: str, gen: int, text: str, order: Iterable[str]
     dealt.withColumn("gen", F.lit(gen)).write.mode("append").partitionBy("gen", "block").parquet(f"{path}/texts")
     texts = _read(spark, path, "texts", _texts_schema(columns), [gen], "gen", "block")
     rows = _postings(texts, text).withColumn("gen", F.lit(gen))
-    rows.repartitionByRange("trigram", "block").sortWithinPartitions("trigram", "block").write.mode("append").partitionBy("gen").parquet(f"{path}/postings")
+    with batches_of(spark, BATCH_ROWS):
+        rows.repartitionByRange("trigram", "block").sortWithinPartitions("trigram", "block").write.mode("append").partitionBy("gen").parquet(f"{path}/postings")
     if replaces is not None:
         replaces.select("block", "ord", F.lit(gen).alias("gen")).write.mode("append").partitionBy("gen").parquet(f"{path}/dead")
     spark.createDataFrame([(columns.json(), gen)], "columns string, gen int").coalesce(1).write.mode("append").partitionBy("gen").parquet(f"{path}/commits")
@@ -184,11 +212,12 @@ def _live_counts(rows: DataFrame, dead: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("trigram"), pa.array(n, pa.int64())], names=["trigram", "n"])
 
     gone = dead.groupBy("block").agg(F.collect_set("ord").alias("gone"))
-    return rows.join(gone, "block", "left").select("trigram", "gaps", "gone").mapInArrow(run, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("documents")).where("documents > 0")
+    with batches_of(rows.sparkSession, LIST_ROWS):
+        return cut(rows.join(gone, "block", "left").select("trigram", "gaps", "gone").mapInArrow(run, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("documents")).where("documents > 0"))
 
 
 def candidates(spark: SparkSession, path: str, pattern: str) -> DataFrame | None:
-    """block, ord of documents that may match (replaced ones too); None where the pattern requires no trigram."""
+    """block, ord of documents that may match (replaced ones too), stored; None where the pattern requires no trigram."""
     clauses = required(pattern)
     if clauses is None:
         return None
@@ -207,7 +236,8 @@ def candidates(spark: SparkSession, path: str, pattern: str) -> DataFrame | None
         found = hit if found is None else found.unionByName(hit)
     if found is None:
         return spark.createDataFrame([], "block long, ord int")
-    return found.distinct() if len(clauses) > 1 else found
+    with batches_of(spark, LIST_ROWS):
+        return cut(found.distinct() if len(clauses) > 1 else found)
 
 
 def _intersected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +258,6 @@ def matching(spark: SparkSession, path: str, pattern: str, text: str = "text") -
     few = candidates(spark, path, pattern)
     if few is None:
         return live(spark, path).drop("block", "ord")
-    few = cut(few)
     blocks = [r["block"] for r in few.select("block").distinct().limit(NAMED_BLOCKS + 1).collect()]
     docs = live(spark, path, blocks if len(blocks) <= NAMED_BLOCKS else None)
     small = few.count() <= SMALL

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +141,18 @@ def test_an_empty_index(spark, tmp_path):
     path = str(tmp_path / "ix")
     TG.build(spark.createDataFrame([], "uid string, text string"), path)
     assert TG.search(spark, path, "needle").collect() == [] and TG.search(spark, path, "[ab]").collect() == []
+
+
+def test_a_worker_holds_few_texts_at_once(monkeypatch):
+    """One batch of many texts is cut by their bytes, and a long text into windows; nothing is lost."""
+    monkeypatch.setattr(TG, "CHUNK", 10_000)
+    texts = ["é" * (k % 900) + f"text {k}" for k in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts)], names=["ord", "low"])
+    parts = list(TG._chunks(iter([batch, batch.slice(0, 0), batch.slice(5, 3)])))
+    assert [x for t in parts for x in t.column("low").to_pylist()] == texts + texts[5:8]
+    assert max(sum(len(x.encode()) for x in t.column("low").to_pylist()) for t in parts) < 3 * TG.CHUNK and len(parts) > 50
+    long = "".join(random.Random(3).choices("abcdefgé🙂", k=5000))
+    whole = TG.codes(long)
+    for window in (3, 4, 1000, 4998, 4999):
+        monkeypatch.setattr(TG, "WINDOW", window)
+        assert (TG.codes(long) == whole).all()
