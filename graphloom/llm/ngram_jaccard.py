@@ -9,8 +9,8 @@ Method (set-relation skipping):
 * Every set is put into one global order: shingles that are rare first, by hash; shingles known to be
   frequent last. Two sets that link share a shingle among the first n - ceil(t n) + 1 of each (prefix
   filter), so only those are indexed. Frequent shingles are found in two counts over all texts: first of the lowest
-  shingles of every set, then of all shingles of the sets whose lowest hold a frequent one, for sets that share much share
-  low ones too. Chunks add up their own counts first. The list is bounded (FREQUENT). Any list gives the same links: it
+  shingles of every set, then, of the sets whose lowest hold a frequent one, of all that the prefix can reach when
+  frequent ones give way to others: the more of the lowest are frequent, the further (`reach`). Chunks add up their own counts first. The list is bounded (FREQUENT). Any list gives the same links: it
   decides cost only.
 * The index is one row per entry (shingle, document, size, position), dealt and sorted by shingle, so its cost is
   in proportion to the texts. In a list entries are sorted by set size and then by the
@@ -144,11 +144,17 @@ def _low_part(s: np.ndarray, percent: int) -> np.ndarray:
     return s[: prefix_length(len(s), percent) // 2 + 8]
 
 
+def reach(n: int, low: int, hits: int, percent: int) -> int:
+    """How many of a set's n shingles its prefix may reach over when `hits` of its `low` lowest are frequent and give way; an upper estimate."""
+    share = hits / low + 1 / math.sqrt(low)
+    return n if share >= 1 else min(n, math.ceil(prefix_length(n, percent) / (1 - share)) + 8)
+
+
 def _counted(ngram: int, percent: int, shared=None):
     """Of every chunk of texts its shingles and how many of its sets hold each; equal sets of a chunk count once.
 
-    Without shared only the low part of each set is counted; with it (shingles known to be frequent, sorted) all shingles of the sets
-    whose low part holds one of them.
+    Without shared only the low part of each set is counted; with it (shingles known to be frequent, sorted) those within reach of the
+    prefixes of sets whose low part holds one of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +166,8 @@ def _counted(ngram: int, percent: int, shared=None):
                 if shared is not None:
                     known = shared.value
                     at = np.searchsorted(known, low)
-                    low = s if len(known) and len(low) and (known[np.minimum(at, len(known) - 1)] == low).any() else s[:0]
+                    hits = int((known[np.minimum(at, len(known) - 1)] == low).sum()) if len(known) else 0
+                    low = s[: reach(len(s), len(low), hits, percent)] if hits else s[:0]
                 if len(low):
                     held[xxhash.xxh3_64_intdigest(s.tobytes())] = low.copy()
             u, c = np.unique(np.concatenate([np.empty(0, np.uint64), *held.values()]), return_counts=True)

@@ -5,6 +5,8 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -339,3 +341,22 @@ def test_shard_query_against_brute_force(spark, tmp_path):
     got = queries.op6_sharding(spark, dir).collect()
     assert {r.doc_id: (r.size, r.text_crc32, r.law, r.grown_shard) for r in got} == {i: (len(x) + 8, zlib.crc32(x), "rows", None) for i, x in docs.items()}
     assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(24) for k in range((s + 1) * len(docs) // 24 - s * len(docs) // 24)]
+
+
+def test_second_count_reaches_as_far_as_prefixes():
+    """Of a set with one frequent low shingle the count takes what its prefix can reach; where all low ones are frequent, the whole set."""
+    text = " ".join(f"w{k}" for k in range(4000))
+    s = ngram_jaccard.shingles(text.encode())
+    low = ngram_jaccard._low_part(s, 80)
+    batch = pa.RecordBatch.from_arrays([pa.array([text])], names=["text"])
+
+    def taken(known):
+        shared = type("Shared", (), {"value": np.sort(known)})
+        return np.concatenate([b.column("token").to_numpy().view(np.uint64) for b in ngram_jaccard._counted(5, 80, shared)(iter([batch]))])
+
+    some = taken(low[:1])
+    assert ngram_jaccard.prefix_length(len(s)) < len(some) < len(s) / 3 and set(some) <= set(s)
+    assert set(taken(low)) == set(s) and len(taken(s[-1:])) == 0
+    for share in (0.1, 0.5, 0.7):  # frequent shingles that give way leave a prefix within reach
+        gone = int(share * len(low))
+        assert ngram_jaccard.reach(len(s), len(low), gone, 80) * (1 - share) >= min(ngram_jaccard.prefix_length(len(s)), len(s) * (1 - share))
