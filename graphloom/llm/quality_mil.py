@@ -76,7 +76,9 @@ def forward(m: dict[str, np.ndarray], ids: np.ndarray, lengths: np.ndarray) -> t
     """Logits of documents whose words are laid end to end."""
     starts, docs = bags(lengths)
     size = np.diff(np.r_[starts, len(ids)])[:, None].astype(np.float32)
-    x = np.add.reduceat(m["e"][ids[:, 0]] + m["e"][ids[:, 1]] + m["e"][ids[:, 2]], starts, axis=0) / size
+    again = np.add.reduceat(ids[:, 2] - (WORDS + ENDINGS), starts)[:, None].astype(np.float32)
+    words = np.add.reduceat(m["e"].take(ids[:, 0], axis=0) + m["e"].take(ids[:, 1], axis=0), starts, axis=0)
+    x = (words + (size - again) * m["e"][WORDS + ENDINGS] + again * m["e"][WORDS + ENDINGS + 1]) / size
     h = np.tanh(x @ m["w"] + m["b"])
     tv, su = np.tanh(h @ m["v"]), _sigmoid(h @ m["u"])
     s = (tv * su) @ m["a"]
@@ -84,11 +86,25 @@ def forward(m: dict[str, np.ndarray], ids: np.ndarray, lengths: np.ndarray) -> t
     p = np.exp(s - np.repeat(np.maximum.reduceat(s, docs), per))
     p /= np.repeat(np.add.reduceat(p, docs), per)
     z = np.add.reduceat(p[:, None] * h, docs, axis=0)
-    return z @ m["c"] + m["c0"], (starts, docs, size, x, h, tv, su, p, per, z)
+    return z @ m["c"] + m["c0"], (starts, docs, size, again, x, h, tv, su, p, per, z)
 
 
-def gradients(m: dict[str, np.ndarray], ids: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    logit, (starts, docs, size, x, h, tv, su, p, per, z) = forward(m, ids, lengths)
+def _sums(ids: np.ndarray, passage: np.ndarray, dp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The embeddings that words and endings name, in order, and their gradients' sums; dp has the gradient of a word of each passage."""
+    flat = ids[:, :2].T.ravel()
+    named = np.zeros(WORDS + ENDINGS, bool)
+    named[flat] = True
+    rows = np.flatnonzero(named)
+    # short integers, so that numpy sorts by radix; a row's words stay in order
+    short = (np.cumsum(named, dtype=np.uint16) - 1)[flat]
+    order = np.argsort(short, kind="stable")
+    first = np.searchsorted(short[order], np.arange(len(rows), dtype=np.uint16))
+    return rows, np.add.reduceat(dp.take(np.r_[passage, passage][order], axis=0), first, axis=0)
+
+
+def row_gradients(m: dict[str, np.ndarray], ids: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Gradients, those of the embeddings only for the rows that the words name (and the two of repetitions), and these rows."""
+    logit, (starts, docs, size, again, x, h, tv, su, p, per, z) = forward(m, ids, lengths)
     g = (_sigmoid(logit) - y).astype(np.float32) / len(y)
     out = {"c": z.T @ g, "c0": g.sum()}
     dz = np.repeat(g[:, None] * m["c"], per, axis=0)
@@ -99,12 +115,16 @@ def gradients(m: dict[str, np.ndarray], ids: np.ndarray, lengths: np.ndarray, y:
     out["v"], out["u"] = h.T @ dt, h.T @ du
     dh = (dz * p[:, None] + dt @ m["v"].T + du @ m["u"].T) * (1 - h * h)
     out["w"], out["b"] = x.T @ dh, dh.sum(0)
-    dx = np.repeat((dh @ m["w"].T) / size, np.diff(np.r_[starts, len(ids)]), axis=0)
+    dx = (dh @ m["w"].T) / size
+    rows, de = _sums(ids, np.repeat(np.arange(len(starts)), size[:, 0].astype(int)), dx)
+    repeats = np.stack([((size - again) * dx).sum(0), (again * dx).sum(0)])
+    return out | {"e": np.concatenate([de, repeats])}, np.r_[rows, WORDS + ENDINGS, WORDS + ENDINGS + 1]
+
+
+def gradients(m: dict[str, np.ndarray], ids: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    out, rows = row_gradients(m, ids, lengths, y)
     de = np.zeros_like(m["e"])
-    np.add.at(de, ids[:, 0], dx)
-    np.add.at(de, ids[:, 1], dx)
-    de[WORDS + ENDINGS] = dx[ids[:, 2] == WORDS + ENDINGS].sum(0)
-    de[WORDS + ENDINGS + 1] = dx[ids[:, 2] > WORDS + ENDINGS].sum(0)
+    de[rows] = out["e"]
     return out | {"e": de}
 
 
@@ -116,11 +136,12 @@ def learn(m: dict[str, np.ndarray], seen: dict[str, np.ndarray], bags_of_ids: li
         for k in range(0, len(order), BATCH):
             part = order[k : k + BATCH]
             ids = np.concatenate([bags_of_ids[i] for i in part])
-            for name, g in gradients(m, ids, np.array([len(bags_of_ids[i]) for i in part]), labels[part]).items():
+            found, rows = row_gradients(m, ids, np.array([len(bags_of_ids[i]) for i in part]), labels[part])
+            for name, g in found.items():
                 if name == "e":
-                    rows = np.unique(ids)
-                    seen[name][rows] += g[rows] ** 2
-                    m[name][rows] -= RATE * g[rows] / np.sqrt(seen[name][rows])
+                    squares = seen[name][rows] + g**2
+                    seen[name][rows] = squares
+                    m[name][rows] -= RATE * g / np.sqrt(squares)
                 else:
                     seen[name] += g * g
                     m[name] -= RATE * g / np.sqrt(seen[name])

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -87,6 +88,22 @@ def test_quality_gradients():
         assert abs((up - down) / 2e-5 - g[name][at]) < 1e-4, name
 
 
+def test_quality_steps_touch_only_rows_of_their_words():
+    """A step makes nothing of the size of all embeddings, and moves every parameter as the whole gradient says."""
+    docs = [quality_mil.encode(x) for x in (b"", b"one two two two three", b"four " * 130, b"one five six")]
+    ids, n, y = np.concatenate(docs), np.array([len(d) for d in docs]), np.array([1, 0, 1, 0], np.float32)
+    m = quality_mil.new_model(0.4)
+    seen = {k: np.full_like(v, 1e-6) for k, v in m.items()}
+    want = {k: v - quality_mil.RATE * g / np.sqrt(1e-6 + g * g) for (k, v), g in zip(m.items(), map(quality_mil.gradients(m, ids, n, y).get, m), strict=True)}
+    tracemalloc.start()
+    quality_mil.learn(m, seen, docs, y, 1, 7)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < m["e"].nbytes / 4
+    for k in m:
+        np.testing.assert_allclose(m[k], want[k], rtol=1e-2, atol=1e-4)
+
+
 def test_toxicity_on_held_out_rows(spark):
     def insult(x, rnd):
         for w in rnd.sample(["fool", "vermin", "dolt", "cretin"], 2):
