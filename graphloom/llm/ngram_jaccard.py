@@ -16,6 +16,7 @@ Method (set-relation skipping):
   in proportion to the texts. In a list entries are sorted by set size and then by the
   shingle's position; a probe skips blocks of sizes that cannot reach the threshold and, within a size,
   all entries behind the last useful position.
+* Of lists that hold the same sets only the one of the first shingle is kept: it allows every pair that the others do.
 * Answers are derived from similar sets. Equal sets share one answer. First every entry of a list is
   compared with one pivot of about its size only; sets that this links are answered together, and
   afterwards a list yields only pairs that are not yet connected, so a group of near copies costs its
@@ -181,10 +182,15 @@ def _most_frequent(rows: DataFrame, counted, least: int) -> np.ndarray:
     counts = rows.select("text").mapInArrow(counted, "token long, count long").groupBy("token").agg(F.sum("count").alias("c")).where(F.col("c") >= least)
     found = np.sort(counts.orderBy(F.desc("c"), "token").limit(FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
     del counts
-    rows.sparkSession.sparkContext._jvm.System.gc()  # Spark deletes a finished count's shuffle files when nothing refers to them any more
+    _let_go(rows.sparkSession)
     return found
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of finished jobs when nothing refers to them any more."""
+    spark.sparkContext._jvm.System.gc()
+
+
 # --- pass B: the index of prefixes
 
 
@@ -285,6 +291,17 @@ def _lists(list_block: int, percent: int):
     return run
 
 
+def _first_lists(lists: DataFrame) -> DataFrame:
+    """Of the lists that hold the same sets the one whose shingle is first in the order; all blocks of long lists.
+
+    The order is one for all sets, so in each of them that shingle stands before those of the other lists: sizes are the same, places
+    are lower, and every pair that another list allows is allowed there.
+    """
+    own = [F.when(F.col("several"), F.col(c)).alias(f"_{c}") for c in ("list", "block")]
+    kept = lists.groupBy(F.xxhash64("ids").alias("_key"), "ids", *own).agg(F.min_by(F.struct("list", "block", "several", "sizes", "places"), F.element_at("places", 1)).alias("x"))
+    return kept.select("x.list", "x.block", "x.several", "ids", "x.sizes", "x.places")
+
+
 def _then(batches: Iterator, end) -> Iterator:
     yield from batches
     yield end
@@ -485,8 +502,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = min(MOST_PARTS, max(8, math.ceil(total / ENTRIES)))
     entries = written(entries, "jaccard-entries")
     with batches_of(spark, 1 << 16):
-        lists = written(entries.repartition(parts, "token").sortWithinPartitions("token", "n", "pos", "id").mapInArrow(_lists(list_block, percent), _LISTS), "jaccard-lists")
+        lists = written(_first_lists(entries.repartition(parts, "token").sortWithinPartitions("token", "n", "pos", "id").mapInArrow(_lists(list_block, percent), _LISTS)), "jaccard-lists")
     forget(entries)
+    _let_go(spark)
     pairs = written(lists.select("ids", "sizes").mapInArrow(_pivots(percent), "a long, b long").distinct(), "jaccard-pivots")
     first = _verified(pairs, about, texts, ngram, percent, "jaccard-near")
     group = components(first.unionByName(equal))
@@ -494,6 +512,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = lists.select("list", "block", "several", F.explode(F.arrays_zip("ids", "sizes", "places")).alias("e")).select("list", "block", "several", F.col("e.ids").alias("id"), F.col("e.sizes").alias("n"), F.col("e.places").alias("pos"))
     labelled = placed.join(group, F.col("id") == F.col("node"), "left").select("list", "block", "several", "id", "n", "pos", F.coalesce("component", "id").alias("group"))
     blocks = written(labelled.groupBy("list", "block", "several").agg(F.collect_list(F.struct("id", "n", "pos", "group")).alias("entries"), F.min("group").alias("g0"), F.max("group").alias("g1")).where("several or g0 <> g1"), "jaccard-blocks")
+    forget(lists)
     x, y = (blocks.where("several").select("list", F.col("block").alias(f"b{k}"), F.col("entries").alias(f"e{k}"), F.col("g0").alias(f"l{k}"), F.col("g1").alias(f"m{k}")) for k in (1, 2))
     across = x.join(y, "list").where("b1 < b2 and (l1 <> m1 or l2 <> m2 or l1 <> l2)").select(F.concat("e1", "e2").alias("entries"))
     left = blocks.where("g0 <> g1").select("entries").unionByName(across).mapInArrow(_unlinked(percent), "a long, b long").distinct()

@@ -360,3 +360,42 @@ def test_second_count_reaches_as_far_as_prefixes():
     for share in (0.1, 0.5, 0.7):  # frequent shingles that give way leave a prefix within reach
         gone = int(share * len(low))
         assert ngram_jaccard.reach(len(s), len(low), gone, 80) * (1 - share) >= min(ngram_jaccard.prefix_length(len(s)), len(s) * (1 - share))
+
+
+def test_lists_of_the_same_sets_are_kept_once(spark, monkeypatch):
+    rows, seen, real = near_copies(4), [], ngram_jaccard.written
+
+    def written(df, name, *by):
+        out = real(df, name, *by)
+        if name == "jaccard-lists":
+            seen.append(sorted(map(tuple, (r.ids for r in out.where("not several").select("ids").collect()))))
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "written", written)
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), frequent_from=4).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+    assert len(seen) == 1 and len(seen[0]) > 10 and len(seen[0]) == len(set(seen[0]))
+
+
+def test_lists_that_go_allow_no_pair_of_their_own(spark):
+    """Of sets in one order, the lists that are kept allow the same pairs as all of them; blocks of long lists stay."""
+    rnd = random.Random(8)
+    sets = []
+    for _ in range(12):
+        base = rnd.sample(range(3000), rnd.randrange(20, 60))
+        sets += [sorted({*rnd.sample(base, len(base) - rnd.randrange(6)), *rnd.sample(range(3000), rnd.randrange(6))}) for _ in range(6)]
+    lists = {}
+    for i, s in enumerate(sets):
+        for pos, token in enumerate(s):
+            lists.setdefault(token, []).append((len(s), pos, i))
+    rows = [(t, 0, False, *([e[k] for e in sorted(x)] for k in (2, 0, 1))) for t, x in lists.items() if len(x) > 1]
+    long = [(-1, k, True, *rows[0][3:]) for k in range(3)] + [(-2, 0, True, *rows[0][3:])]
+    kept = ngram_jaccard._first_lists(spark.createDataFrame(rows + long, ngram_jaccard._LISTS).repartition(7)).collect()
+    assert sorted((r.list, r.block) for r in kept if r.several) == [(-2, 0), (-1, 0), (-1, 1), (-1, 2)]
+    plain = [tuple(r[x.split()[0]] for x in ngram_jaccard._LISTS.split(", ")) for r in kept if not r.several]
+    assert set(map(repr, plain)) < set(map(repr, rows)) and len(plain) < len(rows) / 2
+
+    def pairs(some):
+        return {tuple(p) for _, _, _, ids, n, pos in some for p in ngram_jaccard.probe(np.array(ids), np.array(n), np.array(pos), np.array(ids)).tolist()}
+
+    assert pairs(plain) == pairs(rows) and pairs(rows)
