@@ -28,7 +28,7 @@ _MEN = "SELECT DISTINCT 'note:' || d.doc_id AS note_uid, replace(p.p_name, ' ',
     SELECT note_uid, uid, round(CASE kind WHEN 'Function' THEN 0.9 WHEN 'Method' THEN 0.7 ELSE 0.8 END * CASE WHEN in_code THEN 1.0 ELSE 0.85 END::DOUBLE / k, 9) AS confidence FROM m JOIN symbols USING (name) JOIN n USING (name)""")
 def mention_links(t):
     m = t.documents.join(t.part, F.col("p_partkey") == F.col("doc_id")).select(F.concat(F.lit("note:"), "doc_id").alias("note_uid"), F.translate("p_name", " ", "_").alias("name"), (F.col("doc_id") % 2 == 0).alias("in_code")).distinct()
-    return D.resolve_mentions(m, t.symbols).withColumn("confidence", F.round("confidence", 9))
+    return D.resolve_mentions(m, t.symbols, 9)
 
 
 @query(given("symbols", "edges") + """, k0 AS (SELECT uid AS var, name AS type, 0.85::DOUBLE AS c FROM symbols WHERE kind = 'Class' AND start_line % 3 = 0), a AS (SELECT src AS var, dst AS source FROM edges WHERE rel IN ('IMPORTS', 'CALLS')),
